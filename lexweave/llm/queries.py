@@ -4,14 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import digest_columns, encode_column
 from .ngram_join import ngram_components
+from .packing import pack_documents
 from .shared import read_table
 
 
+def word_vocabulary() -> str:
+    """Path of the public word-level vocabulary; the file is read where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     return ngram_components(read_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
-QUERIES = {"op2_ngram_join": op2_ngram_join}
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts, id digests and decoded digests of all documents."""
+    return digest_columns(encode_column(read_table(spark, sf_dir, "documents"), word_vocabulary()))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in windows of 4096."""
+    return pack_documents(read_table(spark, sf_dir, "documents"), word_vocabulary())
+
+
+QUERIES = {"op2_ngram_join": op2_ngram_join, "op4_bpe": op4_bpe, "op10_packing": op10_packing}
 ORACLE: dict[str, str] = {}
