@@ -40,8 +40,8 @@ from .shared import CHUNK_BYTES, U64, chunks, components, discard, hash_words, l
 
 #: Each band is this much wider than the one below it.
 BAND_RATIO = 1.5
-#: Bits of a document's hashed bitmap.
-BITMAP_BITS = 512
+#: Least bits of a document's hashed bitmap, and bits per shingle of a larger one; always a power of two.
+BITMAP_BITS, BITS_PER_SHINGLE = 512, 8
 #: Documents of a tile.
 TILE = 64
 #: Digests that a task gathers before it writes its blobs.
@@ -122,11 +122,17 @@ def digests(x: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def bitmap(x: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP_BITS, np.uint8)
-    bits[(x % U64(BITMAP_BITS)).astype(np.int64)] = 1
+    size = max(BITMAP_BITS, 1 << (BITS_PER_SHINGLE * len(x) - 1).bit_length() if len(x) else 0)
+    bits = np.zeros(size, np.uint8)
+    bits[(x % U64(size)).astype(np.int64)] = 1
     return np.packbits(bits).view(U64)
 
 
+def folded(maps: list[np.ndarray], width: int) -> np.ndarray:
+    """Bitmaps of several widths as rows of the same width; a fold keeps each element's bit modulo the width."""
+    return np.stack([np.bitwise_or.reduce(m.reshape(-1, width), axis=0) for m in maps])
+
+
 def overlap_bound(size_a, size_b, map_a: np.ndarray, map_b: np.ndarray):
     """Most elements that two sets can share. A bit set in one map alone stands for an element that the other set lacks."""
     only_a = np.bitwise_count(map_a & ~map_b).sum(axis=-1, dtype=np.int64)
@@ -231,7 +237,10 @@ def _check_pairs(percent: int, n: int):
                 ys = shingle_sets(right[at_r[i] : at_r[j]], at_r[i : j + 1] - at_r[i], n)
                 for x, y in zip(xs, ys, strict=True):
                     ok = bool(len(x) and len(y)) and meets(min(len(x), len(y)), len(x), len(y), percent)
-                    ok = ok and meets(overlap_bound(len(x), len(y), bitmap(x), bitmap(y)), len(x), len(y), percent)
+                    if ok:
+                        mx, my = bitmap(x), bitmap(y)
+                        width = min(len(mx), len(my))
+                        ok = meets(overlap_bound(len(x), len(y), folded([mx], width)[0], folded([my], width)[0]), len(x), len(y), percent)
                     hits.append(bool(ok and meets(shared_count(x, y), len(x), len(y), percent)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.bool_())], schema=schema)
 
@@ -258,13 +267,21 @@ def _tiles_meet(percent: int):
         for pdf in frames:
             found = []
             for l_id, l_n, l_map, l_root, r_id, r_n, r_map, r_root, same in pdf.itertuples(index=False):
-                a, b = np.asarray(l_n, np.int64)[:, None], np.asarray(r_n, np.int64)[None, :]
-                ma = np.frombuffer(b"".join(l_map), U64).reshape(len(l_map), 1, -1)
-                mb = np.frombuffer(b"".join(r_map), U64).reshape(1, len(r_map), -1)
-                ok = meets(overlap_bound(a, b, ma, mb), a, b, percent) & (np.asarray(l_root)[:, None] != np.asarray(r_root)[None, :])
-                if same:
-                    ok &= np.tri(*ok.shape, -1, bool)
-                i, j = np.nonzero(ok)
+                a, b = np.asarray(l_n, np.int64), np.asarray(r_n, np.int64)
+                roots_a, roots_b = np.asarray(l_root), np.asarray(r_root)
+                ms = [np.frombuffer(m, U64) for m in (*l_map, *r_map)]
+                ms = folded(ms, min(map(len, ms)))
+                ma, mb = ms[: len(a)], ms[len(a) :]
+                i, j = [], []
+                for k in range(len(a)):
+                    ok = (roots_b != roots_a[k]) & meets(np.minimum(a[k], b), a[k], b, percent)
+                    if same:
+                        ok[k:] = False
+                    at = np.flatnonzero(ok)
+                    at = at[meets(overlap_bound(a[k], b[at], ma[k], mb[at]), a[k], b[at], percent)]
+                    i += [k] * len(at)
+                    j += at.tolist()
+                i, j = np.array(i, np.int64), np.array(j, np.int64)
                 x, y = np.asarray(l_id, np.int64)[i], np.asarray(r_id, np.int64)[j]
                 found.append(pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}))
             if found:
