@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import string
 import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -33,7 +34,7 @@ from .shared import limit_batches
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: White space for Python's split() that the format doesn't count as such.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
-_SIGNS = frozenset(".,;:!?|")
+_SIGNS = string.punctuation
 #: Chunks of text that a worker remembers.
 CACHE = 400_000
 
@@ -136,18 +137,27 @@ class Vocabulary:
         return symbol[:n][alive].astype("<u4"), np.concatenate(([0], np.cumsum(alive)[ends - 1]))
 
     def _learn(self, chunks: Iterable[str]) -> None:
-        chunks = list(chunks)
-        # most chunks are letters, or letters and one sign, and need no pattern
-        split = [(x,) if x.isalpha() else (x[:-1], x[-1]) if x[-1:] in _SIGNS and x[:-1].isalpha() else WORDS.findall(x) for x in chunks]
-        words = list(set(chain.from_iterable(split)))
-        if not words:
-            self.cache.update(dict.fromkeys(chunks, b""))
-            return
-        ids, cut = self.encode_words(words)
-        raw, cut = ids.tobytes(), (cut * 4).tolist()
-        own = {w: raw[i:j] for w, i, j in zip(words, cut[:-1], cut[1:], strict=True)}
-        for x, ws in zip(chunks, split, strict=True):
-            self.cache[x] = own[ws[0]] if len(ws) == 1 else b"".join([own[w] for w in ws])
+        """Adds chunks, and the words that they consist of, to the cache."""
+        need, ended, mixed = set(), [], []
+        for x in chunks:
+            if x.isalpha():
+                need.add(x)
+            elif (core := x.rstrip(_SIGNS)).isalpha():  # letters and a run of signs need no pattern
+                ended.append((x, core, x[len(core) :]))
+            else:
+                mixed.append((x, WORDS.findall(x)))
+        need.update(x[1] for x in ended)
+        need.update(x[2] for x in ended)
+        need.update(chain.from_iterable(x[1] for x in mixed))
+        need.difference_update(self.cache)
+        cache = self.cache
+        if need:
+            words = list(need)
+            ids, cut = self.encode_words(words)
+            raw, cut = ids.tobytes(), (cut * 4).tolist()
+            cache.update(zip(words, map(raw.__getitem__, map(slice, cut[:-1], cut[1:])), strict=True))
+        cache.update([(x, cache[a] + cache[b]) for x, a, b in ended])
+        cache.update([(x, b"".join([cache[w] for w in ws])) for x, ws in mixed])
 
     def _chunks(self, text: str) -> list[str]:
         """Pieces between white space, in the form in which they are encoded; no word of the format spans two of them."""

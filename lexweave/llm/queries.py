@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import digest_columns, encode_column
 from .ngram_join import ngram_components
 from .packing import pack_documents
+from .quality_rules import rule_report
 from .shared import read_table
 
 
@@ -32,5 +33,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), word_vocabulary())
 
 
-QUERIES = {"op2_ngram_join": op2_ngram_join, "op4_bpe": op4_bpe, "op10_packing": op10_packing}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and verdicts of all documents, with cutoffs from the labelled ones."""
+    return rule_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op2_ngram_join": op2_ngram_join, "op4_bpe": op4_bpe, "op9_quality_rules": op9_quality_rules, "op10_packing": op10_packing}
 ORACLE: dict[str, str] = {}
