@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import digest_columns, encode_column
 from .ngram_join import ngram_components
 from .packing import pack_documents
+from .quality_classifier import fit_classifier, score_documents
 from .quality_rules import rule_report
+from .sharding import interleaved_shards
 from .shared import read_table
 
 
@@ -18,6 +20,17 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; labels are learned outside the holdout only."""
+    docs = read_table(spark, sf_dir, "documents")
+    return score_documents(docs, fit_classifier(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 8 shards whose counts differ by one at most."""
+    return interleaved_shards(read_table(spark, sf_dir, "documents"), shards=8)
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     return ngram_components(read_table(spark, sf_dir, "documents"), n=3, percent=90)
@@ -38,5 +51,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_ngram_join": op2_ngram_join, "op4_bpe": op4_bpe, "op9_quality_rules": op9_quality_rules, "op10_packing": op10_packing}
+QUERIES = {"op1_quality": op1_quality, "op5_sharding": op5_sharding, "op2_ngram_join": op2_ngram_join, "op4_bpe": op4_bpe, "op9_quality_rules": op9_quality_rules, "op10_packing": op10_packing}
 ORACLE: dict[str, str] = {}
