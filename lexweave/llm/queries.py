@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import digest_columns, encode_column
+from .media import media_columns
 from .ngram_join import ngram_components
 from .packing import pack_documents
 from .quality_classifier import fit_classifier, score_documents
 from .quality_rules import rule_report
 from .sharding import interleaved_shards
 from .shared import read_table
+from .substring_dedup import dedup_report
 
 
 def word_vocabulary() -> str:
@@ -36,6 +38,16 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(read_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' payloads in tar shards, read back with their features."""
+    return media_columns(read_table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without passages that occur earlier, and where these were."""
+    return dedup_report(read_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts, id digests and decoded digests of all documents."""
     return digest_columns(encode_column(read_table(spark, sf_dir, "documents"), word_vocabulary()))
@@ -51,5 +63,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op5_sharding": op5_sharding, "op2_ngram_join": op2_ngram_join, "op4_bpe": op4_bpe, "op9_quality_rules": op9_quality_rules, "op10_packing": op10_packing}
+QUERIES = {"op3_media": op3_media, "op6_substring_dedup": op6_substring_dedup, "op1_quality": op1_quality, "op5_sharding": op5_sharding, "op2_ngram_join": op2_ngram_join, "op4_bpe": op4_bpe, "op9_quality_rules": op9_quality_rules, "op10_packing": op10_packing}
 ORACLE: dict[str, str] = {}
