@@ -291,18 +291,14 @@ def _tiles_meet(percent: int):
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs(a, b) with both texts. Texts that no pair needs go no further than the first join."""
+    """pairs(a, b) with both texts."""
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     return left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
-    """pairs(a, b) with linked. Each text that is needed is fetched by one shuffle of the texts, as blobs of both sides of its pairs."""
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    used = materialize(texts.join(need, "id", "left_semi"), "ngram-texts")
-    out = materialize(_with_texts(pairs, used).mapInArrow(_check_pairs(percent, n), "a bigint, b bigint, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")), "ngram-checked")
-    discard(used)
-    return out
+    """pairs(a, b) with linked."""
+    return materialize(_with_texts(pairs, texts).mapInArrow(_check_pairs(percent, n), "a bigint, b bigint, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")), "ngram-checked")
 
 
 def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,7 +314,10 @@ def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     edges = materialize(raw.where(F.col("kind") == EDGE).select("key", "id", "other").unionByName(far), "ngram-edges")
 
     pairs = materialize(edges.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), "ngram-pairs")
-    checked = _checked(pairs, texts, percent, n)
+    # all later steps read texts of these documents only, so the whole texts are shuffled once
+    need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    used = materialize(texts.join(need, "id", "left_semi"), "ngram-texts")
+    checked = _checked(pairs, used, percent, n)
     discard(pairs)
     links = checked.where("linked").select("a", "b")
     roots = components(links, "ngram-roots")
@@ -334,7 +333,7 @@ def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     all_links = links
     if members.limit(1).count():
         need = members.select("id").distinct()
-        maps = texts.join(need, "id", "left_semi").mapInArrow(_bitmaps(n), _SET_OF).groupBy("id").agg(F.max_by("n", "n").alias("n"), F.max_by("map", "n").alias("map"))
+        maps = used.join(need, "id", "left_semi").mapInArrow(_bitmaps(n), _SET_OF).groupBy("id").agg(F.max_by("n", "n").alias("n"), F.max_by("map", "n").alias("map"))
         ranked = members.join(maps, "id").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("n", "root", "id")))
         tiles = ranked.groupBy("key", F.expr(f"(place - 1) div {TILE}").alias("tile")).agg(
             F.collect_list(F.struct("id", "n", "map", "root")).alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("root_low"), F.max("root").alias("root_high"))
@@ -344,10 +343,10 @@ def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
         sides = [F.col(f"{s}.rows.{c}").alias(f"{s}_{c}") for s in "lr" for c in ("id", "n", "map", "root")]
         found = meet.select(*sides, F.expr("l.tile = r.tile").alias("same")).mapInPandas(_tiles_meet(percent), "a bigint, b bigint")
         more = materialize(found.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "ngram-more")
-        again = _checked(more, texts, percent, n)
+        again = _checked(more, used, percent, n)
         all_links = links.unionByName(again.where("linked").select("a", "b"))
         discard(tiles, more)
         roots = components(all_links, "ngram-final")
-    discard(open_edges, members, edges)
+    discard(open_edges, members, edges, used)
     rows = raw.where(F.col("kind") == DOC).select("id", F.col("n").alias("n_shingles"))
     return rows.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import digest_columns, encode_column
+from .html_extract import extract_pages
 from .media import media_columns
 from .ngram_join import ngram_components
 from .packing import pack_documents
@@ -53,6 +54,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(encode_column(read_table(spark, sf_dir, "documents"), word_vocabulary()))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens in windows of 4096."""
     return pack_documents(read_table(spark, sf_dir, "documents"), word_vocabulary())
@@ -63,5 +69,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op3_media": op3_media, "op6_substring_dedup": op6_substring_dedup, "op1_quality": op1_quality, "op5_sharding": op5_sharding, "op2_ngram_join": op2_ngram_join, "op4_bpe": op4_bpe, "op9_quality_rules": op9_quality_rules, "op10_packing": op10_packing}
+QUERIES = {"op8_html": op8_html, "op3_media": op3_media, "op6_substring_dedup": op6_substring_dedup, "op1_quality": op1_quality, "op5_sharding": op5_sharding, "op2_ngram_join": op2_ngram_join, "op4_bpe": op4_bpe, "op9_quality_rules": op9_quality_rules, "op10_packing": op10_packing}
 ORACLE: dict[str, str] = {}
