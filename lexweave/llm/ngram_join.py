@@ -13,12 +13,15 @@ differences of any pair whose larger set lies in a size band by a number D.
 2. Digests travel as sorted blobs, one per (task, bucket); each task first joins its own equal digests
    into stars around their smallest document, so a digest that a third of all rows carries reaches its
    bucket once per task, not once per row.
-3. Each star edge is checked: bit counts of the two hashed bitmaps bound the overlap from above, and
-   pairs that survive have their sorted shingle arrays intersected exactly. Links are joined to components.
+3. Each document of a digest is checked against the digest's smallest one by intersecting their sorted
+   shingle arrays exactly. Links are joined to components.
 4. What a star leaves apart (a digest whose documents lie in several components) is compared tile by
-   tile: bounded runs of a digest's documents, ordered by size and component; only tiles with different
-   components and touching size bands meet, bit counts prune, and the exact check follows. Then no pair
-   of a digest is unchecked unless its documents are in one component already.
+   tile. Digests with the same documents count once. Jaccard distance is a metric, so two documents whose
+   distances to the star's centre differ by more than a link's distance can't link; a document that has no
+   candidate of another component by this test goes. The rest is cut into tiles, bounded runs by size and
+   component; only tiles with different components and touching size bands meet, bit counts of the hashed
+   bitmaps bound each pair's overlap from above, and pairs that survive are intersected exactly. Then no
+   pair of a digest is unchecked unless it can't link or its documents are in one component already.
 
 Result: one row per input row: id, n_shingles, component_id (smallest id that links reach). Null and
 empty texts have no shingles and link with nothing. Rows with a null id get component_id null. Repeated
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import CHUNK_BYTES, U64, chunks, components, discard, hash_words, limit_batches, materialize, mix, utf8_parts
+from .shared import CHUNK_BYTES, U64, chunks, components, delete_path, discard, hash_words, limit_batches, materialize, mix, scratch_path, utf8_parts
 
 #: Each band is this much wider than the one below it.
 BAND_RATIO = 1.5
@@ -224,25 +227,22 @@ _SET_OF = "id bigint, n bigint, map binary"
 
 
 def _check_pairs(percent: int, n: int):
-    """(a, b, text_a, text_b) to (a, b, linked)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
+    """(a, b, text_a, text_b) to (a, b, linked, distance)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("distance", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = []
+            hits, far = [], []
             left, at_l = utf8_parts(batch.column(2))
             right, at_r = utf8_parts(batch.column(3))
             for i, j in chunks(at_l + at_r, 2 * CHUNK_BYTES):
                 xs = shingle_sets(left[at_l[i] : at_l[j]], at_l[i : j + 1] - at_l[i], n)
                 ys = shingle_sets(right[at_r[i] : at_r[j]], at_r[i : j + 1] - at_r[i], n)
                 for x, y in zip(xs, ys, strict=True):
-                    ok = bool(len(x) and len(y)) and meets(min(len(x), len(y)), len(x), len(y), percent)
-                    if ok:
-                        mx, my = bitmap(x), bitmap(y)
-                        width = min(len(mx), len(my))
-                        ok = meets(overlap_bound(len(x), len(y), folded([mx], width)[0], folded([my], width)[0]), len(x), len(y), percent)
-                    hits.append(bool(ok and meets(shared_count(x, y), len(x), len(y), percent)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.bool_())], schema=schema)
+                    shared = shared_count(x, y)
+                    hits.append(bool(len(x) and len(y)) and meets(shared, len(x), len(y), percent))
+                    far.append(1 - shared / max(1, len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.bool_()), pa.array(far, pa.float64())], schema=schema)
 
     return run
 
@@ -297,8 +297,27 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
-    """pairs(a, b) with linked."""
-    return materialize(_with_texts(pairs, texts).mapInArrow(_check_pairs(percent, n), "a bigint, b bigint, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")), "ngram-checked")
+    """pairs(a, b) with linked and distance."""
+    found = _with_texts(pairs, texts).mapInArrow(_check_pairs(percent, n), "a bigint, b bigint, linked boolean, distance double")
+    return materialize(found.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance")), "ngram-checked")
+
+
+def _one_of_equal(members: DataFrame) -> DataFrame:
+    """Of keys with the same members (key, id) only the smallest, and none with fewer than three members: those are checked."""
+    who = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(F.expr(f"bit_xor(xxhash64({k}, id))").alias(f"w{k}") for k in (1, 2)))
+    return members.join(who.where("n > 2").groupBy("n", "w1", "w2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
+def _with_candidates(members: DataFrame, widest: float) -> DataFrame:
+    """Members (key, id, root, distance) that have one of another component within `widest` of their distance to the key's centre.
+
+    Distances fall into cells, an eighth of that wide; each cell hears of the least and greatest component in
+    the cells around it. Both aggregates combine before the shuffle, so a key with very many members is no hot task.
+    """
+    placed = members.withColumn("cell", F.floor(F.col("distance") / (widest / 8)).cast("int")) if widest > 0 else members.withColumn("cell", F.lit(0))
+    cells = placed.groupBy("key", "cell").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    around = cells.select("key", F.explode(F.expr("sequence(cell - 9, cell + 9)")).alias("cell"), "low", "high").groupBy("key", "cell").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
+    return placed.join(around, ["key", "cell"], "left_semi").drop("cell", "distance")
 
 
 def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,9 +328,15 @@ def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     limit_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    raw = materialize(texts.mapInArrow(_emit(percent, n, buckets), _DDL), "ngram-digests")
+    path = scratch_path(spark, "ngram-digests")
+    texts.mapInArrow(_emit(percent, n, buckets), _DDL).write.partitionBy("kind").parquet(path)
+    raw = spark.read.schema(_DDL).parquet(path)
     far = raw.where(F.col("kind") == BLOB).groupBy("bucket").applyInPandas(lambda pdf: _gather(pdf), _BLOB_EDGES)
-    edges = materialize(raw.where(F.col("kind") == EDGE).select("key", "id", "other").unionByName(far), "ngram-edges")
+    stars = materialize(raw.where(F.col("kind") == EDGE).select("key", "id", "other").unionByName(far), "ngram-stars")
+    delete_path(spark, f"{path}/kind={BLOB}")
+    centres = stars.groupBy("key").agg(F.min("other").alias("other"))
+    edges = materialize(stars.select("key", "id").join(centres, "key"), "ngram-edges")
+    discard(stars)
 
     pairs = materialize(edges.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), "ngram-pairs")
     # all later steps read texts of these documents only, so the whole texts are shuffled once
@@ -326,11 +351,10 @@ def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     apart = checked.where("not linked").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select(F.col("a").alias("id"), F.col("b").alias("other"))
     mixed = edges.join(apart, ["id", "other"], "left_semi").select("key").distinct()
-    open_edges = materialize(edges.join(mixed, "key", "left_semi"), "ngram-open")
-    members = open_edges.select("key", "id").union(open_edges.select("key", F.col("other").alias("id"))).distinct()
-    crowd = members.groupBy("key").count().where("count > 2").select("key")  # two members are one pair, and that is checked
-    members = materialize(members.join(crowd, "key", "left_semi").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "ngram-members")
-    all_links = links
+    open_edges = edges.join(mixed, "key", "left_semi").distinct()
+    crowd = materialize(_one_of_equal(open_edges.select("key", "id", "other").union(open_edges.select("key", "other", "other").distinct())), "ngram-crowd")
+    known = crowd.join(checked.select(F.col("a").alias("id"), F.col("b").alias("other"), "distance"), ["id", "other"], "left").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    members = materialize(_with_candidates(known.select("key", "id", F.coalesce("root", "id").alias("root"), F.coalesce("distance", F.lit(0.0)).alias("distance")), 1 - percent / 100), "ngram-members")
     if members.limit(1).count():
         need = members.select("id").distinct()
         maps = used.join(need, "id", "left_semi").mapInArrow(_bitmaps(n), _SET_OF).groupBy("id").agg(F.max_by("n", "n").alias("n"), F.max_by("map", "n").alias("map"))
@@ -339,14 +363,13 @@ def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
             F.collect_list(F.struct("id", "n", "map", "root")).alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("root_low"), F.max("root").alias("root_high"))
         tiles = materialize(tiles.withColumn("rows", F.array_sort("rows")), "ngram-tiles")
         l, r = tiles.alias("l"), tiles.alias("r")
-        meet = l.join(r, F.expr(f"l.key = r.key AND l.tile <= r.tile AND 100 * r.low <= {10000 / percent} * l.high AND NOT (l.root_low = l.root_high AND r.root_low = r.root_high AND l.root_low = r.root_low)"))
+        meet = l.join(r, F.expr(f"l.key = r.key AND l.tile <= r.tile AND r.low * {percent} <= 100 * l.high AND NOT (l.root_low = l.root_high AND r.root_low = r.root_high AND l.root_low = r.root_low)"))
         sides = [F.col(f"{s}.rows.{c}").alias(f"{s}_{c}") for s in "lr" for c in ("id", "n", "map", "root")]
         found = meet.select(*sides, F.expr("l.tile = r.tile").alias("same")).mapInPandas(_tiles_meet(percent), "a bigint, b bigint")
         more = materialize(found.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "ngram-more")
         again = _checked(more, used, percent, n)
-        all_links = links.unionByName(again.where("linked").select("a", "b"))
         discard(tiles, more)
-        roots = components(all_links, "ngram-final")
-    discard(open_edges, members, edges, used)
+        roots = components(links.unionByName(again.where("linked").select("a", "b")), "ngram-final")
+    discard(crowd, members, edges, used)
     rows = raw.where(F.col("kind") == DOC).select("id", F.col("n").alias("n_shingles"))
     return rows.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))
