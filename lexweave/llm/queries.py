@@ -8,6 +8,7 @@ from .bpe import digest_columns, encode_column
 from .html_extract import extract_pages
 from .media import media_columns
 from .ngram_join import ngram_components
+from .ngram_lm import train_and_score
 from .packing import pack_documents
 from .quality_classifier import fit_classifier, score_documents
 from .quality_rules import rule_report
@@ -54,6 +55,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(encode_column(read_table(spark, sf_dir, "documents"), word_vocabulary()))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a bigram model of those outside the holdout."""
+    return train_and_score(read_table(spark, sf_dir, "documents"), order=2)
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
     return extract_pages(read_table(spark, sf_dir, "pages"))
@@ -69,5 +75,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op8_html": op8_html, "op3_media": op3_media, "op6_substring_dedup": op6_substring_dedup, "op1_quality": op1_quality, "op5_sharding": op5_sharding, "op2_ngram_join": op2_ngram_join, "op4_bpe": op4_bpe, "op9_quality_rules": op9_quality_rules, "op10_packing": op10_packing}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_media, op4_bpe, op5_sharding, op6_substring_dedup, op7_lm, op8_html, op9_quality_rules, op10_packing)}
+#: SQL that DuckDB runs over whole tables.
 ORACLE: dict[str, str] = {}
