@@ -34,6 +34,8 @@ from .shared import limit_batches
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: White space for Python's split() that the format doesn't count as such.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
+#: White space of the format.
+SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _SIGNS = string.punctuation
 #: Chunks of text that a worker remembers.
 CACHE = 400_000
@@ -164,7 +166,7 @@ class Vocabulary:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
-        return text.split() if not SEPARATORS.search(text) else regex.split(r"[\t-\r \x85\xa0  -     　]+", text)
+        return text.split() if not SEPARATORS.search(text) else SPACES.split(text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

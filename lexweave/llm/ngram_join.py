@@ -341,7 +341,7 @@ def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     pairs = materialize(edges.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), "ngram-pairs")
     # all later steps read texts of these documents only, so the whole texts are shuffled once
     need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    used = materialize(texts.join(need, "id", "left_semi"), "ngram-texts")
+    used = materialize(texts.join(need.hint("merge"), "id", "left_semi"), "ngram-texts")  # the same plan at every size
     checked = _checked(pairs, used, percent, n)
     discard(pairs)
     links = checked.where("linked").select("a", "b")
@@ -362,10 +362,16 @@ def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
         tiles = ranked.groupBy("key", F.expr(f"(place - 1) div {TILE}").alias("tile")).agg(
             F.collect_list(F.struct("id", "n", "map", "root")).alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("root_low"), F.max("root").alias("root_high"))
         tiles = materialize(tiles.withColumn("rows", F.array_sort("rows")), "ngram-tiles")
-        l, r = tiles.alias("l"), tiles.alias("r")
-        meet = l.join(r, F.expr(f"l.key = r.key AND l.tile <= r.tile AND r.low * {percent} <= 100 * l.high AND NOT (l.root_low = l.root_high AND r.root_low = r.root_high AND l.root_low = r.root_low)"))
-        sides = [F.col(f"{s}.rows.{c}").alias(f"{s}_{c}") for s in "lr" for c in ("id", "n", "map", "root")]
-        found = meet.select(*sides, F.expr("l.tile = r.tile").alias("same")).mapInPandas(_tiles_meet(percent), "a bigint, b bigint")
+        # tiles meet themselves where they lie; only digests of several tiles are joined
+        several = tiles.where("tile > 0").select("key").distinct()
+        spread = tiles.join(several, "key", "left_semi")
+        l, r = spread.alias("l"), spread.alias("r")
+        meet = l.join(r, F.expr(f"l.key = r.key AND l.tile < r.tile AND r.low * {percent} <= 100 * l.high AND NOT (l.root_low = l.root_high AND r.root_low = r.root_high AND l.root_low = r.root_low)"))
+        sides = lambda x, y: [F.col(f"{t}.{c}").alias(f"{s}_{c}") for s, t in (("l", x), ("r", y)) for c in ("id", "n", "map", "root")]
+        own = tiles.select(*sides("rows", "rows"), F.lit(True).alias("same"))
+        across = meet.select(*sides("l.rows", "r.rows"), F.lit(False).alias("same"))
+        compare = lambda df: df.mapInPandas(_tiles_meet(percent), "a bigint, b bigint")
+        found = compare(own).union(compare(across))
         more = materialize(found.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "ngram-more")
         again = _checked(more, used, percent, n)
         discard(tiles, more)
