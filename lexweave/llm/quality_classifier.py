@@ -167,4 +167,6 @@ def score_documents(docs: DataFrame, model: RuleModel, *, id_col: str = "doc_id"
 def keep_quality(docs: DataFrame, model: RuleModel, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs without those that the model rejects; columns as they were."""
     rows = with_features(docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_body")), "_body")
-    return rows.where(model.column() >= threshold).select("_row.*")
+    # a filter would be pushed below the statistics and repeat them for each rule; a generator stays where it is
+    kept = F.when(model.column() >= threshold, F.array("_row")).otherwise(F.slice(F.array("_row"), 1, 0))
+    return rows.select(F.explode(kept).alias("_row")).select("_row.*")
