@@ -36,10 +36,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import CHUNK_BYTES, U64, chunks, components, delete_path, discard, hash_words, limit_batches, materialize, mix, scratch_path, utf8_parts
+from .shared import CHUNK_BYTES, U64, chunks, components, discard, hash_words, limit_batches, materialize, mix, release_shuffles, utf8_parts
 
 #: Each band is this much wider than the one below it.
 BAND_RATIO = 1.5
@@ -167,29 +168,37 @@ def _sorted(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[order], doc[order]
 
 
-_OUT = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("other", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())])
-_DDL = "kind tinyint, bucket int, id bigint, n bigint, key bigint, other bigint, keys binary, docs binary"
-DOC, EDGE, BLOB = 0, 1, 2
+_ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+_DDL = "bucket int, kind tinyint, a binary, b binary, c binary"
+#: Rows of arrays: documents (known, id, size), a task's own star edges (key, id, centre), digests of a bucket (upper and lower key bytes, id).
+DOCS, EDGES, DIGESTS, FAR_DIGESTS = 0, 1, 2, 3
 
 
-def _batch(kind: int, **columns) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)) if f.name == "kind" else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _OUT], schema=_OUT)
+def _row(bucket: int, kind: int, *arrays: np.ndarray) -> tuple:
+    return bucket, kind, *(x.tobytes() for x in arrays)
 
 
 def _emit(percent: int, n: int, buckets: int):
+    """Documents to rows of arrays, each meant for a bucket. Digests keep 48 bits besides the bucket's: two that
+    meet by chance are one key with documents of two kinds, which the comparison of open keys sorts out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, keys, docs, held = Bands(percent), [], [], 0
+        bands, keys, docs, held, turn = Bands(percent), [], [], 0, TaskContext.get().partitionId()
 
-        def flush():
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ROWS, strict=True)], schema=_ROWS)
+
+        def flush() -> list[tuple]:
             key, doc = _sorted(np.concatenate(keys), np.concatenate(docs))
             key, doc, own, left, right = _star(key, doc)
-            if len(own):
-                yield _batch(EDGE, key=own.view(np.int64), id=left, other=right)
             place = ((key >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)  # keys are sorted, so buckets are runs
             cut = np.searchsorted(place, np.arange(buckets + 1))
-            some = np.flatnonzero(np.diff(cut))
-            yield _batch(BLOB, bucket=some.astype(np.int32), keys=[key[cut[b] : cut[b + 1]].tobytes() for b in some], docs=[doc[cut[b] : cut[b + 1]].tobytes() for b in some])
+            rows = [_row(turn % buckets, EDGES, own, left, right)] if len(own) else []
+            for b in np.flatnonzero(np.diff(cut)).tolist():
+                k, d = key[cut[b] : cut[b + 1]], doc[cut[b] : cut[b + 1]]
+                low, near = d.min(), int(d.max()) - int(d.min()) < 1 << 32
+                ids = np.concatenate((np.array([low], np.int64).view(np.uint32), (d - low).astype(np.uint32))) if near else d  # offsets from the least id, where they fit
+                rows.append(_row(b, DIGESTS if near else FAR_DIGESTS, (k >> U64(32)).astype(np.uint32), (k >> U64(16)).astype(np.uint16), ids))
+            return rows
 
         for batch in batches:
             ids, (raw, offsets) = batch.column(0), utf8_parts(batch.column(1))
@@ -200,27 +209,44 @@ def _emit(percent: int, n: int, buckets: int):
                 for k, x in enumerate(shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n), i):
                     sizes.append(len(x))
                     if len(x) and known[k]:
-                        keys.append(digests(x, bands))
+                        keys.append(digests(x, bands) & ~U64(0xFFFF))
                         docs.append(np.full(len(keys[-1]), number[k], np.int64))
                         held += len(keys[-1])
-            yield _batch(DOC, id=ids, n=np.array(sizes, np.int64))
+            turn += 1
+            rows = [_row(turn % buckets, DOCS, known, number.astype(np.int64), np.array(sizes, np.int64))] if len(ids) else []
             if held >= FLUSH:
-                yield from flush()
+                rows += flush()
                 keys, docs, held = [], [], 0
+            if rows:
+                yield batch_of(rows)
         if held:
-            yield from flush()
+            yield batch_of(flush())
 
     return run
 
 
-_BLOB_EDGES = "key bigint, id bigint, other bigint"
+_GATHERED = "kind tinyint, key bigint, id bigint, other bigint, n bigint"
 
 
 def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
-    key = np.concatenate([np.frombuffer(x, U64) for x in pdf["keys"]])
-    doc = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["docs"]])
-    _, _, own, left, right = _star(*_sorted(key, doc))
-    return pd.DataFrame({"key": own.view(np.int64), "id": left, "other": right})
+    """A bucket's documents, task-wide star edges as they are, and the star edges among its digests."""
+    keys, docs, out = [], [], []
+    for kind, a, b, c in zip(pdf["kind"], pdf["a"], pdf["b"], pdf["c"], strict=True):
+        if kind == DOCS:
+            known = np.frombuffer(a, bool)
+            out.append(pd.DataFrame({"kind": DOCS, "id": pd.array(np.frombuffer(b, np.int64), "Int64"), "n": np.frombuffer(c, np.int64)}))
+            out[-1].loc[~known, "id"] = pd.NA
+        elif kind == EDGES:
+            out.append(pd.DataFrame({"kind": EDGES, "key": np.frombuffer(a, np.int64), "id": np.frombuffer(b, np.int64), "other": np.frombuffer(c, np.int64)}))
+        else:
+            high, low = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint16)
+            keys.append(high.astype(U64) << U64(32) | low.astype(U64) << U64(16))
+            docs.append(np.frombuffer(c, np.int64) if kind == FAR_DIGESTS else np.frombuffer(c[8:], np.uint32).astype(np.int64) + np.frombuffer(c[:8], np.int64)[0])
+    if keys:
+        _, _, own, left, right = _star(*_sorted(np.concatenate(keys), np.concatenate(docs)))
+        out.append(pd.DataFrame({"kind": EDGES, "key": own.view(np.int64), "id": left, "other": right}))
+    full = pd.concat([x.astype({c: "Int64" for c in x.columns}) for x in out]) if out else pd.DataFrame({"kind": []})
+    return full.reindex(columns=["kind", "key", "id", "other", "n"])
 
 
 _SET_OF = "id bigint, n bigint, map binary"
@@ -328,20 +354,18 @@ def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     limit_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = scratch_path(spark, "ngram-digests")
-    texts.mapInArrow(_emit(percent, n, buckets), _DDL).write.partitionBy("kind").parquet(path)
-    raw = spark.read.schema(_DDL).parquet(path)
-    far = raw.where(F.col("kind") == BLOB).groupBy("bucket").applyInPandas(lambda pdf: _gather(pdf), _BLOB_EDGES)
-    stars = materialize(raw.where(F.col("kind") == EDGE).select("key", "id", "other").unionByName(far), "ngram-stars")
-    delete_path(spark, f"{path}/kind={BLOB}")
+    raw = texts.mapInArrow(_emit(percent, n, buckets), _DDL)
+    gathered = materialize(raw.groupBy("bucket").applyInPandas(lambda pdf: _gather(pdf), _GATHERED), "ngram-gathered")
+    release_shuffles(spark)
+    stars = gathered.where(F.col("kind") == EDGES).select("key", "id", "other")
     centres = stars.groupBy("key").agg(F.min("other").alias("other"))
     edges = materialize(stars.select("key", "id").join(centres, "key"), "ngram-edges")
-    discard(stars)
 
     pairs = materialize(edges.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), "ngram-pairs")
     # all later steps read texts of these documents only, so the whole texts are shuffled once
     need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     used = materialize(texts.join(need.hint("merge"), "id", "left_semi"), "ngram-texts")  # the same plan at every size
+    release_shuffles(spark)
     checked = _checked(pairs, used, percent, n)
     discard(pairs)
     links = checked.where("linked").select("a", "b")
@@ -377,5 +401,6 @@ def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
         discard(tiles, more)
         roots = components(links.unionByName(again.where("linked").select("a", "b")), "ngram-final")
     discard(crowd, members, edges, used)
-    rows = raw.where(F.col("kind") == DOC).select("id", F.col("n").alias("n_shingles"))
+    release_shuffles(spark)
+    rows = gathered.where(F.col("kind") == DOCS).select("id", F.col("n").alias("n_shingles"))
     return rows.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))

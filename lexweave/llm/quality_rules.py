@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 from .textstats import ratio, with_base, with_repeats, with_shape
 
 #: Rule: statistic and its cutoffs from mild to strict; a document is rejected above the cutoff.
@@ -102,6 +102,10 @@ def rule_report(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
     """docs without those that fail the base test or a rule; columns as they were."""
-    stats = materialize(with_statistics(docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_doc"), F.col(text_col).alias("_body"), F.col(stratum).cast("string").alias("_stratum")), "_body").select("_row", "_doc", "_stratum", "base_failed", *RULES), "rule-rows")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_doc"), F.col(text_col).alias("_body"), F.col(stratum).cast("string").alias("_stratum"))
+    stats = materialize(with_statistics(rows.drop("_row"), "_body").select("_doc", "_stratum", "base_failed", *RULES), "rule-statistics")
     cutoffs = safe_cutoffs(stats, labels, id_col="_doc", stratum="_stratum")
-    return stats.where(verdict(cutoffs, "_stratum")).select("_row.*")
+    discard(stats)
+    # the statistics are made again rather than kept beside the texts; a generator in place of a filter isn't pushed below them
+    kept = F.when(verdict(cutoffs, "_stratum"), F.array("_row")).otherwise(F.slice(F.array("_row"), 1, 0))
+    return with_statistics(rows, "_body").select(F.explode(kept).alias("_row")).select("_row.*")

@@ -8,6 +8,7 @@ n^2 / 2^65 for n different words.
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -60,6 +61,12 @@ def discard(*frames: DataFrame) -> None:
         delete_path(df.sparkSession, df._scratch)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished writes; it learns of them when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

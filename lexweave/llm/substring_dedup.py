@@ -1,4 +1,4 @@
-"""Substring dedup by hashing units: lines, cut further at sentence ends and before capitalised words.
+"""Substring dedup by hashing units: lines, cut further at sentence ends, before capitalised words and by content.
 
 Units are normalised (lower case, white space collapsed) and hashed; digests are grouped over all
 documents and the earliest occurrence, by document id and then place, is kept. Every other occurrence is
@@ -25,12 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import discard, limit_batches, materialize
 
 MIN_WORDS = 25
-#: Ends of units: a line's end, a sentence's end with the white space after it, white space before a capitalised word.
-ENDS = re.compile(r"\n|[.!?]+[ \t]+|[ \t]+(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])")
+#: Ends of units: a line's end, a sentence's end with the white space after it, white space before a capitalised
+#: word, white space after a word that ends in a digit or one of some rarer final letters.
+ENDS = re.compile(r"\n|[.!?]+[ \t]+|[ \t]+(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])|(?<=[bfkpwxz0-9])[ \t]+")
 
 
 def units(text: str) -> list[tuple[int, int, str]]:
@@ -115,8 +117,9 @@ def dedup_units(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "d
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *cut(batch.column(1), batch.column(2))], names=["_row", *schema.names])
 
-    row = rows.select("_row").schema[0].dataType.simpleString()
-    return joined.mapInArrow(run, f"_row {row}, clean string, spans array<struct<start:int,end:int>>, n_units bigint")
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    out = T.StructType([rows.select("_row").schema[0], T.StructField("clean", T.StringType()), T.StructField("spans", T.ArrayType(span)), T.StructField("n_units", T.LongType())])
+    return joined.mapInArrow(run, out)
 
 
 def dedup_report(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
