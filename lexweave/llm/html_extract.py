@@ -97,7 +97,7 @@ def fit_weights(pages: list[str] = PAGES) -> dict[str, float]:
             if kind == "tag" and not left_out:
                 (inside if first <= at < last else outside)[name] += 1
     odds = {t: math.log((inside[t] + 0.5) / (outside[t] + 0.5)) for t in inside | outside}
-    return {t: max(LIMIT, 2 * x) if x < 0 else TAG_COST for t, x in odds.items()} | {"article": LIMIT, "main": LIMIT, "body": LIMIT}
+    return {t: max(LIMIT, x) if x < 0 else TAG_COST for t, x in odds.items()} | {"article": LIMIT, "main": LIMIT, "body": LIMIT}
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:

@@ -114,7 +114,7 @@ PAGES = [
     ("", ""),
     ("a &lt; b &amp;\n c", "a < b & c"),
     ("<html><body><nav><a href='/'>Home page of it</a></nav><article><h1>T  x</h1><p>One&nbsp;two<br>three <b>fo</b>ur.</p><div class='ad-box'>Buy now and more and more</div><p>End.</p><form>Your name <input></form><p>7</p></article><section class='comments'><p>Great article, thanks a lot, very good</p></section><footer>Imprint and words</footer>", "T x\nOne two\nthree four.\nEnd.\n7"),
-    ("<body><div id='cookieNotice'>We use cookies, accept all of them now</div><div class=sidebar><p>Some long list of other things to read here</p></div><div id='content'><div><p>First part of it is here.</p></div><div><p>Second.</p></div></div><script>if (a<b) { document.write('<p>no no no no</p>') }</script></body>", "First part of it is here.\nSecond."),
+    ("<body><div id='cookieNotice'>We use cookies, accept all of them now</div><div class=sidebar><p>Some long list of other things to read here</p></div><div id='content'><div><p>First part of it is here.</p></div><div><p>Second part, not long.</p></div></div><script>if (a<b) { document.write('<p>no no no no</p>') }</script></body>", "First part of it is here.\nSecond part, not long."),
     ("<style>p{}</style><p>Unclosed <b>bold<p>Next &copy; text<!-- hidden words here --> goes on", "Unclosed bold\nNext © text goes on"),
     ("<article><p>" + "long word " * 50_000 + "</p></article>", ("long word " * 50_000).strip()),
 ]
