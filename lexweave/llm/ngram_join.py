@@ -45,7 +45,7 @@ from .shared import CHUNK_BYTES, U64, chunks, components, discard, hash_words, l
 #: Each band is this much wider than the one below it.
 BAND_RATIO = 1.5
 #: Least bits of a document's hashed bitmap, and bits per shingle of a larger one; always a power of two.
-BITMAP_BITS, BITS_PER_SHINGLE = 512, 8
+BITMAP_BITS, BITS_PER_SHINGLE = 256, 4
 #: Documents of a tile.
 TILE = 64
 #: Digests that a task gathers before it writes its blobs.
@@ -368,6 +368,7 @@ def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     release_shuffles(spark)
     checked = _checked(pairs, used, percent, n)
     discard(pairs)
+    release_shuffles(spark)
     links = checked.where("linked").select("a", "b")
     roots = components(links, "ngram-roots")
 
@@ -379,26 +380,28 @@ def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     crowd = materialize(_one_of_equal(open_edges.select("key", "id", "other").union(open_edges.select("key", "other", "other").distinct())), "ngram-crowd")
     known = crowd.join(checked.select(F.col("a").alias("id"), F.col("b").alias("other"), "distance"), ["id", "other"], "left").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     members = materialize(_with_candidates(known.select("key", "id", F.coalesce("root", "id").alias("root"), F.coalesce("distance", F.lit(0.0)).alias("distance")), 1 - percent / 100), "ngram-members")
+    release_shuffles(spark)
     if members.limit(1).count():
         need = members.select("id").distinct()
         maps = used.join(need, "id", "left_semi").mapInArrow(_bitmaps(n), _SET_OF).groupBy("id").agg(F.max_by("n", "n").alias("n"), F.max_by("map", "n").alias("map"))
-        ranked = members.join(maps, "id").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("n", "root", "id")))
-        tiles = ranked.groupBy("key", F.expr(f"(place - 1) div {TILE}").alias("tile")).agg(
-            F.collect_list(F.struct("id", "n", "map", "root")).alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("root_low"), F.max("root").alias("root_high"))
-        tiles = materialize(tiles.withColumn("rows", F.array_sort("rows")), "ngram-tiles")
-        # tiles meet themselves where they lie; only digests of several tiles are joined
-        several = tiles.where("tile > 0").select("key").distinct()
-        spread = tiles.join(several, "key", "left_semi")
-        l, r = spread.alias("l"), spread.alias("r")
-        meet = l.join(r, F.expr(f"l.key = r.key AND l.tile < r.tile AND r.low * {percent} <= 100 * l.high AND NOT (l.root_low = l.root_high AND r.root_low = r.root_high AND l.root_low = r.root_low)"))
+        maps = materialize(maps, "ngram-maps")
         sides = lambda x, y: [F.col(f"{t}.{c}").alias(f"{s}_{c}") for s, t in (("l", x), ("r", y)) for c in ("id", "n", "map", "root")]
-        own = tiles.select(*sides("rows", "rows"), F.lit(True).alias("same"))
-        across = meet.select(*sides("l.rows", "r.rows"), F.lit(False).alias("same"))
         compare = lambda df: df.mapInPandas(_tiles_meet(percent), "a bigint, b bigint")
-        found = compare(own).union(compare(across))
+        rows = F.collect_list(F.struct("id", "n", "map", "root")).alias("rows")
+        # most keys are one tile, which meets itself where it is gathered; only keys of several tiles are joined
+        many = members.groupBy("key").count().where(f"count > {TILE}").select("key")
+        one = members.join(many, "key", "left_anti").join(maps, "id").groupBy("key").agg(rows)
+        ranked = members.join(many, "key", "left_semi").join(maps, "id").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("n", "root", "id")))
+        tiles = materialize(ranked.groupBy("key", F.expr(f"(place - 1) div {TILE}").alias("tile")).agg(
+            rows, F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("root_low"), F.max("root").alias("root_high")), "ngram-tiles")
+        l, r = tiles.alias("l"), tiles.alias("r")
+        meet = l.join(r, F.expr(f"l.key = r.key AND l.tile < r.tile AND r.low * {percent} <= 100 * l.high AND NOT (l.root_low = l.root_high AND r.root_low = r.root_high AND l.root_low = r.root_low)"))
+        alone = one.select("rows").union(tiles.where("root_low <> root_high").select("rows"))
+        found = compare(alone.select(*sides("rows", "rows"), F.lit(True).alias("same"))).union(compare(meet.select(*sides("l.rows", "r.rows"), F.lit(False).alias("same"))))
         more = materialize(found.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "ngram-more")
+        release_shuffles(spark)
         again = _checked(more, used, percent, n)
-        discard(tiles, more)
+        discard(tiles, maps, more)
         roots = components(links.unionByName(again.where("linked").select("a", "b")), "ngram-final")
     discard(crowd, members, edges, used)
     release_shuffles(spark)
