@@ -76,5 +76,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_media, op4_bpe, op5_sharding, op6_substring_dedup, op7_lm, op8_html, op9_quality_rules, op10_packing)}
-#: SQL that DuckDB runs over whole tables.
-ORACLE: dict[str, str] = {}
+#: SQL that DuckDB runs over whole tables. The others hold fitted models, hashes, tokens or files that SQL doesn't
+#: express; tests hold them against brute force, exact round trips or held-out labels.
+ORACLE: dict[str, str] = {"op2_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+u AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p WHERE 100 * k >= 90 * (nx + ny - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+m AS (SELECT x, min(y) AS low FROM r GROUP BY 1)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id FROM s LEFT JOIN m ON doc_id = x"""}

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import words  # noqa: F401  the folder's own helpers
+from odd_rows import WORD, words
 
 import corpus_pipeline
 from lexweave.llm import ngram_join, ngram_lm, quality_classifier, quality_rules, substring_dedup
@@ -200,8 +200,6 @@ def test_binomial_bound():
 
 
 def brute_base(text):
-    from conftest import WORD
-
     text = text or ""
     w, lines, seen, dup = WORD.findall(text), text.split("\n"), set(), 0
     for x in lines:
