@@ -7,9 +7,10 @@ differences of any pair whose larger set lies in a size band by a number D.
 1. Bands. Band l holds larger-set sizes in (S[l-1], S[l]]. The hash space of shingles is cut into
    K > D slices; with at most D differences some slice of the pair has none, so both documents have the
    same shingles there. Each document therefore writes one digest per slice, for each band that a link
-   partner can put the pair in. A slice without shingles is no evidence: K leaves room for empty slices,
-   and the rare documents with more empty slices than the room write digests for those as well. No
-   link is lost this way, whatever the sizes.
+   partner can put the pair in. A slice with fewer than two shingles is weak evidence: K leaves room for such
+   thin slices, and the documents with more thin slices than the room write digests for those as well. A pair
+   has more equal slices than one of the two has thin ones, or else both write all; so no link is lost,
+   whatever the sizes.
 2. Digests travel as sorted blobs, one per (task, bucket); each task first joins its own equal digests
    into stars around their smallest document, so a digest that a third of all rows carries reaches its
    bucket once per task, not once per row.
@@ -42,8 +43,8 @@ from pyspark.sql import functions as F
 
 from .shared import CHUNK_BYTES, U64, chunks, components, discard, hash_words, limit_batches, materialize, mix, release_shuffles, utf8_parts
 
-#: Each band is this much wider than the one below it.
-BAND_RATIO = 1.5
+#: Each band is this much wider than the one below it; shingles below which a slice is thin.
+BAND_RATIO, THICK = 1.3, 2
 #: Least bits of a document's hashed bitmap, and bits per shingle of a larger one; always a power of two.
 BITMAP_BITS, BITS_PER_SHINGLE = 256, 4
 #: Documents of a tile.
@@ -61,22 +62,27 @@ class Bands:
     """The size bands and their number of slices for a threshold."""
 
     def __init__(self, percent: int, ratio: float = BAND_RATIO):
-        self.percent, self.tops, self.slices, self.room = percent, [1], [1], [1]
+        self.percent, self.tops, self.slices = percent, [1], [1]
         while self.tops[-1] < 1 << 36:
             top = max(self.tops[-1] + 1, int(self.tops[-1] * ratio))
             self.tops.append(top)
             least = max(1, math.ceil((self.tops[-2] + 1) * percent / 100))
             d = most_differences(2 * top, percent)
             k = d + 1
-            while True:  # room for the empty slices that a document of this band usually has, and then some
-                empty = k * math.exp(-least / k)
-                if k - d > empty + 3 * math.sqrt(empty) or k > 1.35 * d + 2:
-                    break
+            while k <= 1.35 * d + 2 and not all(self._roomy(k, x, top) for x in (least, top)):
                 k += max(1, k // 100)
             self.slices.append(k)
-            self.room.append(k - d)
         self._tops = np.array(self.tops)
 
+    def room(self, band: int, size: int) -> int:
+        """Slices that surely are equal in a link of this band with a document of this size."""
+        return self.slices[band] - most_differences(size + self.tops[band], self.percent)
+
+    def _roomy(self, k: int, size: int, top: int) -> bool:
+        """Whether a document of this size seldom has as many thin slices as there is room."""
+        thin = k * math.exp(-size / k) * (1 + size / k)
+        return k - most_differences(size + top, self.percent) > thin + 2 * math.sqrt(thin)
+
     def of(self, size: int) -> range:
         """Bands in which a link with a document of this size can lie: by its own size as the larger, to the largest partner's."""
         return range(int(np.searchsorted(self._tops, size)), int(np.searchsorted(self._tops, size * 100 // self.percent)) + 1)
@@ -117,11 +123,11 @@ def digests(x: np.ndarray, bands: Bands) -> np.ndarray:
             k = bands.slices[band]
             cuts = np.searchsorted(high, (np.arange(1, k, dtype=U64) * U64(1 << 32) + U64(k - 1)) // U64(k))
             cuts = np.concatenate(([0], cuts, [len(x)]))
-            full = np.diff(cuts) > 0
+            full = np.diff(cuts) >= THICK
             sums = total[cuts[1:]] - total[cuts[:-1]]
             name = U64(band) * U64(0xA24BAED4963EE407) + np.arange(k, dtype=U64) * U64(0x9FB21C651E98DF25)
             own = mix(sums + mix(name))
-            out.append(own if k - int(full.sum()) >= bands.room[band] else own[full])
+            out.append(own if k - int(full.sum()) >= bands.room(band, len(x)) else own[full])
     return np.concatenate(out)
 
 
