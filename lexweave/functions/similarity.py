@@ -182,6 +182,11 @@ def letter_lcs(a: Column, b: Column, standard: float) -> Column:
     return _lcs_share(strip(a), strip(b), F.length, standard, a.isNull() | b.isNull())
 
 
+def lcs_similarity(a: Column, b: Column, standard: float) -> Column:
+    """LCS of characters over the longer length, edges as they are."""
+    return _lcs_share(a, b, F.length, standard, a.isNull() | b.isNull())
+
+
 def tokens(c: Column) -> Column:
     return F.filter(F.split(strip(c), f"[;,，、{PY_WS}]+"), lambda w: w != "")
 
@@ -389,6 +394,7 @@ MEASURES: dict[str, Measure] = {m.name: m for m in (
     Measure("PreprocessedAbbrevExactStrategy", preprocessed_abbreviation),
     Measure("PreprocessedFuzzyRatioStrategy", preprocessed_fuzzy, native=False),
     Measure("PartialRatio", partial, native=False),
+    Measure("LcsSimilarity", lcs_similarity, native=False),
     Measure("Cosine", cosine),
 )}
 
@@ -397,6 +403,11 @@ def register(name: str, apply: Callable[..., Column], *, native: bool = True, ex
     MEASURES[name] = Measure(name, apply, native, exact)
 
 
+def register_encoder(encoder: Callable[[Column], Column], name: str = "Embedding") -> None:
+    """Makes the embedding measure available with a sentence encoder; there is none without it."""
+    register(name, embedding(encoder), native=False)
+
+
 def parameter_metadata(name: str) -> dict[str, dict[str, Any]]:
     return MEASURES[name].parameters if name in MEASURES else {}
 

@@ -169,26 +169,45 @@ _LEV = "(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0::DOUBLE ELSE 1 -
 _SHARED = "len(list_intersect(list_distinct(x), list_distinct(y)))"
 _JACCARD = f"({_SHARED}::DOUBLE / len(list_distinct(list_concat(x, y))))"
 _KEYS = ("c_custkey", "s_suppkey")
+
+
+def _lcs_sql(xs: str, ys: str, select: str) -> str:
+    """`select` over t(a, b, xs, ys, lcs): the table method row by row, one row of it per step of the recursion."""
+    cell = "greatest(row[j[1] + 1], acc[len(acc)], CASE WHEN xs[i + 1] = ys[j[1]] THEN row[j[1]] + 1 ELSE 0 END)"
+    return f"""WITH RECURSIVE p AS (SELECT a, b, {xs} AS xs, {ys} AS ys FROM {NAMES}),
+r AS (SELECT a, b, 0 AS i, list_transform(range(len(ys) + 1), lambda k: 0::BIGINT) AS row FROM p UNION ALL
+SELECT r.a, r.b, i + 1, list_reduce(list_transform(range(1, len(ys) + 1), lambda j: [j]), lambda acc, j: list_append(acc, {cell}), [0::BIGINT]) FROM r JOIN p ON r.a = p.a AND r.b = p.b WHERE i < len(xs)),
+t AS (SELECT r.a, r.b, xs, ys, row[len(row)] AS lcs FROM r JOIN p ON r.a = p.a AND r.b = p.b WHERE i = len(xs)) {select}"""
+
+
+def _lcs_measure(xs: str, ys: str, score: str, success: str) -> str:
+    return _lcs_sql(xs, ys, f"SELECT a, b, {success.replace('@', score)} AS success, CAST({score} AS DOUBLE) AS score FROM t")
+
+
+_CHARS = ("string_split(a, '')", "string_split(b, '')")
+_TOKENS = tuple(f"list_filter(regexp_split_to_array({c}, '[;,，、{WS}]+'), lambda w: w <> '')" for c in "ab")
+_RATIO = "(2 * lcs / (len(xs) + len(ys))::DOUBLE)"
+_SHARE = "(lcs / greatest(len(xs), len(ys))::DOUBLE)"
 add("measure_exact", _measured("EXACT"), _measure_sql("(a = b)::INT", "a = b"))
-add("measure_fuzzy", _measured("FUZZY", 0.5))
+add("measure_fuzzy", _measured("FUZZY", 0.5), _lcs_measure(*_CHARS, _RATIO, "@ >= 0.5::DOUBLE"))
 add("measure_levenshtein", _measured("Levenshtein", 0.5), _measure_sql(_LEV, f"{_LEV} >= 0.5::DOUBLE"))
 add("measure_levenshtein_neighbours", _measured("Levenshtein", 0.5, neighbours, _KEYS), _measure_sql(_LEV, f"{_LEV} >= 0.5::DOUBLE", NEIGHBOURS, "c_custkey, s_suppkey"))
 add("measure_jaro_winkler", lambda s, d: _measured("JaroWinkler", 0.9)(s, d).withColumn("score", F.round("score", 9)), _measure_sql("round(jaro_winkler_similarity(a, b), 9)", "jaro_winkler_similarity(a, b) >= 0.9::DOUBLE"))
 add("measure_in", _measured("IN"), _measure_sql("contains(a, b)::INT", "contains(a, b)"))
 add("measure_contained", _measured("TwoSideInStringStrategy", strategy_mode="a_in_b"), _measure_sql("contains(b, a)::INT", "contains(b, a)"))
 add("measure_contained_long", _measured("TwoSideInWith3WordsStringStrategy"), _measure_sql("((contains(b, a) AND length(a) >= 3) OR (contains(a, b) AND length(b) >= 3))::INT", "(contains(b, a) AND length(a) >= 3) OR (contains(a, b) AND length(b) >= 3)"))
-add("measure_letter_lcs", _measured("LetterLCS", 0.5))
-add("measure_word_lcs", _measured("WordLCS", 0.5))
+add("measure_letter_lcs", _measured("LetterLCS", 0.5), _lcs_measure(*_CHARS, _SHARE, "@ >= 0.5::DOUBLE"))
+add("measure_word_lcs", _measured("WordLCS", 0.5), _lcs_measure(*_TOKENS, _SHARE, "@ >= 0.5::DOUBLE"))
 add("measure_jaccard", _measured("JACCARD", 0.3), _measure_sql(_JACCARD, f"{_JACCARD} >= 0.3::DOUBLE"))
 add("measure_segment_jaccard", _measured("NewJACCARDStrategy", 0.5, split_segment=" ", strategy_mode="score_mode", scoring_method="set1_base"), _measure_sql(f"{_SHARED}::DOUBLE / len(list_distinct(x))", f"{_SHARED}::DOUBLE / len(list_distinct(x)) >= 0.5::DOUBLE"))
 add("measure_segment_amount", _measured("NewJACCARDStrategy", 1, split_segment=" ", strategy_mode="amount_mode"), _measure_sql(_SHARED, f"{_SHARED} >= 1"))
 add("measure_number_jaccard", _measured("NumberJaccardStrategy", 1), _measure_sql(_JACCARD, f"{_SHARED} >= 1"))
-add("measure_shared_words_ratio", _measured("FourJaccardRapidFuzzyScoreStrategy", 1))
+add("measure_shared_words_ratio", _measured("FourJaccardRapidFuzzyScoreStrategy", 1), _lcs_measure(_words("a"), _words("b"), _RATIO, "len(list_intersect(list_distinct(xs), list_distinct(ys))) >= 1"))
 add("measure_partial_ratio", _measured("PartialRatio", 0.6))
 _ALNUM = "regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g')"
 add("measure_preprocessed_exact", _measured("PREPROCESSED_EXACT", source=neighbours, keys=_KEYS, processors=["StrFunc_KeepDigits"]), _measure_sql("(regexp_replace(a, '[^0-9]', '', 'g') = regexp_replace(b, '[^0-9]', '', 'g'))::INT", "regexp_replace(a, '[^0-9]', '', 'g') = regexp_replace(b, '[^0-9]', '', 'g')", NEIGHBOURS, "c_custkey, s_suppkey"))
 add("measure_preprocessed_authority", _measured("PREPROCESSED_EXACT", table=AuthorityMap()), _measure_sql(f"({_ALNUM.format('a')} = {_ALNUM.format('b')})::INT", f"{_ALNUM.format('a')} = {_ALNUM.format('b')}"))
-add("measure_preprocessed_fuzzy", _measured("PreprocessedFuzzyRatioStrategy", 0.5, processors=["StrFunc_Uppercase"]))
+add("measure_preprocessed_fuzzy", _measured("PreprocessedFuzzyRatioStrategy", 0.5, processors=["StrFunc_Uppercase"]), _lcs_measure("string_split(upper(a), '')", "string_split(upper(b), '')", _RATIO, "@ >= 0.5::DOUBLE"))
 
 
 def _abbreviated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +269,8 @@ add("best_match_parts", best_part_names, _BEST)
 add("best_match_customers", lambda s, d: best_match(table(s, d, "customer"), table(s, d, "supplier"), "Levenshtein", 0.6, left_col="c_name", right_col="s_name"),
     f"""WITH c AS (SELECT DISTINCT c_name AS a FROM customer), q AS (SELECT DISTINCT s_name AS b FROM supplier), t AS (SELECT a, b, {_LEV} AS score FROM c, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM t WHERE score >= 0.6::DOUBLE) SELECT c_name AS query, b AS best_match, score FROM customer JOIN r ON c_name = a AND k = 1""")
-add("best_match_fuzzy", lambda s, d: best_match(part_names(s, d), part_names(s, d), "FUZZY", 0.6, left_col="name", right_col="name", exclude_same=True))
+add("best_match_fuzzy", lambda s, d: best_match(part_names(s, d), part_names(s, d), "FUZZY", 0.6, left_col="name", right_col="name", exclude_same=True),
+    _lcs_sql(*_CHARS, f"SELECT a AS query, b AS best_match, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM (SELECT a, b, {_RATIO} AS score FROM t WHERE a <> b) WHERE score >= 0.6::DOUBLE) WHERE k = 1"))
 add("score_bands", lambda s, d: best_part_names(s, d).select("query", score_band(F.col("score"), 0.6).alias("band")), f"SELECT query, CASE WHEN score >= 0.8::DOUBLE THEN 'high' WHEN score >= 0.6::DOUBLE THEN 'medium' ELSE 'low' END AS band FROM ({_BEST})")
 
 EXACT_RULE = {"Rules": ["AND", {"ColsCompare": ["AND", {"df1": "c_nationkey", "df2": "s_nationkey", "method": ["AND", {"algo": "EXACT"}]}]}]}

@@ -81,3 +81,10 @@ def test_cosine_and_metadata(spark):
     assert [r[0] for r in df.select(S.cosine_score(F.col("u"), F.col("v"))).collect()] == [pytest.approx(0.5**0.5), None]
     assert S.parameter_metadata("NewJACCARDStrategy")["split_segment"]["default"] == " ; "
     assert S.cast_parameter("Yes", "bool") is True and S.cast_parameter("3", "int") == 3
+
+
+def test_encoder(spark):
+    S.register_encoder(lambda c: F.array(F.length(c).cast("float"), F.lit(1.0).cast("float")))
+    df = spark.createDataFrame([("ab", "cd")], "a string, b string")
+    assert df.select(S.similarity("Embedding", "a", "b", 0.9).alias("r")).first()["r"]["success"]
+    del S.MEASURES["Embedding"]
