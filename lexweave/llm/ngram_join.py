@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import CHUNK_BYTES, U64, chunks, components, discard, hash_words, limit_batches, materialize, mix, release_shuffles, utf8_parts
+from .shared import CHUNK_BYTES, U64, batch_rows, chunks, components, discard, hash_words, limit_batches, materialize, mix, release_shuffles, utf8_parts
 
 #: Each band is this much wider than the one below it; shingles below which a slice is thin.
 BAND_RATIO, THICK = 1.3, 2
@@ -404,7 +404,8 @@ def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
         meet = l.join(r, F.expr(f"l.key = r.key AND l.tile < r.tile AND r.low * {percent} <= 100 * l.high AND NOT (l.root_low = l.root_high AND r.root_low = r.root_high AND l.root_low = r.root_low)"))
         alone = one.select("rows").union(tiles.where("root_low <> root_high").select("rows"))
         found = compare(alone.select(*sides("rows", "rows"), F.lit(True).alias("same"))).union(compare(meet.select(*sides("l.rows", "r.rows"), F.lit(False).alias("same"))))
-        more = materialize(found.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "ngram-more")
+        with batch_rows(spark, 2 * TILE):
+            more = materialize(found.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "ngram-more")
         release_shuffles(spark)
         again = _checked(more, used, percent, n)
         discard(tiles, maps, more)

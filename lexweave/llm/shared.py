@@ -11,6 +11,7 @@ import atexit
 import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,18 @@ def limit_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Smaller Arrow batches for what runs inside, where a row is itself many rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # ---------------------------------------------------------------- words as arrays
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
