@@ -49,6 +49,8 @@ BAND_RATIO, THICK = 1.3, 2
 BITMAP_BITS, BITS_PER_SHINGLE = 256, 4
 #: Documents of a tile.
 TILE = 64
+#: Pairs that a task keeps to send each once.
+MOST_PAIRS = 250_000
 #: Digests that a task gathers before it writes its blobs.
 FLUSH = 1_500_000
 
@@ -296,6 +298,7 @@ def _tiles_meet(percent: int):
     """Pairs of two tiles of one digest that bit counts can't exclude."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         for pdf in frames:
             found = []
             for l_id, l_n, l_map, l_root, r_id, r_n, r_map, r_root, same in pdf.itertuples(index=False):
@@ -316,8 +319,11 @@ def _tiles_meet(percent: int):
                 i, j = np.array(i, np.int64), np.array(j, np.int64)
                 x, y = np.asarray(l_id, np.int64)[i], np.asarray(r_id, np.int64)[j]
                 found.append(pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}))
-            if found:
-                yield pd.concat(found).drop_duplicates()
+            kept = pd.concat([kept, *found]).drop_duplicates()  # a pair meets in many keys
+            if len(kept) > MOST_PAIRS:
+                yield kept
+                kept = kept.head(0)
+        yield kept
 
     return run
 
