@@ -7,6 +7,9 @@ min_words words: single short sentences meet by chance, runs of them don't. Cutt
 finds passages that were put into the middle of a line. Rows keep the removed parts' offsets in the
 original text (in characters).
 
+A whole line is a unit of its own beside its parts: its later occurrences are removed at any length but under
+MIN_LINE_WORDS words, whatever stands around it.
+
 Grouping combines before the shuffle (count and minimum), and the join that marks units has one row per
 digest on one side, so a unit that a third of all documents have is split like any skewed join.
 
@@ -30,19 +33,27 @@ from pyspark.sql import types as T
 from .shared import discard, limit_batches, materialize
 
 MIN_WORDS = 25
+#: Words of a whole line that is removed where it occurs again; shorter ones are too common by chance.
+MIN_LINE_WORDS = 5
 #: Ends of units: a line's end, a sentence's end with the white space after it, white space before a capitalised
 #: word, white space after a word that ends in a digit or one of some rarer final letters.
 ENDS = re.compile(r"\n|[.!?]+[ \t]+|[ \t]+(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])|(?<=[bfkpwxz0-9])[ \t]+")
 
 
 def units(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, normalised text) of the units that have a word; separators belong to the unit before them."""
-    out, start = [], 0
+    """(start, end, normalised text) of the units that have a word, then of whole lines, whose text ends in a line feed; separators belong to the unit before them."""
+    out, lines, start = [], [], 0
     for end in (*(m.end() for m in ENDS.finditer(text)), len(text)):
         if words := text[start:end].lower().split():
             out.append((start, end, " ".join(words)))
         start = end
-    return out
+    start = 0
+    for line in text.split("\n"):
+        end = min(start + len(line) + 1, len(text))
+        if words := line.lower().split():
+            lines.append((start, end, " ".join(words) + "\n"))
+        start = end
+    return out + lines
 
 
 def digest(unit: str) -> int:
@@ -50,17 +61,23 @@ def digest(unit: str) -> int:
 
 
 def removed_spans(found: list[tuple[int, int, str]], marked: set[int], min_words: int) -> list[tuple[int, int]]:
-    """Runs of marked units with enough words, as (start, end)."""
-    spans, k = [], 0
-    while k < len(found):
+    """Marked lines, and runs of marked units with enough words, as (start, end)."""
+    spans, k = [(found[i][0], found[i][1]) for i in marked if found[i][2].endswith("\n") and found[i][2].count(" ") + 1 >= MIN_LINE_WORDS], 0
+    while k < len(found) and not found[k][2].endswith("\n"):
         first, words = k, 0
-        while k < len(found) and k in marked:
+        while k < len(found) and k in marked and not found[k][2].endswith("\n"):
             words += found[k][2].count(" ") + 1
             k += 1
         if k > first and words >= min_words:
             spans.append((found[first][0], found[k - 1][1]))
         k += k == first
-    return spans
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -116,6 +116,14 @@ def test_substring_dedup(wide, nothing, rows):
     assert substring_dedup.dedup_report(nothing).count() == 0
 
 
+def test_substring_dedup_short_lines(spark):
+    """A short line that repeats goes wherever it stands alone; a trivially short one stays."""
+    texts = {1: "own words of one\nRead more on our other pages\nends here", 2: "quite different\nread  more on our other pages\nand its end\nends here"}
+    got = {r.doc_id: r for r in substring_dedup.dedup_report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[1].text == texts[1] and got[1].n_removed == 0
+    assert got[2].text == "quite different\nand its end\nends here" and got[2].n_removed == 1
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_language_model(wide, nothing, rows, order):
     import zlib
