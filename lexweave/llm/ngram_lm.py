@@ -124,7 +124,7 @@ def _count(n: int, bits: int):
     return run
 
 
-def _write(folder: str, name: str, arrays: list[np.ndarray]) -> str:
+def write_arrays(folder: str, name: str, arrays: list[np.ndarray]) -> str:
     fs, path = pa.fs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
     with fs.open_output_stream(f"{path}/{name}") as out:
@@ -133,6 +133,20 @@ def _write(folder: str, name: str, arrays: list[np.ndarray]) -> str:
     return f"{folder}/{name}"
 
 
+def mapped(path: str) -> mmap.mmap:
+    """A written file, mapped; one under a file system that can't be mapped is fetched first."""
+    fs, local = pa.fs.FileSystem.from_uri(path)
+    if fetched := not isinstance(fs, pa.fs.LocalFileSystem):
+        handle, local = tempfile.mkstemp()
+        os.close(handle)
+        pa.fs.copy_files(path, f"file://{local}")
+    with open(local, "rb") as f:
+        data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    if fetched:
+        os.unlink(local)
+    return data
+
+
 _REDUCED = f"path string, grams bigint, contexts bigint, total bigint, mass bigint, t1 bigint, t2 bigint, t3 bigint, t4 bigint, {_BLOB}"
 
 
@@ -169,7 +183,7 @@ def _reduce(k: int, bits: int, folder: str):
             rest = _blobs(columns[1:], np.ones(len(a), np.int64), raw, bits)
         else:
             arrays.append(raw.astype(U64))
-        path = _write(folder, f"{int(pdf['bucket'].iloc[0]):06d}-{uuid.uuid4().hex}", arrays)
+        path = write_arrays(folder, f"{int(pdf['bucket'].iloc[0]):06d}-{uuid.uuid4().hex}", arrays)
         head = (path, len(key), n_contexts, int(raw.sum()), int(a.sum()), *(int((a == t).sum()) for t in (1, 2, 3, 4)), int(pdf["bucket"].iloc[0]), None, None, None, None, None)
         names = [x.split(" ")[0] for x in _REDUCED.split(", ")]
         return pd.DataFrame([head, *((None,) * 9 + x for x in rest)], columns=names)
@@ -243,16 +257,7 @@ class _Maps:
             return None
         if (k, bucket) not in self.open:
             path, grams, contexts = at
-            fs, inner = pa.fs.FileSystem.from_uri(path)
-            local, fetched = inner, not isinstance(fs, pa.fs.LocalFileSystem)
-            if fetched:
-                handle, local = tempfile.mkstemp()
-                os.close(handle)
-                pa.fs.copy_files(path, f"file://{local}")
-            with open(local, "rb") as f:
-                data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-            if fetched:
-                os.unlink(local)
+            data = mapped(path)
             kinds = [(U64, grams), (np.uint32, grams), *([(U64, grams)] if k == 1 else [(U64, contexts), (U64, contexts)] + [(np.uint32, contexts)] * 3)]
             arrays, start = [], 0
             for kind, n in kinds:

@@ -107,7 +107,7 @@ _PRIME, _UNPRIME = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         with np.errstate(over="ignore"):
             for k, base in enumerate((_PRIME, _UNPRIME)):
@@ -160,7 +160,7 @@ def hash_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     last = solid
     last[:-1] &= ~solid[1:] | edge[1:n]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _power_tables(n + 1)
+    up, down = power_tables(n + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, U64)
         np.cumsum(_BYTE[_LOWER[raw]] * up[:n], out=total[1:])

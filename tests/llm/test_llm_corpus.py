@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd_rows import WORD, words
 
@@ -124,6 +125,46 @@ def test_substring_dedup_short_lines(spark):
     assert got[2].text == "quite different\nand its end\nends here" and got[2].n_removed == 1
 
 
+@pytest.mark.parametrize("kind", ["latin", "greek", "han"])
+def test_substring_dedup_mid_line(spark, kind):
+    """Passages of 51 words without capitals and punctuation go whole from the middle of lines, whatever their letters."""
+    rng = random.Random(4)
+    letters = {"latin": "acdeghijlmnoqrstuvy", "greek": "αβγδεζηθικλμνξοπρτ", "han": "".join(chr(0x4E00 + k) for k in range(900))}[kind]
+    join = "" if kind == "han" else " "
+
+    def made(n):
+        return join.join("".join(rng.choices(letters, k=1 if kind == "han" else rng.randrange(4, 9))) for _ in range(n))
+
+    texts, expected = {}, {}
+    for i in range(0, 40, 2):
+        passage = made(51)
+        a, b, c, d = (made(10 + k) for k in range(4))
+        texts[i], texts[i + 1] = join.join((a, passage, b)), join.join((c, passage, d))
+        expected |= {i: texts[i], i + 1: join.join((c, d))}
+    got = substring_dedup.dedup_report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == expected
+
+
+def test_substring_units_agree():
+    """Strings and arrays cut the same words around any character."""
+    texts = [f"x{chr(c)}Y{chr(c)}\nz" for c in range(0x40000) if not 0xD800 <= c < 0xE000]
+    for _, _, u in substring_dedup._runs(pa.array(texts), 2):
+        own, texts = texts[: len(u.lines)], texts[len(u.lines) :]
+        for t, n_words, n_passages, n_lines in zip(own, np.diff(u.begins).tolist(), u.passages.tolist(), u.lines.tolist(), strict=True):
+            found = substring_dedup.units(t, 2)
+            lines = sum(x.endswith("\n") for _, _, x in found)
+            assert (len(substring_dedup.WORD.findall(t)), len(found) - lines, lines) == (n_words, n_passages, n_lines), ascii(t)
+    assert not texts
+
+
+def test_substring_dedup_overlap(spark):
+    """A repeat that overlaps the kept occurrence leaves that whole."""
+    got = {r.doc_id: r.text.split() for r in substring_dedup.dedup_report(spark.createDataFrame([(1, "a b " * 50), (2, "x " + "a b " * 20 + "y")], "doc_id long, text string")).collect()}
+    assert got == {1: ["a", "b"] * 12 + ["a"], 2: ["x", "y"]}
+    found = substring_dedup.units("a b " * 50)
+    assert substring_dedup.removed_spans(found, set(range(2, 76)), 25) == [(50, 200)]
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_language_model(wide, nothing, rows, order):
     import zlib
