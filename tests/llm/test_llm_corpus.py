@@ -293,6 +293,28 @@ def test_quality_rules_limit_false_rejection(spark):
     assert all(got[i].kept for i, _, lang in rows if lang == "xx")
 
 
+def test_quality_rules_small_strata(spark):
+    """About 300 good labels are enough for rules that reject none of them; fewer than 217 of four strata aren't."""
+    rng, rows, labels = random.Random(6), [], []
+    for lang, n in (("a", 300), ("b", 300), ("c", 300), ("d", 150)):
+        for k in range(n + 20):
+            mark = "##" if k >= n else ""
+            rows.append((len(rows), " ".join("".join(rng.choices("abcdefgh", k=6)) + mark for _ in range(30)), lang))
+            labels.append((rows[-1][0], int(k < n), 0))
+    got = quality_rules.rule_report(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, LABELS)).collect()
+    good = {i: q for i, q, _ in labels}
+    lang = {i: x for i, _, x in rows}
+    assert all(r.kept == (good[r.doc_id] == 1 or lang[r.doc_id] == "d") for r in got)
+
+
+def test_quality_rules_sequence():
+    """The sequence starts with the steps that catch bad documents, and takes every step once."""
+    full = [len(c) for c in quality_rules.RULES.values()]
+    order = quality_rules.steps({(full[0], 1, *full[2:]): 30, (2, *full[1:]): 6, tuple(full): 5})
+    assert order[:5] == ["bang_ratio"] * 2 + ["symbol_ratio"] * 3
+    assert Counter(order) == dict(zip(quality_rules.RULES, full, strict=True))
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     rng = random.Random(8)
     folder = str(tmp_path)
