@@ -34,7 +34,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, chunks, hash_words, limit_batches, materialize, mix, scratch_path, utf8_parts
+from .shared import U64, chunks, discard, hash_words, limit_batches, materialize, mix, release_shuffles, scratch_path, utf8_parts
 
 START, END = (mix(np.array([x], U64))[0] for x in (11, 13))
 #: Tokens that a task gathers before it sends them, text bytes of a scoring batch, and text bytes per bucket.
@@ -231,9 +231,15 @@ def train(texts: DataFrame, *, order: int = 2) -> KneserNey:
     bits = max(3, (size // BUCKET_BYTES).bit_length())
     folder = scratch_path(spark, "lm")
     levels: list[Level] = []
+    before = None
     blobs = texts.select("text").mapInArrow(_count(order, bits), _BLOB)
     for k in range(order, 0, -1):
         done = materialize(blobs.groupBy("bucket").applyInPandas(_reduce(k, bits, f"{folder}/{k}"), _REDUCED), f"lm-{k}")
+        if before is not None:  # the continuations that this level has added up
+            discard(before)
+        before = done
+        del blobs
+        release_shuffles(spark)
         segments: list = [None] * (1 << bits)
         heads = done.where("path IS NOT NULL").select("bucket", "path", "grams", "contexts", "total", "mass", "t1", "t2", "t3", "t4").collect()
         for r in heads:  # one row per bucket
@@ -242,6 +248,7 @@ def train(texts: DataFrame, *, order: int = 2) -> KneserNey:
         grams = sum(r.grams for r in heads)
         levels.insert(0, Level(segments, discounts(t), sum(r.total for r in heads), grams, (t[0], t[1], grams - t[0] - t[1]), sum(r.mass for r in heads)))
         blobs = done.where("path IS NULL").select(*(f.name for f in _FIELDS))
+    discard(before)
     return KneserNey(bits, levels, levels[0].total)
 
 

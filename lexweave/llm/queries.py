@@ -56,8 +56,8 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log probabilities of all documents under a bigram model of those outside the holdout."""
-    return train_and_score(read_table(spark, sf_dir, "documents"), order=2)
+    """Log probabilities of all documents under a trigram model of those outside the holdout."""
+    return train_and_score(read_table(spark, sf_dir, "documents"), order=3)
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

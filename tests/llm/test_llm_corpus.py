@@ -203,6 +203,15 @@ def test_language_model(wide, nothing, rows, order):
     assert ngram_lm.train_and_score(nothing, order=order).count() == 0
 
 
+def test_registered_model_sees_two_words_of_context(spark, tmp_path):
+    from lexweave.llm.queries import op7_lm
+
+    rows = [(i, "a x b" if i % 2 else "c x d") for i in range(40)] + [(100, "a x d"), (101, "a x b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    score = {r.doc_id: r.score for r in op7_lm(spark, str(tmp_path)).collect()}
+    assert score[101] > score[100] + 0.5
+
+
 def test_language_model_without_training_rows(docs):
     rows = ngram_lm.train_and_score(docs.where("doc_id IS NULL"), order=2).collect()
     assert [(r.train_tokens, r.score) for r in rows] == [(0, 0.0)]
