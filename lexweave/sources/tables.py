@@ -87,11 +87,13 @@ def write_csv(df: DataFrame, path: str, *, single_file: bool = False, bom: bool
 
 
 def write_workbook(df: DataFrame, path: str, *, by: str | None = None) -> None:
-    """One sheet, or one per value of `by` (names cut to 31 characters)."""
+    """One sheet, or one per value of `by` (names cut to 31 characters), of a result that the driver can hold."""
     import pandas as pd
 
     _workbooks()
-    rows = df.limit(LOCAL_ROWS).toPandas()
+    rows = df.limit(LOCAL_ROWS + 1).toPandas()
+    if len(rows) > LOCAL_ROWS:
+        raise ValueError(f"more than {LOCAL_ROWS} rows; write CSV")
     with pd.ExcelWriter(path) as book:
         for name, part in rows.groupby(by) if by else [("Sheet1", rows)]:
             part.to_excel(book, sheet_name=str(name)[:31], index=False)

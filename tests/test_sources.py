@@ -33,6 +33,13 @@ def test_small_sources(spark, tmp_path):
     assert tables.nested_loop(one, two).count() == 2
 
 
+def test_workbook_is_never_cut(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "LOCAL_ROWS", 3)
+    monkeypatch.setattr(tables, "_workbooks", lambda: None)
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        tables.write_workbook(spark.range(4), str(tmp_path / "a.xlsx"))
+
+
 def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     spark.createDataFrame([("Hello",), ("Helo",)], "t string").write.parquet(str(src))
