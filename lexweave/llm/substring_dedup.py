@@ -38,8 +38,8 @@ from .shared import U64, chunks, delete_path, discard, hash_words, limit_batches
 MIN_WORDS = 25
 #: Words of a whole line that is removed where it occurs again; shorter ones are too common by chance.
 MIN_LINE_WORDS = 5
-#: Units that a task gathers before it sends them.
-FLUSH = 2_000_000
+#: Units that a task gathers before it sends them, rows and text bytes of one round: two workers share an executor's memory.
+FLUSH, ROUND_ROWS, ROUND_BYTES = 500_000, 250, 1 << 18
 #: Scripts without blanks between words: Thai, Lao, Tibetan, Burmese, Khmer, kana, Bopomofo, ideographs.
 UNSPACED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3100-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff"
 WORD = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
@@ -129,9 +129,10 @@ class Units:
 
 
 def _runs(texts: pa.Array, min_words: int) -> Iterator[tuple[int, int, Units]]:
-    raw, offsets = utf8_parts(pa.array([_normal(t) for t in texts.to_pylist()], pa.large_string()))
-    for i, j in chunks(offsets):
-        yield i, j, Units(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], min_words)
+    for at in range(0, len(texts), ROUND_ROWS):
+        raw, offsets = utf8_parts(pa.array([_normal(t) for t in texts.slice(at, ROUND_ROWS).to_pylist()], pa.large_string()))
+        for i, j in chunks(offsets, ROUND_BYTES):
+            yield at + i, at + j, Units(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], min_words)
 
 
 def _by_bucket(bits: int, buckets: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
