@@ -4,25 +4,25 @@ Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of
 percent = p that is the same as |A xor B| <= (100 - p) * (|A| + |B|) / (100 + p), which bounds the
 differences of any pair whose larger set lies in a size band by a number D.
 
-1. Bands. Band l holds larger-set sizes in (S[l-1], S[l]]. The hash space of shingles is cut into
+1. Copies. Documents with equal sets (128 bits of hash) are one: the smallest id stands for them from here on.
+2. Bands. Band l holds larger-set sizes in (S[l-1], S[l]]. The hash space of shingles is cut into
    K > D slices; with at most D differences some slice of the pair has none, so both documents have the
    same shingles there. Each document therefore writes one digest per slice, for each band that a link
    partner can put the pair in. A slice with fewer than two shingles is weak evidence: K leaves room for such
    thin slices, and the documents with more thin slices than the room write digests for those as well. A pair
    has more equal slices than one of the two has thin ones, or else both write all; so no link is lost,
    whatever the sizes.
-2. Digests travel as sorted blobs, one per (task, bucket); each task first joins its own equal digests
+3. Centres. Digests travel as sorted blobs, one per (task, bucket); each task first joins its own equal digests
    into stars around their smallest document, so a digest that a third of all rows carries reaches its
-   bucket once per task, not once per row.
-3. Each document of a digest is checked against the digest's smallest one by intersecting their sorted
-   shingle arrays exactly. Links are joined to components.
-4. What a star leaves apart (a digest whose documents lie in several components) is compared tile by
-   tile. Digests with the same documents count once. Jaccard distance is a metric, so two documents whose
-   distances to the star's centre differ by more than a link's distance can't link; a document that has no
-   candidate of another component by this test goes. The rest is cut into tiles, bounded runs by size and
-   component; only tiles with different components and touching size bands meet, bit counts of the hashed
-   bitmaps bound each pair's overlap from above, and pairs that survive are intersected exactly. Then no
-   pair of a digest is unchecked unless it can't link or its documents are in one component already.
+   bucket once per task, not once per row. The smallest document with a digest is its centre, and the documents
+   that share any digest with the same centre belong together: a linked pair has a digest in common, so some
+   centre has both.
+4. Tiles. A centre's documents are one tile, or as many tiles by size band and hash as keep each small; tiles of
+   bands in reach of each other meet. Members bring their sorted shingles. Bit counts of hashed bitmaps bound
+   each pair's overlap from above, and what they leave is intersected exactly, unless links found already join
+   the two. So a tile, or a pair of tiles, gives fewer links than it has members, and what links is joined.
+   Pairs are compared inside tiles only, never written. A centre with m documents costs m^2 / 2 bit counts at
+   most (band against band where it has several tiles), and each of its documents goes to m / TILE_DOCS tiles.
 
 Result: one row per input row: id, n_shingles, component_id (smallest id that links reach). Null and
 empty texts have no shingles and link with nothing. Rows with a null id get component_id null. Repeated
@@ -38,21 +38,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import CHUNK_BYTES, U64, batch_rows, chunks, components, discard, hash_words, limit_batches, materialize, mix, release_shuffles, utf8_parts
+from .shared import CHUNK_BYTES, U64, chunks, components, discard, hash_words, limit_batches, materialize, mix, release_shuffles, utf8_parts
 
 #: Each band is this much wider than the one below it; shingles below which a slice is thin.
 BAND_RATIO, THICK = 1.3, 2
-#: Least bits of a document's hashed bitmap, and bits per shingle of a larger one; always a power of two.
+#: Least bits of a tile's bitmaps, and bits per shingle of its largest set; always a power of two.
 BITMAP_BITS, BITS_PER_SHINGLE = 256, 4
-#: Documents of a tile.
-TILE = 64
-#: Pairs that a task keeps to send each once.
-MOST_PAIRS = 250_000
-#: Digests that a task gathers before it writes its blobs.
-FLUSH = 1_500_000
+#: Documents and shingles of a tile, its size bands per factor e, and pairs that are intersected in one go.
+TILE_DOCS, TILE_SHINGLES, BANDS_PER_E, EXACT_AT_ONCE = 2048, 1_000_000, 4, 16
+#: Digests that a task gathers before it writes its blobs, and text bytes per bucket.
+FLUSH, BUCKET_BYTES = 750_000, 4 << 20
 
 
 def most_differences(total: int, percent: int) -> int:
@@ -133,34 +131,10 @@ def digests(x: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
-def bitmap(x: np.ndarray) -> np.ndarray:
-    size = max(BITMAP_BITS, 1 << (BITS_PER_SHINGLE * len(x) - 1).bit_length() if len(x) else 0)
-    bits = np.zeros(size, np.uint8)
-    bits[(x % U64(size)).astype(np.int64)] = 1
-    return np.packbits(bits).view(U64)
-
-
-def folded(maps: list[np.ndarray], width: int) -> np.ndarray:
-    """Bitmaps of several widths as rows of the same width; a fold keeps each element's bit modulo the width."""
-    return np.stack([np.bitwise_or.reduce(m.reshape(-1, width), axis=0) for m in maps])
-
-
-def overlap_bound(size_a, size_b, map_a: np.ndarray, map_b: np.ndarray):
-    """Most elements that two sets can share. A bit set in one map alone stands for an element that the other set lacks."""
-    only_a = np.bitwise_count(map_a & ~map_b).sum(axis=-1, dtype=np.int64)
-    only_b = np.bitwise_count(map_b & ~map_a).sum(axis=-1, dtype=np.int64)
-    return np.minimum(size_a - only_a, size_b - only_b)
-
-
-def meets(shared, size_a, size_b, percent: int):
-    return 100 * shared >= percent * (size_a + size_b - shared)
-
-
-def shared_count(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted arrays of distinct values."""
-    both = np.concatenate((a, b))
-    both.sort(kind="stable")
-    return int((both[1:] == both[:-1]).sum())
+def set_name(x: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set of shingles."""
+    with np.errstate(over="ignore"):
+        return int(mix(x ^ U64(0xC2B2AE3D27D4EB4F)).sum()), int(mix(x ^ U64(0x165667B19E3779F9)).sum() + U64(len(x)))
 
 
 def _star(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -178,8 +152,9 @@ def _sorted(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 _ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 _DDL = "bucket int, kind tinyint, a binary, b binary, c binary"
-#: Rows of arrays: documents (known, id, size), a task's own star edges (key, id, centre), digests of a bucket (upper and lower key bytes, id).
-DOCS, EDGES, DIGESTS, FAR_DIGESTS = 0, 1, 2, 3
+#: Rows of arrays: documents (known, id, size and set's name), a task's own star edges (key, id, centre), digests of a
+#: bucket (upper and lower key bytes, id), and the bucket's star edges.
+DOCS, TASK_EDGES, DIGESTS, FAR_DIGESTS, EDGES = range(5)
 
 
 def _row(bucket: int, kind: int, *arrays: np.ndarray) -> tuple:
@@ -187,10 +162,12 @@ def _row(bucket: int, kind: int, *arrays: np.ndarray) -> tuple:
 
 
 def _emit(percent: int, n: int, buckets: int):
-    """Documents to rows of arrays, each meant for a bucket. Digests keep 48 bits besides the bucket's: two that
-    meet by chance are one key with documents of two kinds, which the comparison of open keys sorts out."""
+    """Documents to rows of arrays, each meant for a bucket. Of the equal sets of a run only the first writes digests.
+
+    Digests keep 48 bits besides the bucket's: two that meet by chance bring two more documents to one tile, no link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, keys, docs, held, turn = Bands(percent), [], [], 0, TaskContext.get().partitionId()
+        bands, keys, docs, held, turn, seen = Bands(percent), [], [], 0, TaskContext.get().partitionId(), {}
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ROWS, strict=True)], schema=_ROWS)
@@ -200,7 +177,7 @@ def _emit(percent: int, n: int, buckets: int):
             key, doc, own, left, right = _star(key, doc)
             place = ((key >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)  # keys are sorted, so buckets are runs
             cut = np.searchsorted(place, np.arange(buckets + 1))
-            rows = [_row(turn % buckets, EDGES, own, left, right)] if len(own) else []
+            rows = [_row(turn % buckets, TASK_EDGES, own, left, right)] if len(own) else []
             for b in np.flatnonzero(np.diff(cut)).tolist():
                 k, d = key[cut[b] : cut[b + 1]], doc[cut[b] : cut[b + 1]]
                 low, near = d.min(), int(d.max()) - int(d.min()) < 1 << 32
@@ -210,21 +187,25 @@ def _emit(percent: int, n: int, buckets: int):
 
         for batch in batches:
             ids, (raw, offsets) = batch.column(0), utf8_parts(batch.column(1))
-            sizes = []
             known = ids.is_valid().to_numpy(zero_copy_only=False)
-            number = ids.fill_null(0).to_numpy()
+            number = ids.fill_null(0).to_numpy().astype(np.int64)
+            sizes, names = np.zeros(len(ids), np.int64), np.zeros((2, len(ids)), U64)
             for i, j in chunks(offsets):
                 for k, x in enumerate(shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n), i):
-                    sizes.append(len(x))
-                    if len(x) and known[k]:
+                    sizes[k] = len(x)
+                    if not len(x) or not known[k]:
+                        continue
+                    names[:, k] = name = set_name(x)
+                    # copies of a set are one document; several texts of an id each write their own digests
+                    if seen.setdefault(name, number[k]) == number[k]:
                         keys.append(digests(x, bands) & ~U64(0xFFFF))
                         docs.append(np.full(len(keys[-1]), number[k], np.int64))
                         held += len(keys[-1])
             turn += 1
-            rows = [_row(turn % buckets, DOCS, known, number.astype(np.int64), np.array(sizes, np.int64))] if len(ids) else []
+            rows = [_row(turn % buckets, DOCS, known, number, np.concatenate((sizes.view(U64), *names)))] if len(ids) else []
             if held >= FLUSH:
                 rows += flush()
-                keys, docs, held = [], [], 0
+                keys, docs, held, seen = [], [], 0, {}
             if rows:
                 yield batch_of(rows)
         if held:
@@ -237,15 +218,15 @@ _GATHERED = "kind tinyint, key bigint, id bigint, other bigint, n bigint"
 
 
 def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's documents, task-wide star edges as they are, and the star edges among its digests."""
+    """A bucket's documents (key and other: the set's name), task-wide star edges as they are, and the star edges among its digests."""
     keys, docs, out = [], [], []
     for kind, a, b, c in zip(pdf["kind"], pdf["a"], pdf["b"], pdf["c"], strict=True):
         if kind == DOCS:
-            known = np.frombuffer(a, bool)
-            out.append(pd.DataFrame({"kind": DOCS, "id": pd.array(np.frombuffer(b, np.int64), "Int64"), "n": np.frombuffer(c, np.int64)}))
-            out[-1].loc[~known, "id"] = pd.NA
-        elif kind == EDGES:
-            out.append(pd.DataFrame({"kind": EDGES, "key": np.frombuffer(a, np.int64), "id": np.frombuffer(b, np.int64), "other": np.frombuffer(c, np.int64)}))
+            n, one, two = np.frombuffer(c, np.int64).reshape(3, -1)
+            out.append(pd.DataFrame({"kind": DOCS, "key": one, "id": pd.array(np.frombuffer(b, np.int64), "Int64"), "other": two, "n": n}))
+            out[-1].loc[~np.frombuffer(a, bool), "id"] = pd.NA
+        elif kind == TASK_EDGES:
+            out.append(pd.DataFrame({"kind": TASK_EDGES, "key": np.frombuffer(a, np.int64), "id": np.frombuffer(b, np.int64), "other": np.frombuffer(c, np.int64)}))
         else:
             high, low = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint16)
             keys.append(high.astype(U64) << U64(32) | low.astype(U64) << U64(16))
@@ -257,105 +238,138 @@ def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
     return full.reindex(columns=["kind", "key", "id", "other", "n"])
 
 
-_SET_OF = "id bigint, n bigint, map binary"
+# ---------------------------------------------------------------- tiles
+_TILE = ["centre", "band_a", "part_a", "band_b", "part_b"]
+_TILE_DDL = "centre bigint, band_a int, part_a int, band_b int, part_b int"
+_TILE_TYPE = pa.struct([("centre", pa.int64()), ("band_a", pa.int32()), ("part_a", pa.int32()), ("band_b", pa.int32()), ("part_b", pa.int32()), ("second", pa.bool_())])
+_MEMBER = pa.schema([("tile", _TILE_TYPE), ("id", pa.int64()), ("shingles", pa.binary())])
 
 
-def _check_pairs(percent: int, n: int):
-    """(a, b, text_a, text_b) to (a, b, linked, distance)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("distance", pa.float64())])
+def _members(n: int):
+    """(id, text, tiles) to a row per tile with the id and the sorted shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits, far = [], []
-            left, at_l = utf8_parts(batch.column(2))
-            right, at_r = utf8_parts(batch.column(3))
-            for i, j in chunks(at_l + at_r, 2 * CHUNK_BYTES):
-                xs = shingle_sets(left[at_l[i] : at_l[j]], at_l[i : j + 1] - at_l[i], n)
-                ys = shingle_sets(right[at_r[i] : at_r[j]], at_r[i : j + 1] - at_r[i], n)
-                for x, y in zip(xs, ys, strict=True):
-                    shared = shared_count(x, y)
-                    hits.append(bool(len(x) and len(y)) and meets(shared, len(x), len(y), percent))
-                    far.append(1 - shared / max(1, len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.bool_()), pa.array(far, pa.float64())], schema=schema)
+            ids, tiles = batch.column(0).to_numpy(), batch.column(2)
+            raw, offsets = utf8_parts(batch.column(1))
+            for i, j in chunks(offsets):
+                at, own, sets, held = [], [], [], 0
+
+                def rows() -> pa.RecordBatch:
+                    return pa.RecordBatch.from_arrays([pa.array(at, _TILE_TYPE), pa.array(own, pa.int64()), pa.array(sets, pa.binary())], schema=_MEMBER)
+
+                for k, x in enumerate(shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n), i):
+                    if not len(x):  # a text without words of an id that has others
+                        continue
+                    data = x.tobytes()
+                    for tile in tiles[k].as_py():
+                        at.append(tile)
+                        own.append(ids[k])
+                        sets.append(data)
+                        held += len(data) + 64
+                        if held > 4 * CHUNK_BYTES:
+                            yield rows()
+                            at, own, sets, held = [], [], [], 0
+                if at:
+                    yield rows()
 
     return run
 
 
-def _bitmaps(n: int):
-    """(id, text) to (id, n, map)."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("map", pa.binary())])
+def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """A row of 64-bit words for each set; an element sets the bit of its lowest bits."""
+    grid = np.zeros((len(sets), bits), np.uint8)
+    grid[np.repeat(np.arange(len(sets)), [len(x) for x in sets]), (np.concatenate(sets) & U64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(grid, axis=1).view(U64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = utf8_parts(batch.column(1))
-            sets = [x for i, j in chunks(offsets) for x in shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x).tobytes() for x in sets], pa.binary())], schema=schema)
 
-    return run
+def overlap_bound(size_a, size_b, map_a: np.ndarray, map_b: np.ndarray):
+    """Most elements that two sets can share. A bit set in one map alone stands for an element that the other set lacks."""
+    only_a = np.bitwise_count(map_a & ~map_b).sum(axis=-1, dtype=np.int64)
+    only_b = np.bitwise_count(map_b & ~map_a).sum(axis=-1, dtype=np.int64)
+    return np.minimum(size_a - only_a, size_b - only_b)
+
+
+def meets(shared, size_a, size_b, percent: int):
+    return 100 * shared >= percent * (size_a + size_b - shared)
 
 
-def _tiles_meet(percent: int):
-    """Pairs of two tiles of one digest that bit counts can't exclude."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        for pdf in frames:
-            found = []
-            for l_id, l_n, l_map, l_root, r_id, r_n, r_map, r_root, same in pdf.itertuples(index=False):
-                a, b = np.asarray(l_n, np.int64), np.asarray(r_n, np.int64)
-                roots_a, roots_b = np.asarray(l_root), np.asarray(r_root)
-                ms = [np.frombuffer(m, U64) for m in (*l_map, *r_map)]
-                ms = folded(ms, min(map(len, ms)))
-                ma, mb = ms[: len(a)], ms[len(a) :]
-                i, j = [], []
-                for k in range(len(a)):
-                    ok = (roots_b != roots_a[k]) & meets(np.minimum(a[k], b), a[k], b, percent)
-                    if same:
-                        ok[k:] = False
-                    at = np.flatnonzero(ok)
-                    at = at[meets(overlap_bound(a[k], b[at], ma[k], mb[at]), a[k], b[at], percent)]
-                    i += [k] * len(at)
-                    j += at.tolist()
-                i, j = np.array(i, np.int64), np.array(j, np.int64)
-                x, y = np.asarray(l_id, np.int64)[i], np.asarray(r_id, np.int64)[j]
-                found.append(pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}))
-            kept = pd.concat([kept, *found]).drop_duplicates()  # a pair meets in many keys
-            if len(kept) > MOST_PAIRS:
-                yield kept
-                kept = kept.head(0)
-        yield kept
+def shared_counts(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted array with other sorted arrays, of distinct values, none empty."""
+    row = np.concatenate(others)
+    at = np.searchsorted(a, row)
+    at[at == len(a)] = 0
+    return np.add.reduceat((a[at] == row).astype(np.int64), np.cumsum([0] + [len(x) for x in others[:-1]]))
 
-    return run
 
+def tile_links(ids: np.ndarray, sets: list[np.ndarray], second: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links that join the members of a tile, or of two tiles with each other (second: in which), as far as they link.
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs(a, b) with both texts."""
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    Members are taken by ascending size. Bit counts bound the overlap of each with those below it in size; what they
+    leave is intersected exactly, the greatest bounds first, unless links found already join the two. So there
+    are fewer links than members, and all that link are joined by them.
+    """
+    order = np.lexsort((ids, [len(x) for x in sets]))
+    ids, sets = ids[order], [sets[k] for k in order.tolist()]
+    size = np.array([len(x) for x in sets], np.int64)
+    maps = bitmaps(sets, max(BITMAP_BITS, 1 << (BITS_PER_SHINGLE * int(size[-1]) - 1).bit_length()))
+    _, root = np.unique(ids, return_inverse=True)  # several texts of an id are one document
+    low, out = np.searchsorted(size, -(-size * percent // 100)), []
+    if second is not None:
+        second = second[order]
+    for k in range(1, len(ids)):
+        at = np.arange(low[k], k)
+        at = at[root[at] != root[k]] if second is None else at[(second[at] != second[k]) & (root[at] != root[k])]
+        if not len(at):
+            continue
+        bound = overlap_bound(size[at], size[k], maps[at], maps[k])
+        fit = meets(bound, size[at], size[k], percent)
+        at = at[fit][np.argsort(-bound[fit], kind="stable")]
+        while len(at):
+            some, at = at[:EXACT_AT_ONCE], at[EXACT_AT_ONCE:]
+            for j in some[meets(shared_counts(sets[k], [sets[j] for j in some.tolist()]), size[some], size[k], percent)].tolist():
+                if root[j] != root[k]:
+                    out.append((int(max(ids[j], ids[k])), int(min(ids[j], ids[k]))))
+                    root[root == root[j]] = root[k]
+            at = at[root[at] != root[k]]
+    return out
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
-    """pairs(a, b) with linked and distance."""
-    found = _with_texts(pairs, texts).mapInArrow(_check_pairs(percent, n), "a bigint, b bigint, linked boolean, distance double")
-    return materialize(found.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance")), "ngram-checked")
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _one_of_equal(members: DataFrame) -> DataFrame:
-    """Of keys with the same members (key, id) only the smallest, and none with fewer than three members: those are checked."""
-    who = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(F.expr(f"bit_xor(xxhash64({k}, id))").alias(f"w{k}") for k in (1, 2)))
-    return members.join(who.where("n > 2").groupBy("n", "w1", "w2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+def _tile(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        tile = table.column("tile").combine_chunks()
+        second = tile.field("second").to_numpy(zero_copy_only=False)
+        sets = [np.frombuffer(x.as_buffer(), U64) for x in table.column("shingles").combine_chunks()]
+        found = tile_links(table.column("id").to_numpy(), sets, second if second.any() else None, percent)
+        return pa.table([[x[0] for x in found], [x[1] for x in found]], schema=_LINKS)
 
+    return run
 
-def _with_candidates(members: DataFrame, widest: float) -> DataFrame:
-    """Members (key, id, root, distance) that have one of another component within `widest` of their distance to the key's centre.
 
-    Distances fall into cells, an eighth of that wide; each cell hears of the least and greatest component in
-    the cells around it. Both aggregates combine before the shuffle, so a key with very many members is no hot task.
+def _homes(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """pairs(id, centre), sizes(id, n) to (id, tiles): the tiles to which each document brings its shingles.
+
+    A centre's documents are one tile as long as they are TILE_DOCS with TILE_SHINGLES shingles at most. Others are
+    dealt by size band and hash to as many tiles as it takes; each meets itself and the tiles of bands in reach.
     """
-    placed = members.withColumn("cell", F.floor(F.col("distance") / (widest / 8)).cast("int")) if widest > 0 else members.withColumn("cell", F.lit(0))
-    cells = placed.groupBy("key", "cell").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    around = cells.select("key", F.explode(F.expr("sequence(cell - 9, cell + 9)")).alias("cell"), "low", "high").groupBy("key", "cell").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
-    return placed.join(around, ["key", "cell"], "left_semi").drop("cell", "distance")
+    rows = pairs.union(pairs.select(F.col("centre").alias("id"), "centre").distinct()).join(sizes, "id").select("id", "centre", "n", F.floor(F.log("n") * BANDS_PER_E).cast("int").alias("band"))
+    rows = materialize(rows, "ngram-rows")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / TILE_DOCS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("parts")
+    large = rows.groupBy("centre").agg(parts).where("parts > 1").select("centre")
+    bands = materialize(rows.join(large, "centre", "left_semi").groupBy("centre", "band").agg(parts), "ngram-bands")
+    none = F.lit(-1)
+    whole = rows.join(bands.select("centre").distinct(), "centre", "left_anti").select("id", F.struct("centre", none.alias("band_a"), none.alias("part_a"), none.alias("band_b"), none.alias("part_b"), F.lit(False).alias("second")).alias("tile"))
+    reach = math.ceil(BANDS_PER_E * math.log(100 / percent) + 1e-6)
+    a, b = (bands.select("centre", F.col("band").alias(f"band_{s}"), F.explode(F.expr("sequence(0, parts - 1)")).alias(f"part_{s}")) for s in "ab")
+    meet = a.join(b, "centre").where(f"band_b BETWEEN band_a AND band_a + {reach} AND (band_a < band_b OR part_a <= part_b)")
+    first = meet.select("centre", F.col("band_a").alias("band"), F.col("part_a").alias("part"), F.struct(*_TILE, F.lit(False).alias("second")).alias("tile"))
+    second = meet.where("band_a < band_b OR part_a < part_b").select("centre", F.col("band_b").alias("band"), F.col("part_b").alias("part"), F.struct(*_TILE, F.lit(True).alias("second")).alias("tile"))
+    dealt = rows.join(bands, ["centre", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    split = dealt.join(first.union(second), ["centre", "band", "part"]).select("id", "tile")
+    return whole.union(split).groupBy("id").agg(F.collect_list("tile").alias("tiles"))
 
 
 def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,58 +379,39 @@ def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     spark = docs.sparkSession
     limit_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = texts.select(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     raw = texts.mapInArrow(_emit(percent, n, buckets), _DDL)
     gathered = materialize(raw.groupBy("bucket").applyInPandas(lambda pdf: _gather(pdf), _GATHERED), "ngram-gathered")
     release_shuffles(spark)
-    stars = gathered.where(F.col("kind") == EDGES).select("key", "id", "other")
-    centres = stars.groupBy("key").agg(F.min("other").alias("other"))
-    edges = materialize(stars.select("key", "id").join(centres, "key"), "ngram-edges")
-
-    pairs = materialize(edges.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), "ngram-pairs")
-    # all later steps read texts of these documents only, so the whole texts are shuffled once
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    used = materialize(texts.join(need.hint("merge"), "id", "left_semi"), "ngram-texts")  # the same plan at every size
-    release_shuffles(spark)
-    checked = _checked(pairs, used, percent, n)
+
+    # equal sets: of the ids of one set the smallest stands for all, unless an id has several sets; that one is linked
+    rows = gathered.where(F.col("kind") == DOCS).select("id", "n", F.col("key").alias("one"), F.col("other").alias("two"))
+    known = rows.where("id IS NOT NULL AND n > 0")
+    copied = known.groupBy("one", "two").agg(F.min("id").alias("of"), F.max("id").alias("last")).where("of < last")
+    alias = known.join(copied, ["one", "two"]).where("id > of").select("id", "of").distinct()
+    several = known.groupBy("id").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("one", "two"))).where("min_one < max_one OR min_two < max_two").select("id")
+    alias = materialize(alias.join(several.withColumn("mixed", F.lit(True)), "id", "left").select("id", "of", F.coalesce("mixed", F.lit(False)).alias("mixed")), "ngram-copies")
+    stands = alias.where("NOT mixed").select("id", "of")
+
+    # the centre of a digest that a task has several times: the bucket's, if the task's own has another there
+    stars = gathered.where(F.col("kind") == EDGES)
+    own = gathered.where(F.col("kind") == TASK_EDGES).select("key", F.col("id").alias("from"), F.col("other").alias("id"))
+    pairs = stars.select("id", F.col("other").alias("centre")).union(own.join(stars.select("key", "id", "other"), ["key", "id"], "left").select("from", F.coalesce("other", "id"))).distinct()
+    pairs = pairs.join(stands, "id", "left").select(F.coalesce("of", "id").alias("id"), "centre")
+    pairs = pairs.join(stands.withColumnsRenamed({"id": "centre", "of": "to"}), "centre", "left").select("id", F.coalesce("to", "centre").alias("centre"))
+    pairs = materialize(pairs.where("id <> centre").distinct(), "ngram-pairs")
+    homes = materialize(_homes(pairs, known.groupBy("id").agg(F.sum("n").alias("n")), percent), "ngram-homes")
     discard(pairs)
     release_shuffles(spark)
-    links = checked.where("linked").select("a", "b")
-    roots = components(links, "ngram-roots")
 
-    # digests whose documents are still apart
-    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = checked.where("not linked").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select(F.col("a").alias("id"), F.col("b").alias("other"))
-    mixed = edges.join(apart, ["id", "other"], "left_semi").select("key").distinct()
-    open_edges = edges.join(mixed, "key", "left_semi").distinct()
-    crowd = materialize(_one_of_equal(open_edges.select("key", "id", "other").union(open_edges.select("key", "other", "other").distinct())), "ngram-crowd")
-    known = crowd.join(checked.select(F.col("a").alias("id"), F.col("b").alias("other"), "distance"), ["id", "other"], "left").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-    members = materialize(_with_candidates(known.select("key", "id", F.coalesce("root", "id").alias("root"), F.coalesce("distance", F.lit(0.0)).alias("distance")), 1 - percent / 100), "ngram-members")
+    members = texts.where("id IS NOT NULL").join(homes.hint("merge"), "id").select("id", "text", "tiles").mapInArrow(_members(n), f"tile struct<{_TILE_DDL.replace(' ', ':').replace(',:', ',')},second:boolean>, id bigint, shingles binary")
+    found = members.groupBy(*(F.col(f"tile.{c}").alias(c) for c in _TILE)).applyInArrow(_tile(percent), "a bigint, b bigint")
+    links = materialize(found.union(alias.where("mixed").select("id", "of")), "ngram-links")
+    discard(homes)
     release_shuffles(spark)
-    if members.limit(1).count():
-        need = members.select("id").distinct()
-        maps = used.join(need, "id", "left_semi").mapInArrow(_bitmaps(n), _SET_OF).groupBy("id").agg(F.max_by("n", "n").alias("n"), F.max_by("map", "n").alias("map"))
-        maps = materialize(maps, "ngram-maps")
-        sides = lambda x, y: [F.col(f"{t}.{c}").alias(f"{s}_{c}") for s, t in (("l", x), ("r", y)) for c in ("id", "n", "map", "root")]
-        compare = lambda df: df.mapInPandas(_tiles_meet(percent), "a bigint, b bigint")
-        rows = F.collect_list(F.struct("id", "n", "map", "root")).alias("rows")
-        # most keys are one tile, which meets itself where it is gathered; only keys of several tiles are joined
-        many = members.groupBy("key").count().where(f"count > {TILE}").select("key")
-        one = members.join(many, "key", "left_anti").join(maps, "id").groupBy("key").agg(rows)
-        ranked = members.join(many, "key", "left_semi").join(maps, "id").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("n", "root", "id")))
-        tiles = materialize(ranked.groupBy("key", F.expr(f"(place - 1) div {TILE}").alias("tile")).agg(
-            rows, F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("root_low"), F.max("root").alias("root_high")), "ngram-tiles")
-        l, r = tiles.alias("l"), tiles.alias("r")
-        meet = l.join(r, F.expr(f"l.key = r.key AND l.tile < r.tile AND r.low * {percent} <= 100 * l.high AND NOT (l.root_low = l.root_high AND r.root_low = r.root_high AND l.root_low = r.root_low)"))
-        alone = one.select("rows").union(tiles.where("root_low <> root_high").select("rows"))
-        found = compare(alone.select(*sides("rows", "rows"), F.lit(True).alias("same"))).union(compare(meet.select(*sides("l.rows", "r.rows"), F.lit(False).alias("same"))))
-        with batch_rows(spark, 2 * TILE):
-            more = materialize(found.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "ngram-more")
-        release_shuffles(spark)
-        again = _checked(more, used, percent, n)
-        discard(tiles, maps, more)
-        roots = components(links.unionByName(again.where("linked").select("a", "b")), "ngram-final")
-    discard(crowd, members, edges, used)
+    roots = components(links, "ngram-roots")
+    discard(links)
     release_shuffles(spark)
-    rows = gathered.where(F.col("kind") == DOCS).select("id", F.col("n").alias("n_shingles"))
-    return rows.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))
+    named = rows.select("id", "n").join(stands, "id", "left").select("id", "n", F.coalesce("of", "id").alias("node"))
+    return named.join(roots, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("component_id"))

@@ -62,10 +62,10 @@ def test_ngram_join_odd_rows(wide, nothing, rows, n, percent):
     assert ngram_join.ngram_components(nothing, n=n, percent=percent).count() == 0
 
 
-@pytest.mark.parametrize("tile", [4, 64])
+@pytest.mark.parametrize("tile", [4, 2048])
 def test_ngram_join_chains_of_copies(spark, monkeypatch, tile):
-    """Copies of copies: many pairs lie on both sides of the threshold, so stars alone don't join them."""
-    monkeypatch.setattr(ngram_join, "TILE", tile)
+    """Copies of copies: many pairs lie on both sides of the threshold, in one tile or dealt to many."""
+    monkeypatch.setattr(ngram_join, "TILE_DOCS", tile)
     rng, table = random.Random(7), {}
     for family in range(4):
         base = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(20, 120))]
@@ -89,12 +89,56 @@ def test_digests_lose_no_link():
             for extra in {0, ngram_join.most_differences(2 * size, percent) // 2, ngram_join.most_differences(2 * size, percent)}:
                 drop = min(extra // 2, size - 1)
                 b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.integers(0, 2**64, extra - drop, dtype=np.uint64))))
-                if ngram_join.meets(ngram_join.shared_count(a, b), len(a), len(b), percent):
+                if ngram_join.meets(len(np.intersect1d(a, b)), len(a), len(b), percent):
                     assert set(ngram_join.digests(a, bands).tolist()) & set(ngram_join.digests(b, bands).tolist())
-                bits = [ngram_join.bitmap(x) for x in (a, b)]
-                width = min(map(len, bits))
-                bound = ngram_join.overlap_bound(len(a), len(b), ngram_join.folded([bits[0]], width)[0], ngram_join.folded([bits[1]], width)[0])
-                assert bound >= ngram_join.shared_count(a, b)
+                shared = len(np.intersect1d(a, b))
+                assert ngram_join.shared_counts(a, [b, a]).tolist() == [shared, len(a)]
+                for bits in (256, 4096):
+                    assert ngram_join.overlap_bound(len(a), len(b), *ngram_join.bitmaps([a, b], bits)) >= shared
+
+
+def test_ngram_join_ids_with_several_texts(spark):
+    """An id with several texts is one document that links with what any of them links with; copies stand for each other."""
+    w = [f"w{k}" for k in range(200)]
+    a, b, c = (" ".join(w[k : k + 60]) for k in (0, 70, 140))
+    near = lambda t: " ".join(t.split()[:-3])
+    rows = [(9, a), (9, b), (7, a), (5, near(b)), (8, ""), (8, c), (3, near(c)), (4, near(c)), (2, "alone"), (None, a), (6, None)]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), n=5, percent=80).collect()}
+    assert got == {(9, 56): 5, (7, 56): 5, (5, 53): 5, (8, 0): 3, (8, 56): 3, (3, 53): 3, (4, 53): 3, (2, 1): 2, (None, 56): None, (6, 0): 6}
+
+
+def test_tile_links():
+    """Links of a tile join what links, are fewer than its members, and two tiles give links across only."""
+    rng = np.random.default_rng(3)
+    base, sets = rng.integers(0, 2**64, 300, dtype=np.uint64), []
+    for k in range(120):
+        kept = rng.permutation(base[(k % 3) * 60 :])[: 170 - k % 20]
+        sets.append(np.unique(np.concatenate((kept, rng.integers(0, 2**64, 5, dtype=np.uint64)))))
+    ids, second = rng.permutation(1000)[:120], np.arange(120) % 2 == 1
+    linked = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 70 * len(np.union1d(sets[i], sets[j]))
+
+    def roots(pairs):
+        root = {int(i): int(i) for i in ids}
+        for a, b in pairs:
+            x, y = a, b
+            while root[x] != x:
+                x = root[x]
+            while root[y] != y:
+                y = root[y]
+            root[max(x, y)] = min(x, y)
+        out = {}
+        for i in root:
+            x = i
+            while root[x] != x:
+                x = root[x]
+            out[i] = x
+        return out
+
+    for side in (None, second):
+        every = [(int(ids[i]), int(ids[j])) for i in range(120) for j in range(i) if (side is None or side[i] != side[j]) and linked(i, j)]
+        found = ngram_join.tile_links(ids, sets, side, 70)
+        assert every and len(found) < 120 and {tuple(sorted(x)) for x in found} <= {tuple(sorted(x)) for x in every}
+        assert roots(found) == roots(every)
 
 
 def test_substring_dedup(wide, nothing, rows):
