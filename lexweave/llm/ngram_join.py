@@ -388,7 +388,7 @@ def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     # equal sets: of the ids of one set the smallest stands for all, unless an id has several sets; that one is linked
     rows = gathered.where(F.col("kind") == DOCS).select("id", "n", F.col("key").alias("one"), F.col("other").alias("two"))
     known = rows.where("id IS NOT NULL AND n > 0")
-    copied = known.groupBy("one", "two").agg(F.min("id").alias("of"), F.max("id").alias("last")).where("of < last")
+    copied = materialize(known.groupBy("one", "two").agg(F.min("id").alias("of"), F.max("id").alias("last")).where("of < last"), "ngram-copied")  # read again, so that a hot name's join can be split
     alias = known.join(copied, ["one", "two"]).where("id > of").select("id", "of").distinct()
     several = known.groupBy("id").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("one", "two"))).where("min_one < max_one OR min_two < max_two").select("id")
     alias = materialize(alias.join(several.withColumn("mixed", F.lit(True)), "id", "left").select("id", "of", F.coalesce("mixed", F.lit(False)).alias("mixed")), "ngram-copies")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoded
-from .shared import limit_batches
+from .shared import limit_batches, release_memory
 
 WINDOW = 4096
 #: Windows that a group of rests fills, and the tokens left free in each so that differencing can succeed at once.
@@ -167,25 +167,28 @@ def pack_documents(docs: DataFrame, path: str, *, window: int = WINDOW, id_col:
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            names, found = batch.column(0).to_pylist(), []
-            for k, raw in encoded(path, batch.column(1)):
-                raw += end
-                total = len(raw) // 4
-                open_rows[number] = (names[k], raw, total, 0)
-                found += rows(packer.add(number, total))
-                waiting = {x[0] for x in packer.rests[-1:]}
-                if number in waiting:  # only the rest stays in memory
-                    first = packer.rests[-1][1]
-                    open_rows[number] = (names[k], raw[first * 4 :], total, first)
-                else:
-                    del open_rows[number]
-                if len(packer.rests) <= 1 and len(open_rows) > 1:
-                    open_rows = {x: open_rows[x] for x in waiting}
-                number += 1
-            if found:
-                yield batch_of(found)
+            names = batch.column(0).to_pylist()
+            for i, _, ids_of, at in encoded(path, batch.column(1)):
+                everything, cut, found = ids_of.tobytes(), (at * 4).tolist(), []
+                for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True), i):
+                    raw = everything[a:b] + end
+                    total = len(raw) // 4
+                    open_rows[number] = (names[k], raw, total, 0)
+                    found += rows(packer.add(number, total))
+                    waiting = {x[0] for x in packer.rests[-1:]}
+                    if number in waiting:  # only the rest stays in memory
+                        first = packer.rests[-1][1]
+                        open_rows[number] = (names[k], raw[first * 4 :], total, first)
+                    else:
+                        del open_rows[number]
+                    if len(packer.rests) <= 1 and len(open_rows) > 1:
+                        open_rows = {x: open_rows[x] for x in waiting}
+                    number += 1
+                if found:
+                    yield batch_of(found)
         if last := list(rows(packer.finish())):
             yield batch_of(last)
+        release_memory()
 
     limit_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

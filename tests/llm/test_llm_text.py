@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -41,11 +42,23 @@ def test_bpe_on_random_texts(library, monkeypatch):
 
     monkeypatch.setattr(bpe, "CACHE", 50)  # the cache is emptied again and again
     rng, v = random.Random(1), Vocabulary(word_vocabulary())
-    signs = "aaabcdeéßñÜΣ ,.'!?1 2\n\t-<|>%\x1c\x85漢"
+    signs = "aaabcdeéàÅßñÜΣ ,.'!?1 2\n\t-<|>%\x1c\x85漢"
     texts = ["".join(rng.choices(signs, k=rng.randrange(60))) for _ in range(800)] + ["a" * 3000, "'s'll'VE I'm", "<|startoftext|>a<|endoftext|>"]
     for k in range(0, len(texts), 97):
-        part = texts[k : k + 97]
-        assert [np.frombuffer(x, "<u4").tolist() for x in v.encode(part)] == [ids_of(library, t) for t in part]
+        same_ids(v, library, texts[k : k + 97])
+
+
+def same_ids(vocab, library, texts):
+    ids, at = vocab.encode(pa.array(texts))
+    got = [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    wrong = [ascii(t) for t, x, e in zip(texts, got, library.encode_batch(texts, add_special_tokens=False), strict=True) if x != e.ids]
+    assert not wrong, wrong[:20]
+
+
+def test_bpe_on_every_code_point(library):
+    v, points = Vocabulary(word_vocabulary()), [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 100_000):
+        same_ids(v, library, [f"a{c}b {c}{c} {c}7" for c in points[k : k + 100_000]])
 
 
 def test_differencing():
