@@ -60,7 +60,7 @@ _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
 _PLAIN[9:14] = 32
 #: Chunks of text that a worker remembers, and text bytes that are cut at a time.
-CACHE, ROUND_BYTES = 300_000, 8 << 20
+CACHE, ROUND_BYTES = 600_000, 8 << 20
 
 
 def byte_symbols() -> list[str]:

@@ -7,7 +7,6 @@ n^2 / 2^65 for n different words.
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
 import uuid
@@ -25,27 +24,34 @@ CHUNK_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- scratch tables
+_roots: dict[tuple[str, str], str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own if a local session sets none."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """This application's folder in the one that driver and executors share (spark.checkpoint.dir), as a URI.
+
+    It goes when the driver ends. A local session that sets no folder gets one under /tmp/checkpoints.
+    """
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file:///tmp/checkpoints/lexweave-{spark.sparkContext.applicationId}"
+        root = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(_remove_local, root.removeprefix("file://"))
-    return root.rstrip("/")
-
-
-def _remove_local(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
+    key = root, context.applicationId
+    if key not in _roots:
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/lexweave-{context.applicationId}")
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        uri = files.makeQualified(path).toString()
+        _roots[key] = "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    return _roots[key]
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    root = scratch_root(spark)
-    return f"{root if '://' in root else 'file://' + root}/lexweave/{tag}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -117,13 +123,18 @@ _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
+    """Powers 0 to n - 1, at least, of an odd number and of its inverse; tables beyond three chunks aren't kept."""
+    tables = _powers
+    if len(tables[0]) < n:
+        tables = []
         with np.errstate(over="ignore"):
-            for k, base in enumerate((_PRIME, _UNPRIME)):
+            for base in (_PRIME, _UNPRIME):
                 steps = np.full(n, base, U64)
                 steps[0] = 1
-                _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+                tables.append(np.multiply.accumulate(steps))
+        if n <= 3 * CHUNK_BYTES:
+            _powers[:] = tables
+    return tables[0], tables[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -156,14 +167,39 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+def _blocks(raw: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of about two chunks that begin at white space, so that no word is cut."""
+    i, n = 0, len(raw)
+    while i < n:
+        j = i + 2 * CHUNK_BYTES
+        while j < n:
+            gap = np.flatnonzero(_SPACE[raw[j : j + 4096]])
+            if len(gap):
+                j += int(gap[0])
+                break
+            j += 4096
+        yield i, min(j, n)
+        i = min(j, n)
+
+
 def hash_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of each document in order, and where each document's words begin (one more entry than documents)."""
+    """Hashes of the words of each document in order, and where each document's words begin (one more entry than documents).
+
+    Long input is taken in blocks, so arrays of bytes' hashes stay small however long a text is."""
+    hashes, starts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    for i, j in _blocks(raw):
+        h, s = _hash_block(raw[i:j], edge[i : j + 1])
+        hashes.append(h)
+        starts.append(s + i)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+
+
+def _hash_block(raw: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of the words of a run of bytes; edge: where documents begin or end."""
     n = len(raw)
-    if not n:
-        return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
     solid = ~_SPACE[raw]
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
     first = solid.copy()
     first[1:] &= ~solid[:-1] | edge[1:n]
     last = solid
@@ -173,8 +209,7 @@ def hash_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, U64)
         np.cumsum(_BYTE[_LOWER[raw]] * up[:n], out=total[1:])
-        hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
-    return hashes, np.searchsorted(starts, offsets)
+        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64)), starts
 
 
 # ---------------------------------------------------------------- connected components
