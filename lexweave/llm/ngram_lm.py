@@ -1,29 +1,37 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark and memory-mapped by the workers.
 
-Counting: each task turns its training documents into word hashes, pre-aggregates its n-grams and sends them
-as arrays, dealt by the context's hash. A bucket adds them up and writes one segment of the model: n-gram
-hashes in ascending order with their counts, and context hashes with the count of each context and how many
-n-grams with counts 1, 2 and 3 or more it has. Distinct n-grams then count as continuations of the next lower
-order, down to single words, which also carry their plain counts. The counts of counts give three discounts
-per order; the lowest order is interpolated with the uniform distribution over V + 1 words (one for unknown).
-
-Scoring: workers map the segments and look sorted batches of hashes up by binary search. What is counted
-grows with the corpus; what a worker holds is a batch and pages of the files. Segments lie in the folder that
-executors share; under a file system that can't be mapped they are fetched, mapped and unlinked.
-
-Hashes have 64 bits (n-grams: less the bits of the bucket's number within a bucket), so unlike n-grams share
-one with a chance of about n^2 / 2^65. A document's start is a context of its own; its end is a token.
-
-Cases: null and empty texts are the end token alone. Rows with a null id aren't learned from and count as held
-out. Repeated rows count as often as they stand. Without training rows every token has probability 1.
+Counting: words are 48 bits of hash. Each task turns its training documents into n-grams, adds equal ones up and sends
+them packed by bucket. A bucket adds them up again and writes one segment of the model; its distinct n-grams count as
+continuations of the next lower order, down to single words. So that little lies on disk at a time, the n-grams of an order
+go in PASSES turns by bucket: what a turn has sent is gone before the next one, and so is what it has read from the order
+above. The first turn also counts plain words. The counts of counts give three discounts per order; the lowest order is
+interpolated with the uniform distribution over V + 1 words (one for unknown).
+
+Buckets: an n-gram of three words or more is dealt by its last context word and by its whole context, half of the bits
+each, so that a context is in one bucket, the n-grams that continue one lower n-gram are in few, and a word that is a third
+of all tokens is in many. A pair of words is dealt by the first, of which there are V followers at most.
+
+Segments: sorted arrays. Contexts: 40 bits of hash, and a code into a table of what is known of a context (its number of
+n-grams, count, and how many n-grams have counts 1, 2 and 3 or more), as most contexts are alike. N-grams: by context, 32
+bits of the word's hash and a code into the table of counts. Unlike ones that share a bucket's bits and these
+stay rare: a chance of n / 2^40 per unknown context of a bucket with n contexts, and of m / 2^32 per unknown word
+after a context with m followers.
+
+Scoring: workers map the segments and look batches of n-grams up, bucket after bucket. What is counted grows with
+the corpus; what a worker holds is a batch, MOST_OPEN mapped segments and pages of these. A segment's place follows from its
+bucket, so the model that is sent to workers is a folder and a few numbers. Segments lie in the folder that executors
+share; under a file system that can't be mapped a worker reads those that it needs into memory.
+
+Cases: null and empty texts are the end token alone. A document's start is a context of its own; its end is a token. Rows
+with a null id aren't learned from and count as held out. Repeated rows count as often as they stand. Without training
+rows every token has probability 1.
 """
 
 from __future__ import annotations
 
 import mmap
-import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,24 +39,112 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import U64, chunks, discard, hash_words, limit_batches, materialize, mix, release_shuffles, scratch_path, utf8_parts
+from .shared import U64, chunks, delete_path, hash_words, limit_batches, mix, release_memory, release_shuffles, scratch_path, utf8_parts
 
-START, END = (mix(np.array([x], U64))[0] for x in (11, 13))
-#: Tokens that a task gathers before it sends them, text bytes of a scoring batch, and text bytes per bucket.
-FLUSH, BATCH_BYTES, BUCKET_BYTES = 2_000_000, 3 << 20, 8 << 20
-_HIGH = U64(0xFFFFFFFF00000000)
+_CUT = U64(16)
+START, END = (mix(np.array([x], U64))[0] >> _CUT for x in (11, 13))
+#: N-grams that a task gathers before it sends them, text bytes of a scoring batch, and text bytes per bucket.
+FLUSH, BATCH_BYTES, BUCKET_BYTES = 1_000_000, 3 << 20, 8 << 20
+#: Turns in which an order's n-grams are added up, and segments that a worker keeps open.
+PASSES, MOST_OPEN = 4, 512
+#: Contexts of a block, whose first n-gram's place is kept.
+_BLOCK = 16
 
 
+# ---------------------------------------------------------------- files
+def write_arrays(folder: str, name: str, arrays: list[np.ndarray]) -> str:
+    fs, path = pa.fs.FileSystem.from_uri(folder)
+    fs.create_dir(path, recursive=True)
+    with fs.open_output_stream(f"{path}/{name}") as out:
+        for x in arrays:
+            out.write(x.tobytes())
+    return f"{folder}/{name}"
+
+
+def mapped(path: str):
+    """A written file, mapped, or read into memory under a file system that can't be mapped."""
+    fs, local = pa.fs.FileSystem.from_uri(path)
+    if not isinstance(fs, pa.fs.LocalFileSystem):
+        with fs.open_input_file(local) as f:
+            return f.read()
+    with open(local, "rb") as f:
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+
+
+def write_segment(folder: str, bucket: int, arrays: list[np.ndarray]) -> None:
+    """Writes the arrays with their types and lengths, each at a multiple of 8 bytes, under a name that follows from the bucket.
+
+    A file appears whole; attempts that are repeated write the same."""
+    fs, path = pa.fs.FileSystem.from_uri(folder)
+    fs.create_dir(path, recursive=True)
+    own, name = f"{path}/attempt-{uuid.uuid4().hex}", f"{path}/{bucket:x}"
+    with fs.open_output_stream(own) as out:
+        out.write(np.array([len(arrays), *(v for x in arrays for v in (x.itemsize, len(x)))], np.int64).tobytes())
+        for x in arrays:
+            out.write(x.tobytes() + bytes(-x.nbytes % 8))
+    try:
+        fs.move(own, name)
+    except OSError:  # some file systems don't replace what another attempt has written
+        if fs.get_file_info(name).type != pa.fs.FileType.File:
+            raise
+        fs.delete_file(own)
+
+
+def read_segment(folder: str, bucket: int) -> list[np.ndarray] | None:
+    try:
+        data = mapped(f"{folder}/{bucket:x}")
+    except FileNotFoundError:  # a bucket without n-grams
+        return None
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    shape, at, out = np.frombuffer(data, np.int64, 2 * n, 8).reshape(-1, 2), 8 + 16 * n, []
+    for size, length in shape.tolist():
+        out.append(np.frombuffer(data, f"<u{size}", length, at))
+        at += size * length + -size * length % 8
+    return out
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest unsigned type that holds them."""
+    most = int(x.max(initial=0))
+    return x.astype(next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (U64, 64)) if most < 1 << bits))
+
+
+def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the rows of x and the distinct rows."""
+    values, code = np.unique(x, axis=0, return_inverse=True)
+    return narrow(code.ravel()), values.astype(U64).ravel()
+
+
+def _pack(x: np.ndarray) -> bytes:
+    x = narrow(x)
+    return bytes([x.itemsize]) + x.tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+def _pack_words(x: np.ndarray) -> bytes:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack_words(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(U64).ravel()
+
+
+# ---------------------------------------------------------------- n-grams
 def token_columns(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """n columns of hashes (oldest context word first, the token last) and where each document's tokens begin."""
+    """n columns of word hashes (oldest context word first, the token last) and where each document's tokens begin."""
     words, at = hash_words(raw, offsets)
     docs = len(offsets) - 1
     begins = at + np.arange(docs + 1)
     tokens = np.full(begins[-1], END, U64)
-    tokens[np.arange(len(words)) + np.repeat(np.arange(docs), np.diff(at))] = words
+    tokens[np.arange(len(words)) + np.repeat(np.arange(docs), np.diff(at))] = words >> _CUT
     place = np.arange(len(tokens)) - np.repeat(begins[:-1], np.diff(begins))
     columns = []
     for back in range(n - 1, 0, -1):
@@ -59,138 +155,129 @@ def token_columns(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[list[np
     return [*columns, tokens], begins
 
 
-def context_hash(columns: list[np.ndarray]) -> np.ndarray:
-    """Hash of the columns before the last; of single words the word itself, so that they are dealt alike."""
-    out = columns[0]
+def bucket_of(columns: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and context's hash of each n-gram."""
+    word = columns[-1]
+    if len(columns) == 1:
+        return (word >> U64(48 - bits)).astype(np.int64), np.zeros(len(word), U64)
+    last = columns[-2]
     with np.errstate(over="ignore"):
+        context = mix(columns[0] ^ U64(0xD6E8FEB86659FD93))
         for c in columns[1:-1]:
-            out = mix(out * U64(0x9FB21C651E98DF25) + c)
-    return out
-
-
-def gram_key(context: np.ndarray, word: np.ndarray, bits: int, single: bool) -> np.ndarray:
-    """The context's upper bits (its bucket), then the n-gram's hash."""
-    if single:
-        return word
-    with np.errstate(over="ignore"):
-        return context >> U64(64 - bits) << U64(64 - bits) | mix(context * U64(0xA24BAED4963EE407) + word) >> U64(bits)
-
-
-_BLOB = "bucket int, context binary, runs binary, word binary, a binary, raw binary"
-_FIELDS = [pa.field("bucket", pa.int32())] + [pa.field(x, pa.binary()) for x in ("context", "runs", "word", "a", "raw")]
-
-
-def _blobs(columns: list[np.ndarray], a: np.ndarray | None, raw: np.ndarray | None, bits: int) -> list[tuple]:
-    """Sums equal n-grams and packs them by bucket."""
-    context = context_hash(columns)
-    order = np.argsort(context & _HIGH | columns[-1] >> U64(32))
-    columns, context = [c[order] for c in columns], context[order]
-    new = np.ones(len(context), bool)
-    new[1:] = (context[1:] != context[:-1]) | (columns[-1][1:] != columns[-1][:-1])
+            context = mix(context * U64(0x9FB21C651E98DF25) + c)
+    if len(columns) == 2:
+        return (last >> U64(48 - bits)).astype(np.int64), context
+    low = bits // 2
+    return ((last >> U64(48 - bits + low)) << U64(low) | context >> U64(64 - low)).astype(np.int64), context
+
+
+_BLOB = "kind tinyint, bucket int, context binary, runs binary, word binary, a binary"
+_FIELDS = [pa.field("kind", pa.int8()), pa.field("bucket", pa.int32())] + [pa.field(x, pa.binary()) for x in ("context", "runs", "word", "a")]
+
+
+def _blobs(columns: list[np.ndarray], a: np.ndarray | None, bits: int, kind: int) -> list[tuple]:
+    """Adds equal n-grams up (a: their counts, else 1 each) and packs them by bucket."""
+    bucket, context = bucket_of(columns, bits)
+    word = columns[-1]
+    order = np.argsort(bucket.astype(U64) << U64(64 - bits) | (context >> U64(24 + bits) << U64(24) | word >> U64(24) if len(columns) > 1 else word << U64(16 - bits) if bits < 16 else word >> U64(bits - 16)))
+    columns, context, bucket = [c[order] for c in columns], context[order], bucket[order]
+    word = columns[-1]
+    new = np.ones(len(word), bool)
+    new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1]) | (bucket[1:] != bucket[:-1])
     starts = np.flatnonzero(new)
-    sums = [np.diff(np.append(starts, len(new))) if x is None else np.add.reduceat(x[order], starts) for x in (a, raw)]
-    columns, context = [c[starts] for c in columns], context[starts]
-    cut = np.searchsorted(context >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64))
-    out = []
+    a = np.diff(np.append(starts, len(new))) if a is None else np.add.reduceat(a[order], starts)
+    columns, context, bucket = [c[starts] for c in columns], context[starts], bucket[starts]
+    cut, out = np.searchsorted(bucket, np.arange((1 << bits) + 1)), []
     for b in np.flatnonzero(np.diff(cut)).tolist():
         i, j = cut[b], cut[b + 1]
         own = context[i:j]
         heads = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        out.append((b, b"".join(c[i:j][heads].tobytes() for c in columns[:-1]), np.diff(np.append(heads, j - i)).astype(np.uint32).tobytes(), columns[-1][i:j].tobytes(), sums[0][i:j].astype(np.uint32).tobytes(), sums[1][i:j].astype(np.uint32).tobytes() if raw is not None else b""))
+        contexts = b"".join(_pack_words(c[i:j][heads]) for c in columns[:-1])
+        out.append((kind, b, contexts, _pack(np.diff(np.append(heads, j - i))), _pack_words(columns[-1][i:j]), _pack(a[i:j])))
     return out
 
 
-def _count(n: int, bits: int):
+def _count(n: int, bits: int, turn: int):
+    """Texts to blobs of n-grams of a turn's buckets; at the first turn of plain words (kind 0), too."""
     schema = pa.schema(_FIELDS)
 
-    def pack(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-        rows = _blobs([np.concatenate(x) for x in zip(*parts, strict=True)], None, None, bits)
+    def pack(parts: list[list[np.ndarray]], kind: int) -> pa.RecordBatch:
+        rows = _blobs([np.concatenate(x) for x in zip(*parts, strict=True)], None, bits, kind)
+        parts.clear()
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        parts: dict[int, list] = {0: [], n: []}
         for batch in batches:
             raw, offsets = utf8_parts(batch.column(0))
             for i, j in chunks(offsets):
                 columns, _ = token_columns(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
-                parts.append(columns)
-                held += len(columns[-1])
-                if held >= FLUSH:
-                    yield pack(parts)
-                    parts, held = [], 0
-        if held:
-            yield pack(parts)
+                if turn == 0:
+                    parts[0].append(columns[-1:])
+                if n > 1:
+                    mine = bucket_of(columns, bits)[0] % PASSES == turn
+                    parts[n].append([c[mine] for c in columns])
+                for kind, held in parts.items():
+                    if sum(len(x[0]) for x in held) >= FLUSH:
+                        yield pack(held, kind)
+        for kind, held in parts.items():
+            if sum(len(x[0]) for x in held):
+                yield pack(held, kind)
+        release_memory()
 
     return run
 
 
-def write_arrays(folder: str, name: str, arrays: list[np.ndarray]) -> str:
-    fs, path = pa.fs.FileSystem.from_uri(folder)
-    fs.create_dir(path, recursive=True)
-    with fs.open_output_stream(f"{path}/{name}") as out:
-        for x in arrays:
-            out.write(x.tobytes())
-    return f"{folder}/{name}"
-
-
-def mapped(path: str) -> mmap.mmap:
-    """A written file, mapped; one under a file system that can't be mapped is fetched first."""
-    fs, local = pa.fs.FileSystem.from_uri(path)
-    if fetched := not isinstance(fs, pa.fs.LocalFileSystem):
-        handle, local = tempfile.mkstemp()
-        os.close(handle)
-        pa.fs.copy_files(path, f"file://{local}")
-    with open(local, "rb") as f:
-        data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-    if fetched:
-        os.unlink(local)
-    return data
-
+_HEADS = ("grams", "total", "t1", "t2", "t3", "t4")
+_REDUCED = f"turn int, {', '.join(f'{x} bigint' for x in _HEADS)}, {_BLOB}"
+_NAMES = [x.split(" ")[0] for x in _REDUCED.split(", ")]
 
-_REDUCED = f"path string, grams bigint, contexts bigint, total bigint, mass bigint, t1 bigint, t2 bigint, t3 bigint, t4 bigint, {_BLOB}"
 
-
-def _reduce(k: int, bits: int, folder: str):
-    """Adds a bucket's k-grams up, writes its segment, and passes continuations on."""
+def _reduce(bits: int, folder: str):
+    """Adds a bucket's n-grams up, writes its segment, and passes continuations on. kind: words of an n-gram, 0 for plain words."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        columns: list[list[np.ndarray]] = [[] for _ in range(k)]
-        a, raw = [], []
-        for row in pdf.itertuples(index=False):
-            runs = np.frombuffer(row.runs, np.uint32)
-            for c, x in zip(columns, np.frombuffer(row.context, U64).reshape(k - 1, -1) if k > 1 else (), strict=False):
-                c.append(np.repeat(x, runs))
-            columns[-1].append(np.frombuffer(row.word, U64))
-            a.append(np.frombuffer(row.a, np.uint32))
-            raw.append(np.frombuffer(row.raw or row.a, np.uint32))
-        columns, a, raw = [np.concatenate(x) for x in columns], np.concatenate(a).astype(np.int64), np.concatenate(raw).astype(np.int64)
-        context = context_hash(columns)
-        key = gram_key(context, columns[-1], bits, k == 1)
-        order = np.argsort(key)
-        key = key[order]
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        a, raw, key = np.add.reduceat(a[order], starts), np.add.reduceat(raw[order], starts), key[starts]
-        first = order[starts]
-        columns = [c[first] for c in columns]
-        arrays, n_contexts, rest = [key, a.astype(np.uint32)], 0, []
-        if k > 1:
-            context = context[first]
-            order = np.argsort(context)
-            heads = np.flatnonzero(np.concatenate(([True], context[order][1:] != context[order][:-1])))
-            n_contexts = len(heads)
-            arrays += [context[order][heads], np.add.reduceat(a[order], heads).astype(U64)]
-            arrays += [np.add.reduceat(hit[order].astype(np.int64), heads).astype(np.uint32) for hit in (a == 1, a == 2, a >= 3)]
-            rest = _blobs(columns[1:], np.ones(len(a), np.int64), raw, bits)
+        kind, bucket = int(pdf["kind"].iloc[0]), int(pdf["bucket"].iloc[0])
+        width = max(1, kind) - 1
+        columns: list[list[np.ndarray]] = [[] for _ in range(width)]
+        word, a = np.concatenate([_unpack_words(x) for x in pdf["word"]]), np.concatenate([_unpack(x) for x in pdf["a"]])
+        rest: list[tuple] = []
+        if not width:
+            keys, back = np.unique(word, return_inverse=True)
+            a = np.bincount(back, a, len(keys)).astype(np.int64)
+            arrays = [keys, narrow(a)]
         else:
-            arrays.append(raw.astype(U64))
-        path = write_arrays(folder, f"{int(pdf['bucket'].iloc[0]):06d}-{uuid.uuid4().hex}", arrays)
-        head = (path, len(key), n_contexts, int(raw.sum()), int(a.sum()), *(int((a == t).sum()) for t in (1, 2, 3, 4)), int(pdf["bucket"].iloc[0]), None, None, None, None, None)
-        names = [x.split(" ")[0] for x in _REDUCED.split(", ")]
-        return pd.DataFrame([head, *((None,) * 9 + x for x in rest)], columns=names)
+            for contexts, runs in zip(pdf["context"], pdf["runs"], strict=True):
+                n = _unpack(runs)
+                for c, x in zip(columns, _unpack_words(contexts).reshape(width, -1), strict=True):
+                    c.append(np.repeat(x, n))
+            grams = [np.concatenate(c) for c in columns] + [word]
+            columns = []
+            context = bucket_of(grams, bits)[1]
+            order = np.argsort(context, kind="stable")  # made of sorted runs
+            context = context[order]
+            number = np.cumsum(np.concatenate(([False], context[1:] != context[:-1]))).astype(U64)
+            key = number << U64(32) | word[order] >> U64(16)
+            again = np.argsort(key, kind="stable")
+            key, order = key[again], order[again]
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            a, key, first = np.add.reduceat(a[order], starts), key[starts], order[starts]
+            heads = np.flatnonzero(np.concatenate(([True], key[1:] >> U64(32) != key[:-1] >> U64(32))))
+            types = np.diff(np.append(heads, len(key)))
+            facts = np.stack([types, np.add.reduceat(a, heads), *(np.add.reduceat(hit.astype(np.int64), heads) for hit in (a == 1, a == 2, a >= 3))], axis=1)
+            own = context[np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))]
+            code, table = coded(facts)
+            count, counts = coded(a.reshape(-1, 1))
+            arrays = [(own >> U64(32)).astype(np.uint32), (own >> U64(24) & U64(255)).astype(np.uint8), code, table, heads[::_BLOCK].astype(U64), (key & U64(0xFFFFFFFF)).astype(np.uint32), count, counts]
+            rest = _blobs([c[first] for c in grams[1:]], np.ones(len(a), np.int64), bits, width)
+        write_segment(f"{folder}/{kind}", bucket, arrays)
+        head = (-1, len(a), int(a.sum()), *(int((a == t).sum()) for t in (1, 2, 3, 4)), kind, bucket, None, None, None, None)
+        return pd.DataFrame([head, *((x[1] % PASSES, *(None,) * len(_HEADS), *x) for x in rest)], columns=_NAMES)
 
     return run
 
 
+# ---------------------------------------------------------------- the model
 def discounts(t: list[int]) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more; where counts of counts don't give them, 1/2, 1 and 3/2."""
     if min(t) <= 0:
@@ -201,95 +288,152 @@ def discounts(t: list[int]) -> tuple[float, float, float]:
 
 @dataclass
 class Level:
-    """One order of the model: its segments by bucket (path, n-grams, contexts), discounts and count total."""
+    """One order of the model: its discounts, number of n-grams, sum of counts, and n-grams with counts 1, 2 and 3 or more."""
 
-    segments: list[tuple[str, int, int] | None]
     discount: tuple[float, float, float]
-    total: int
     size: int
+    mass: int
     once: tuple[int, int, int]
-    mass: int  # sum of the counts that are discounted: plain ones at the highest order, else continuations
 
 
 @dataclass
 class KneserNey:
-    """What workers need to find and read the model; levels from single words up."""
+    """What workers need to find and read the model; levels from single words up, tokens and words of the training texts."""
 
+    folder: str
     bits: int
     levels: list[Level]
     tokens: int
+    words: int
 
     @property
     def order(self) -> int:
         return len(self.levels)
 
 
+def _added_up(spark: SparkSession, blobs: DataFrame, bits: int, folder: str, path: str) -> dict[int, list[int]]:
+    """Reduces blobs, writes what goes on under path by turn, and gives the sums of each kind's heads."""
+    blobs.groupBy("kind", "bucket").applyInPandas(_reduce(bits, folder), _REDUCED).write.partitionBy("turn").parquet(path)
+    heads = spark.read.schema(_REDUCED).parquet(path).where("turn = -1").groupBy("kind").agg(*(F.sum(x).alias(x) for x in _HEADS)).collect()
+    delete_path(spark, f"{path}/turn=-1")
+    release_shuffles(spark)
+    return {r["kind"]: [r[x] for x in _HEADS] for r in heads}
+
+
 def train(texts: DataFrame, *, order: int = 2) -> KneserNey:
     """Counts texts (a column `text`) and writes the model."""
     spark = texts.sparkSession
     size = texts.select(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     bits = max(3, (size // BUCKET_BYTES).bit_length())
-    folder = scratch_path(spark, "lm")
-    levels: list[Level] = []
-    before = None
-    blobs = texts.select("text").mapInArrow(_count(order, bits), _BLOB)
+    folder, sums = scratch_path(spark, "lm"), {}
+    turns = 0
     for k in range(order, 0, -1):
-        done = materialize(blobs.groupBy("bucket").applyInPandas(_reduce(k, bits, f"{folder}/{k}"), _REDUCED), f"lm-{k}")
-        if before is not None:  # the continuations that this level has added up
-            discard(before)
-        before = done
-        del blobs
-        release_shuffles(spark)
-        segments: list = [None] * (1 << bits)
-        heads = done.where("path IS NOT NULL").select("bucket", "path", "grams", "contexts", "total", "mass", "t1", "t2", "t3", "t4").collect()
-        for r in heads:  # one row per bucket
-            segments[r.bucket] = (r.path, r.grams, r.contexts)
-        t = [sum(r[f"t{i}"] for r in heads) for i in (1, 2, 3, 4)]
-        grams = sum(r.grams for r in heads)
-        levels.insert(0, Level(segments, discounts(t), sum(r.total for r in heads), grams, (t[0], t[1], grams - t[0] - t[1]), sum(r.mass for r in heads)))
-        blobs = done.where("path IS NULL").select(*(f.name for f in _FIELDS))
-    discard(before)
-    return KneserNey(bits, levels, levels[0].total)
+        above, done = f"{folder}/sent-{k + 1}", turns
+        turns = PASSES if k > 1 else 1  # single words are few
+        for turn in range(turns):
+            if k == order:
+                blobs = texts.select("text").mapInArrow(_count(order, bits, turn), _BLOB)
+            else:
+                sent = spark.read.schema(f"{_REDUCED}, pass int").parquet(above)
+                blobs = (sent.where(f"turn = {turn}") if k > 1 else sent).select(*(f.name for f in _FIELDS))
+            for kind, own in _added_up(spark, blobs, bits, f"{folder}/model", f"{folder}/sent-{k}/pass={turn}").items():
+                sums[kind] = [x + y for x, y in zip(sums.get(kind, [0] * len(own)), own, strict=True)]
+            for earlier in range(done):
+                delete_path(spark, f"{above}/pass={earlier}/turn={turn}")
+        delete_path(spark, above)
+    delete_path(spark, f"{folder}/sent-1")
+    none = [0] * len(_HEADS)
+    plain = sums.get(0, none)
+    levels = []
+    for k in range(1, order + 1):
+        grams, total, *t = plain if order == 1 else sums.get(k, none)
+        levels.append(Level(discounts(t), grams, total, (t[0], t[1], grams - t[0] - t[1])))
+    return KneserNey(f"{folder}/model", bits, levels, plain[1], plain[0])
 
 
 class _Maps:
-    """Mapped segments of a model in this worker."""
+    """Mapped segments of a model in this worker, the latest used."""
 
     def __init__(self, model: KneserNey):
-        self.model, self.open = model, {}
-
-    def segment(self, k: int, bucket: int) -> list[np.ndarray] | None:
-        at = self.model.levels[k - 1].segments[bucket]
-        if at is None:
-            return None
-        if (k, bucket) not in self.open:
-            path, grams, contexts = at
-            data = mapped(path)
-            kinds = [(U64, grams), (np.uint32, grams), *([(U64, grams)] if k == 1 else [(U64, contexts), (U64, contexts)] + [(np.uint32, contexts)] * 3)]
-            arrays, start = [], 0
-            for kind, n in kinds:
-                arrays.append(np.frombuffer(data, kind, n, start))
-                start += arrays[-1].nbytes
-            self.open[k, bucket] = arrays
-        return self.open[k, bucket]
-
-    def find(self, k: int, keys: np.ndarray, key_at: int, wanted: list[int]) -> list[np.ndarray]:
-        """Values of the wanted arrays for ascending keys (array key_at of the segments); 0 where a key is missing."""
-        out = [np.zeros(len(keys), np.int64) for _ in wanted]
-        shift = U64(64 - self.model.bits)
-        cut = np.searchsorted(keys >> shift, np.arange((1 << self.model.bits) + 1, dtype=U64))
-        for b in np.flatnonzero(np.diff(cut)).tolist():
-            arrays = self.segment(k, b)
-            if arrays is None or not len(arrays[key_at]):
-                continue
-            own = keys[cut[b] : cut[b + 1]]
-            at = np.searchsorted(arrays[key_at], own)
-            at[at == len(arrays[key_at])] = 0
-            hit = arrays[key_at][at] == own
-            for x, w in zip(out, wanted, strict=True):
-                x[cut[b] : cut[b + 1]] = np.where(hit, arrays[w][at], 0)
+        self.model, self.open = model, OrderedDict()
+
+    def segment(self, kind: int, bucket: int) -> list[np.ndarray] | None:
+        key = kind, bucket
+        if key not in self.open:
+            self.open[key] = read_segment(f"{self.model.folder}/{kind}", bucket)
+            if len(self.open) > MOST_OPEN:
+                self.open.popitem(last=False)
+        self.open.move_to_end(key)
+        return self.open[key]
+
+    def _runs(self, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Buckets, ascending, and where their entries are."""
+        order = np.argsort(bucket.astype(np.int16) if self.model.bits < 15 else bucket, kind="stable")
+        cut = np.flatnonzero(np.diff(bucket[order])) + 1
+        for own in np.split(order, cut) if len(order) else ():
+            yield int(bucket[own[0]]), own
+
+    def words(self, kind: int, word: np.ndarray) -> np.ndarray:
+        """Counts of single words; 0 where one is missing."""
+        out = np.zeros(len(word), np.int64)
+        for b, own in self._runs(bucket_of([word], self.model.bits)[0]):
+            if (arrays := self.segment(kind, b)) is not None:
+                at, hit = _found(arrays[0], word[own])
+                out[own[hit]] = arrays[1][at[hit]]
         return out
 
+    def grams(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Count of each n-gram, and of its context: count, n-grams with counts 1, 2 and 3 or more; 0 where missing."""
+        bucket, context = bucket_of(columns, self.model.bits)
+        count, facts = np.zeros(len(context), np.int64), np.zeros((4, len(context)), np.int64)
+        for b, own in self._runs(bucket):
+            arrays = self.segment(len(columns), b)
+            if arrays is None:
+                continue
+            high, low, code, table, blocks, words, counted, counts = arrays
+            key, back = np.unique(context[own], return_inverse=True)
+            at, hit = _found(high, (key >> U64(32)).astype(np.uint32), low, (key >> U64(24) & U64(255)).astype(np.uint8))
+            at = at[hit]
+            table = table.reshape(-1, 5).astype(np.int64)
+            known = np.zeros((len(key), 5), np.int64)
+            known[hit] = table[code[at]]
+            # the first n-gram of a context: the block's, and what the contexts before it in the block have
+            block = at // _BLOCK * _BLOCK
+            near = block[:, None] + np.arange(_BLOCK)
+            sizes = table[:, 0][code[np.minimum(near, len(code) - 1)]]
+            begin = np.zeros(len(key), np.int64)
+            begin[hit] = blocks[at // _BLOCK].astype(np.int64) + np.where(near < at[:, None], sizes, 0).sum(axis=1)
+            facts[:, own] = known[back, 1:].T
+            left, right, word = begin[back], (begin + known[:, 0])[back], (columns[-1][own] >> U64(16)).astype(np.uint32)
+            end, busy = right.copy(), np.flatnonzero(left < right)
+            while len(busy):
+                middle = (left[busy] + right[busy]) // 2
+                less = words[middle] < word[busy]
+                left[busy[less]], right[busy[~less]] = middle[less] + 1, middle[~less]
+                busy = busy[left[busy] < right[busy]]
+            hit = left < end
+            hit[hit] = words[left[hit]] == word[hit]
+            count[own[hit]] = counts[counted[left[hit]]]
+        return count, facts
+
+
+def _found(high: np.ndarray, key: np.ndarray, low: np.ndarray | None = None, key_low: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys are in a sorted array, and which are there; low: further bits, in order among equal ones."""
+    at = np.searchsorted(high, key)
+    at[at == len(high)] = len(high) - 1
+    hit = high[at] == key
+    if low is not None:
+        open_ = np.flatnonzero(hit)
+        hit[open_] = False
+        while len(open_):
+            same = low[at[open_]] == key_low[open_]
+            hit[open_[same]] = True
+            open_ = open_[~same]
+            open_ = open_[at[open_] + 1 < len(high)]
+            at[open_] += 1
+            open_ = open_[high[at[open_]] == key[open_]]
+    return at, hit
+
 
 def _discounted(a: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(a - np.array([0.0, *d])[np.minimum(a, 3)], 0.0)
@@ -300,21 +444,15 @@ def token_scores(maps: _Maps, columns: list[np.ndarray]) -> tuple[np.ndarray, np
     model = maps.model
     low = model.levels[0]
     word, back = np.unique(columns[-1], return_inverse=True)
-    a, raw = maps.find(1, word, 0, [1, 2])
-    mass = sum(d * n for d, n in zip(low.discount, low.once, strict=True))
-    total = low.mass
-    p = ((_discounted(a, low.discount) + mass / (low.size + 1)) / total if total else np.ones(len(word)))[back]
+    raw = maps.words(0, word)
+    a = maps.words(1, word) if model.order > 1 else raw
+    free = sum(d * n for d, n in zip(low.discount, low.once, strict=True))
+    p = ((_discounted(a, low.discount) + free / (low.size + 1)) / low.mass if low.mass else np.ones(len(word)))[back]
     for k in range(2, model.order + 1):
-        level, own = model.levels[k - 1], columns[-k:]
-        context = context_hash(own)
-        key, back_k = np.unique(gram_key(context, own[-1], model.bits, False), return_inverse=True)
-        (count,) = maps.find(k, key, 0, [1])
-        context, back_c = np.unique(context, return_inverse=True)
-        size, n1, n2, n3 = maps.find(k, context, 2, [3, 4, 5, 6])
-        d = level.discount
+        d = model.levels[k - 1].discount
+        count, (size, n1, n2, n3) = maps.grams(columns[-k:])
         whole = np.maximum(size, 1)
-        gamma = np.where(size > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / whole, 1.0)
-        p = _discounted(count, d)[back_k] / whole[back_c] + gamma[back_c] * p
+        p = _discounted(count, d) / whole + np.where(size > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / whole, 1.0) * p
     return p, raw[back]
 
 
@@ -328,21 +466,18 @@ _workers_maps: list = [None, None]
 
 def score_documents(docs: DataFrame, model: KneserNey, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, token counts, the unigram base score and the model's log10 probability of every row's text."""
-    spark = docs.sparkSession
-    limit_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # paths, discounts and sizes of the segments, not the model itself
-    name = uuid.uuid4().hex
+    limit_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _workers_maps[0] != name:
-            _workers_maps[:] = [name, _Maps(shared.value)]
+        if _workers_maps[0] != model.folder:
+            _workers_maps[:] = [model.folder, _Maps(model)]
         maps = _workers_maps[1]
-        n, v = model_tokens, model_words
+        n, v = model.tokens, model.words
         for batch in batches:
             raw, offsets = utf8_parts(batch.column(2))
             known, base, score, sizes = [], [], [], []
             for i, j in chunks(offsets, BATCH_BYTES):
-                columns, begins = token_columns(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], maps.model.order)
+                columns, begins = token_columns(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model.order)
                 p, count = token_scores(maps, columns)
                 starts = begins[:-1]
                 score.append(np.add.reduceat(np.log10(p), starts))
@@ -352,8 +487,8 @@ def score_documents(docs: DataFrame, model: KneserNey, *, id_col: str = "doc_id"
             if sizes:
                 size = np.concatenate(sizes)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(np.concatenate(known)), pa.array(np.full(len(size), n)), pa.array(np.concatenate(base)), pa.array(np.concatenate(score))], schema=_SCORED)
+        release_memory()
 
-    model_tokens, model_words = model.tokens, model.levels[0].size
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (~in_training(F.col(id_col))).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
