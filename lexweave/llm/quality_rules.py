@@ -11,8 +11,8 @@ good ones that test it have no part in it: it takes the steps first by which mos
 other steps from mild to strict in turn. With probability 1 - delta, no stratum loses more than `risk` of its good
 documents to the rules.
 
-Cases: a stratum with too few good labels certifies nothing and keeps all that passes the base test; null
-is a stratum of its own. Null and empty texts have no words and fail the base test. Labels that occur twice
+Cases: strata with too few good labels to certify anything are one stratum with a bound of its own; if they have too few
+together, too, they keep all that passes the base test. Null is a stratum like others. Null and empty texts have no words and fail the base test. Labels that occur twice
 count once (a document is good if all its labels say so); labels without a document don't count. An empty
 table or no labels gives no cutoffs. Only counts per stratum, label and combination
 of exceeded cutoffs come to the driver.
@@ -21,11 +21,12 @@ of exceeded cutoffs come to the driver.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize
+from .shared import materialize
 from .textstats import ratio, with_base, with_repeats, with_shape
 
 #: Rule: statistic and its cutoffs from mild to strict; a document is rejected above the cutoff.
@@ -40,16 +41,25 @@ RISK, DELTA = 0.02, 0.05
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def binomial_upper(failures: int, trials: int, level: float) -> float:
-    """Exact upper bound of a rate at 1 - level: the rate at which so few failures have probability level."""
+def binomial_upper(failures: int, trials: int, level: float, most: float = 1.0) -> float:
+    """Exact upper bound of a rate at 1 - level: the rate at which so few failures have probability level.
+
+    Where the rate that was seen exceeds `most`, the bound does as well, and that rate stands for it."""
     if failures >= trials:
         return 1.0
+    if failures and failures / trials > most:  # the bound lies above the rate that was seen
+        return failures / trials
 
     def tail(p: float) -> float:
-        """log P(X <= failures)"""
-        terms = [math.lgamma(trials + 1) - math.lgamma(k + 1) - math.lgamma(trials - k + 1) + k * math.log(p) + (trials - k) * math.log1p(-p) for k in range(failures + 1)]
-        most = max(terms)
-        return most + math.log(sum(math.exp(t - most) for t in terms))
+        """log P(X <= failures); terms fall by a ratio from the last one down, so the sum ends where they no longer count."""
+        last = math.lgamma(trials + 1) - math.lgamma(failures + 1) - math.lgamma(trials - failures + 1) + failures * math.log(p) + (trials - failures) * math.log1p(-p)
+        term = total = 1.0
+        for k in range(failures, 0, -1):
+            term *= k * (1 - p) / ((trials - k + 1) * p)
+            total += term
+            if term < 1e-17 * total:
+                break
+        return last + math.log(total)
 
     low, high = failures / trials, 1.0
     for _ in range(60):
@@ -89,6 +99,15 @@ def steps(bad: dict[tuple[int, ...], int]) -> list[str]:
     return out + [names[r] for _, r in rest]
 
 
+def pooled(sizes: dict[str | None, int], risk: float, delta: float) -> list[list[str | None]]:
+    """The strata, of which those whose good labels can't certify anything on their own are one.
+
+    It depends on the numbers of labels alone, not on what the rules do to them."""
+    least = math.log(delta / max(1, len(sizes))) / math.log1p(-risk)
+    small = sorted((name for name, n in sizes.items() if n < least), key=str)
+    return [[name] for name, n in sizes.items() if n >= least] + ([small] if small else [])
+
+
 def safe_cutoffs(stats: DataFrame, labels: DataFrame, *, id_col: str, stratum: str, risk: float = RISK, delta: float = DELTA) -> dict[str | None, dict[str, float]]:
     """Stratum to rule to its cutoff in the strictest safe set. stats: with_statistics() of the documents."""
     mildest = [F.lit(len(cuts)) - sum((F.coalesce((F.col(rule) > cut).cast("int"), F.lit(0)) for cut in cuts), F.lit(0)) for rule, cuts in RULES.items()]
@@ -99,14 +118,20 @@ def safe_cutoffs(stats: DataFrame, labels: DataFrame, *, id_col: str, stratum: s
     for row in counts:
         of = good.setdefault(row["stratum"], {}) if row["_good"] else bad
         of[tuple(row["first"])] = of.get(tuple(row["first"]), 0) + row["n"]
-    level, order, out = delta / max(1, len(good)), steps(bad), {}
-    for name, seen in good.items():
-        own, at, total, safe = out.setdefault(name, {}), dict.fromkeys(RULES, 0), sum(seen.values()), {}
+    order, out = steps(bad), {}
+    pools = pooled({name: sum(seen.values()) for name, seen in good.items()}, risk, delta)
+    level = delta / max(1, len(pools))
+    for pool in pools:
+        own, at, seen, safe = {}, dict.fromkeys(RULES, 0), Counter(), {}
+        for name in pool:
+            out[name] = own
+            seen.update(good[name])
+        total = sum(seen.values())
         for rule in order:
             at[rule] += 1
             lost = sum(n for first, n in seen.items() if any(f < k for f, k in zip(first, at.values(), strict=True)))
             if lost not in safe:
-                safe[lost] = binomial_upper(lost, total, level) <= risk
+                safe[lost] = binomial_upper(lost, total, level, risk) <= risk
             if not safe[lost]:
                 break
             own[rule] = RULES[rule][at[rule] - 1]
@@ -132,11 +157,12 @@ def rule_report(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
-    """docs without those that fail the base test or a rule; columns as they were."""
+    """docs without those that fail the base test or a rule; columns as they were.
+
+    Cases: as in the module's text; rows that repeat are judged alike. The rows are written once with their statistics, which are
+    read for the cutoffs and again for the verdict.
+    """
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_doc"), F.col(text_col).alias("_body"), F.col(stratum).cast("string").alias("_stratum"))
-    stats = materialize(with_statistics(rows.drop("_row"), "_body").select("_doc", "_stratum", "base_failed", *RULES), "rule-statistics")
-    cutoffs = safe_cutoffs(stats, labels, id_col="_doc", stratum="_stratum")
-    discard(stats)
-    # the statistics are made again rather than kept beside the texts; a generator in place of a filter isn't pushed below them
-    kept = F.when(verdict(cutoffs, "_stratum"), F.array("_row")).otherwise(F.slice(F.array("_row"), 1, 0))
-    return with_statistics(rows, "_body").select(F.explode(kept).alias("_row")).select("_row.*")
+    stats = materialize(with_statistics(rows, "_body").select("_row", "_doc", "_stratum", "base_failed", *RULES), "rule-statistics")
+    cutoffs = safe_cutoffs(stats.drop("_row"), labels, id_col="_doc", stratum="_stratum")
+    return stats.where(verdict(cutoffs, "_stratum")).select("_row.*")
