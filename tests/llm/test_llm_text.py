@@ -129,6 +129,9 @@ PAGES = [
     ("<html><body><nav><a href='/'>Home page of it</a></nav><article><h1>T  x</h1><p>One&nbsp;two<br>three <b>fo</b>ur.</p><div class='ad-box'>Buy now and more and more</div><p>End.</p><form>Your name <input></form><p>7</p></article><section class='comments'><p>Great article, thanks a lot, very good</p></section><footer>Imprint and words</footer>", "T x\nOne two\nthree four.\nEnd.\n7"),
     ("<body><div id='cookieNotice'>We use cookies, accept all of them now</div><div class=sidebar><p>Some long list of other things to read here</p></div><div id='content'><div><p>First part of it is here.</p></div><div><p>Second part, not long.</p></div></div><script>if (a<b) { document.write('<p>no no no no</p>') }</script></body>", "First part of it is here.\nSecond part, not long."),
     ("<style>p{}</style><p>Unclosed <b>bold<p>Next &copy; text<!-- hidden words here --> goes on", "Unclosed bold\nNext © text goes on"),
+    ("<article><div class='entry-header'><h1 class='page-header'>Real title of it</h1></div><div class='share-price-table'><p>Price is 3 and rises</p></div><div class='alert-box'>Mind the step here</div><div class='post-share-buttons'>Share it</div><p>End of it.</p></article>", "Real title of it\nPrice is 3 and rises\nMind the step here\nEnd of it."),
+    ("<article><p>One<div/><p>two <a href=/x/>three</a> four<div class='related-posts'><p>Other things to read</p></div></article>", "One\ntwo three four"),
+    ("<body class='has-sidebar'><div class='with-sidebar'><div class='site-sidebar'>Lists of other things<article><p>The text itself is here and long.</p></article>and tags</div></div><div id='comments'><article class='comment-body'><p>I liked it very much, thanks for all of this, dear</p></article></div>", "The text itself is here and long."),
     ("<article><p>" + "long word " * 50_000 + "</p></article>", ("long word " * 50_000).strip()),
 ]
 
@@ -142,6 +145,81 @@ def test_html(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def slow_text(tree):
+    """Main text of a tree of (tag, left out, children) and texts: every region is tried."""
+    items, articles = [], []
+
+    def walk(node, out, link):
+        if isinstance(node, str):
+            items.append((0.0 if out else len(node.split()) * (html_extract.LINK_WORD if link else 1.0), "" if out else node, False))
+            return
+        tag, hidden, children = node
+        out, link = out or hidden, link or tag == "a"
+        edge = 0.0 if out else html_extract.fit_weights().get(tag, html_extract.UNKNOWN)
+        first = len(items)
+        items.append((edge, "", tag not in ("a", "b", "i")))
+        for child in children:
+            walk(child, out, link)
+        if tag == "article" and not out:
+            articles.append((first, len(items)))
+        items.append((edge, "", tag not in ("a", "b", "i")))
+
+    walk(tree, False, False)
+    best, region = 0.0, (0, 0)
+    for i in range(len(items)):
+        for j in range(i + 1, len(items) + 1):
+            total = sum(x[0] for x in items[i:j])
+            if total > best + 1e-9:
+                best, region = total, (i, j)
+    i, j = region
+    held = [a for a in articles if a[0] <= i < j <= a[1]]
+    if held:
+        i, j = min(held, key=lambda a: a[1] - a[0])
+    elif i < j:
+        while i and not items[i][2] and not items[i - 1][2]:
+            i -= 1
+        while j < len(items) and not items[j - 1][2] and not items[j][2]:
+            j += 1
+    blocks = [""]
+    for _, text, cut in items[i:j]:
+        blocks = [*blocks, ""] if cut else [*blocks[:-1], blocks[-1] + text]
+    return "\n".join(t for t in (" ".join(b.split()) for b in blocks) if t)
+
+
+def test_html_equals_a_slow_version():
+    """Random pages, as trees whose left out elements are known, against trying every region."""
+    rng = random.Random(12)
+    kinds = [("p", "", False), ("div", "", False), ("section", "", False), ("ul", "", False), ("b", "", False), ("a", " href='x'", False), ("nav", "", True), ("aside", "", True), ("div", " class='ad-slot'", True), ("div", " id=comments", True), ("footer", "", True), ("article", "", False), ("h2", " class='menu'", False)]
+
+    def made(depth):
+        tag, attributes, hidden = rng.choice(kinds if depth else kinds[:3])
+        children, html = [], ""
+        for _ in range(rng.randrange(1, 4)):
+            if depth > 2 or rng.random() < 0.5:
+                text = " ".join(rng.choice(["word", "other", "long one", "x  y\n"]) for _ in range(rng.randrange(1, 9)))
+                children.append(text)
+                html += text
+            else:
+                child, inner = made(depth + 1)
+                if tag == "p" and child[0] not in ("a", "b"):  # what isn't part of a line ends a paragraph
+                    continue
+                children.append(child)
+                html += inner
+        return (tag, hidden, children), f"<{tag}{attributes}>{html}</{tag}>"
+
+    def lines(node, inside=False):
+        """Whether elements of a line hold elements of their own kind only."""
+        return isinstance(node, str) or (not inside or node[0] in ("a", "b")) and all(lines(c, inside or node[0] in ("a", "b", "p")) for c in node[2])
+
+    tried = 0
+    while tried < 150:
+        tree, html = made(0)
+        if lines(tree):
+            tried += 1
+            got, slow = html_extract.main_text(html), slow_text(tree)
+            assert got == slow, html
+
+
 def test_best_region_is_the_maximum():
     rng = random.Random(4)
     for _ in range(300):
