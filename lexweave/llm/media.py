@@ -4,7 +4,8 @@ A payload is stored as an 8-bit greyscale PNG (lossless), 576 samples wide, name
 tar shard of the task that saw it. A shard holds a payload once; of the copies that several shards hold,
 rows carry one, the same for all (the least shard and offset). Rows carry digest, shard, offset and length.
 Metadata columns come from range reads of the first 33 bytes (the PNG's header); payload columns from range
-reads of the stored form. Both open a shard once per task, whatever the number of rows.
+reads of the stored form. Places are dealt by shard for
+that, so a task opens few shards, each once, whatever the number of rows.
 
 Shards lie in the folder that all executors share, under any file system that pyarrow opens by URI. A task
 writes a shard under a name of its own and its index rows name it; rows of attempts that don't commit are
@@ -149,19 +150,23 @@ def _ranges(read):
             rows = []
             for digest, shard, at, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard != name:
+                    if source:
+                        source.close()
                     fs, path = file_system(shard)
                     name, source = shard, fs.open_input_file(path)
                 rows.append((digest, *read(source, at, length)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        if source:
+            source.close()
 
     return run
 
 
 def one_place(index: DataFrame) -> DataFrame:
-    """One stored copy of each digest, in the order of shards and offsets within a task."""
+    """One stored copy of each digest, dealt by shard and in the order of offsets, so that a task opens few shards and reads on."""
     best = index.groupBy("digest").agg(F.min(F.struct("shard", "at", "media_bytes")).alias("p")).select("digest", "p.*")
-    return best.sortWithinPartitions("shard", "at")
+    return best.repartitionByRange("shard", "at").sortWithinPartitions("shard", "at")
 
 
 def media_metadata(places: DataFrame) -> DataFrame:

@@ -47,11 +47,11 @@ from .shared import U64, chunks, delete_path, hash_words, limit_batches, mix, re
 _CUT = U64(16)
 START, END = (mix(np.array([x], U64))[0] >> _CUT for x in (11, 13))
 #: N-grams that a task gathers before it sends them, text bytes of a scoring batch, and text bytes per bucket.
-FLUSH, BATCH_BYTES, BUCKET_BYTES = 1_000_000, 3 << 20, 8 << 20
+FLUSH, BATCH_BYTES, BUCKET_BYTES = 1_000_000, 6 << 20, 8 << 20
 #: Turns in which an order's n-grams are added up, and segments that a worker keeps open.
-PASSES, MOST_OPEN = 4, 512
+PASSES, MOST_OPEN = 3, 512
 #: Contexts of a block, whose first n-gram's place is kept.
-_BLOCK = 16
+_BLOCK = 4
 
 
 # ---------------------------------------------------------------- files
@@ -112,10 +112,14 @@ def narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (U64, 64)) if most < 1 << bits))
 
 
-def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the rows of x and the distinct rows."""
-    values, code = np.unique(x, axis=0, return_inverse=True)
-    return narrow(code.ravel()), values.astype(U64).ravel()
+def coded(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the rows that the columns make, and the distinct rows one after another; rows are told apart by 64 bits of hash."""
+    name = columns[0].astype(U64)
+    with np.errstate(over="ignore"):
+        for c in columns[1:]:
+            name = mix(name * U64(0x9FB21C651E98DF25) + c.astype(U64))
+    _, first, code = np.unique(name, return_index=True, return_inverse=True)
+    return narrow(code), np.stack([c[first] for c in columns], axis=1).astype(U64).ravel()
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -264,11 +268,11 @@ def _reduce(bits: int, folder: str):
             a, key, first = np.add.reduceat(a[order], starts), key[starts], order[starts]
             heads = np.flatnonzero(np.concatenate(([True], key[1:] >> U64(32) != key[:-1] >> U64(32))))
             types = np.diff(np.append(heads, len(key)))
-            facts = np.stack([types, np.add.reduceat(a, heads), *(np.add.reduceat(hit.astype(np.int64), heads) for hit in (a == 1, a == 2, a >= 3))], axis=1)
+            facts = [types, np.add.reduceat(a, heads), *(np.add.reduceat(hit, heads, dtype=np.int64) for hit in (a == 1, a == 2, a >= 3))]
             own = context[np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))]
             code, table = coded(facts)
-            count, counts = coded(a.reshape(-1, 1))
-            arrays = [(own >> U64(32)).astype(np.uint32), (own >> U64(24) & U64(255)).astype(np.uint8), code, table, heads[::_BLOCK].astype(U64), (key & U64(0xFFFFFFFF)).astype(np.uint32), count, counts]
+            count, counts = coded([a])
+            arrays = [(own >> U64(32)).astype(np.uint32), (own >> U64(24) & U64(255)).astype(np.uint8), code, table, narrow(heads[::_BLOCK]), (key & U64(0xFFFFFFFF)).astype(np.uint32), count, counts]
             rest = _blobs([c[first] for c in grams[1:]], np.ones(len(a), np.int64), bits, width)
         write_segment(f"{folder}/{kind}", bucket, arrays)
         head = (-1, len(a), int(a.sum()), *(int((a == t).sum()) for t in (1, 2, 3, 4)), kind, bucket, None, None, None, None)
@@ -382,10 +386,11 @@ class _Maps:
                 out[own[hit]] = arrays[1][at[hit]]
         return out
 
-    def grams(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Count of each n-gram, and of its context: count, n-grams with counts 1, 2 and 3 or more; 0 where missing."""
+    def grams(self, columns: list[np.ndarray], discount: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Count of each n-gram, its context's count (1 where it is missing), and the share that discounts free there (1 where it is missing)."""
         bucket, context = bucket_of(columns, self.model.bits)
-        count, facts = np.zeros(len(context), np.int64), np.zeros((4, len(context)), np.int64)
+        count, whole, free = np.zeros(len(context), np.int64), np.ones(len(context), np.int64), np.ones(len(context))
+        word = (columns[-1] >> U64(16)).astype(np.uint32)
         for b, own in self._runs(bucket):
             arrays = self.segment(len(columns), b)
             if arrays is None:
@@ -394,27 +399,36 @@ class _Maps:
             key, back = np.unique(context[own], return_inverse=True)
             at, hit = _found(high, (key >> U64(32)).astype(np.uint32), low, (key >> U64(24) & U64(255)).astype(np.uint8))
             at = at[hit]
-            table = table.reshape(-1, 5).astype(np.int64)
-            known = np.zeros((len(key), 5), np.int64)
-            known[hit] = table[code[at]]
+            types, size, *n = table.reshape(-1, 5).T.astype(np.int64)
+            mine = code[at]
+            one_whole, one_free = np.ones(len(key), np.int64), np.ones(len(key))
+            one_whole[hit] = size[mine]
+            one_free[hit] = (sum(d * x for d, x in zip(discount, n, strict=True)) / size)[mine]
+            whole[own], free[own] = one_whole[back], one_free[back]
             # the first n-gram of a context: the block's, and what the contexts before it in the block have
-            block = at // _BLOCK * _BLOCK
-            near = block[:, None] + np.arange(_BLOCK)
-            sizes = table[:, 0][code[np.minimum(near, len(code) - 1)]]
-            begin = np.zeros(len(key), np.int64)
-            begin[hit] = blocks[at // _BLOCK].astype(np.int64) + np.where(near < at[:, None], sizes, 0).sum(axis=1)
-            facts[:, own] = known[back, 1:].T
-            left, right, word = begin[back], (begin + known[:, 0])[back], (columns[-1][own] >> U64(16)).astype(np.uint32)
-            end, busy = right.copy(), np.flatnonzero(left < right)
+            begin, end = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+            first = blocks[at // _BLOCK].astype(np.int64)
+            for k in range(1, _BLOCK):
+                before = np.flatnonzero(at % _BLOCK >= k)
+                first[before] += types[code[at[before] - k]]
+            begin[hit], end[hit] = first, first + types[mine]
+            # each pair of a context and a word once, in order
+            pair, back = np.unique(back.astype(U64) << U64(32) | word[own], return_inverse=True)
+            place = (pair >> U64(32)).astype(np.int64)
+            left, right, last, wanted = begin[place], end[place], end[place], pair.astype(np.uint32)
+            busy = np.flatnonzero(left < right)
             while len(busy):
-                middle = (left[busy] + right[busy]) // 2
-                less = words[middle] < word[busy]
-                left[busy[less]], right[busy[~less]] = middle[less] + 1, middle[~less]
+                middle = left[busy] + right[busy] >> 1
+                less = words[middle] < wanted[busy]
+                left[busy] = np.where(less, middle + 1, left[busy])
+                right[busy] = np.where(less, right[busy], middle)
                 busy = busy[left[busy] < right[busy]]
-            hit = left < end
-            hit[hit] = words[left[hit]] == word[hit]
-            count[own[hit]] = counts[counted[left[hit]]]
-        return count, facts
+            found = np.flatnonzero(left < last)
+            found = found[words[left[found]] == wanted[found]]
+            known = np.zeros(len(pair), np.int64)
+            known[found] = counts[counted[left[found]]]
+            count[own] = known[back]
+        return count, whole, free
 
 
 def _found(high: np.ndarray, key: np.ndarray, low: np.ndarray | None = None, key_low: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -450,9 +464,8 @@ def token_scores(maps: _Maps, columns: list[np.ndarray]) -> tuple[np.ndarray, np
     p = ((_discounted(a, low.discount) + free / (low.size + 1)) / low.mass if low.mass else np.ones(len(word)))[back]
     for k in range(2, model.order + 1):
         d = model.levels[k - 1].discount
-        count, (size, n1, n2, n3) = maps.grams(columns[-k:])
-        whole = np.maximum(size, 1)
-        p = _discounted(count, d) / whole + np.where(size > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / whole, 1.0) * p
+        count, whole, free = maps.grams(columns[-k:], d)
+        p = _discounted(count, d) / whole + free * p
     return p, raw[back]
 
 

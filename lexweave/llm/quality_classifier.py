@@ -10,7 +10,7 @@ the id; their statistics (not their texts) come to the driver. All other work co
 
 Cases: null and empty texts have all statistics 0 and get the score that their rules give. Without labelled
 rows, or with one class only, the score is the (smoothed) share of good labels everywhere. Repeated labels of
-an id count as their minimum. Repeated rows get equal scores. Extra columns are ignored.
+an id count as their minimum; of rows that repeat an id one is learned from. Repeated rows get equal scores. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -150,7 +150,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     marks = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").cast("double").alias("_y"))
     chosen = marks.orderBy(F.xxhash64(F.lit(SEED), "_id"), "_id").limit(rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body")).join(F.broadcast(chosen), "_id")
-    found = with_features(texts, "_body").select("_id", "_y", *SHAPE).collect()
+    # an id that stands in many rows is one row of the sample, the one with the least statistics
+    shape = with_features(texts, "_body").groupBy("_id").agg(F.min(F.struct("_y", *SHAPE)).alias("_s"))
+    found = shape.select("_id", "_s.*").collect()
     if not found:
         return RuleModel(0.0, ())
     table = np.array(sorted(tuple(r) for r in found), np.float64)
