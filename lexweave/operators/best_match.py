@@ -1,19 +1,25 @@
 """Best-match join: for each query the best candidate that reaches a threshold.
 
-Distinct values are scored, not rows. Measures whose score bounds the length ratio are joined by length
-bands, so only pairs that can reach the threshold meet; others meet by broadcast or in blocks. The best
-candidate is one aggregate: greatest score, then the earliest candidate.
+Distinct values are scored, not rows. What a measure's score says of a pair that reaches the threshold drives the join:
+
+- equal texts only (EXACT): an equi-join;
+- a share of either side's words in common (JACCARD, WordLCS): an equi-join on each text's rarest words;
+- a bound of the length ratio (Levenshtein, FUZZY): length bands, in a grid of blocks where a band is large.
+
+Other measures meet by broadcast or in a grid. The best candidate is one aggregate: greatest score, then the earliest candidate.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import similarity
+from ..functions.similarity import similarity, tokens
+from ..functions.text import words
 from ..plans.pairing import theta_join
 
 #: Least ratio of the shorter to the longer length that a score t allows.
@@ -26,15 +32,63 @@ def _band(length: Column) -> Column:
     return F.floor(F.log(F.greatest(length, F.lit(1)).cast("double")) / math.log(_BAND)).cast("int")
 
 
+#: Measures whose score is above 0 for equal texts only.
+EQUAL = ("EXACT",)
+#: Measures whose score t needs a share t of either side's words in common, with the words that they compare.
+COMMON_WORDS = {"JACCARD": lambda c: F.array_distinct(words(c)), "WordLCS": lambda c: numbered(tokens(c))}
+#: Queries and candidates of a block of a length band.
+BLOCK = 1024
+
+
+def _banded(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Pairs whose lengths' ratio is `least` or more. Bands that hold many queries or candidates are cut into a grid of blocks,
+    each query in one of its rows and all its columns, each candidate the other way round, so that equal lengths are no hot key."""
+    wide = math.ceil(-math.log(least) / math.log(_BAND)) + 1
+    l = left.withColumn("_band", _band(F.length("query")))
+    r = right.withColumn("_band", F.explode(F.sequence(_band(F.length("ref")) - wide, _band(F.length("ref")) + wide)))
+    blocks = lambda df, name: df.groupBy("_band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    grid = F.broadcast(blocks(l, "_rows").join(blocks(r, "_columns"), "_band"))  # a row per band: the logarithm of the longest text
+    number = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    l = l.join(grid, "_band").withColumn("_row", F.pmod(F.xxhash64("query"), F.col("_rows")).cast("int")).withColumn("_column", F.explode(number("_columns"))).drop("_rows", "_columns")
+    r = r.join(grid, "_band").withColumn("_column", F.pmod(F.xxhash64("ref"), F.col("_columns")).cast("int")).withColumn("_row", F.explode(number("_rows"))).drop("_rows", "_columns")
+    short, long = F.least(F.length("query"), F.length("ref")), F.greatest(F.length("query"), F.length("ref"))
+    return l.join(r.hint("shuffle_hash"), ["_band", "_row", "_column"]).where(short >= F.lit(least - 1e-9) * long).drop("_band", "_row", "_column")
+
+
+def numbered(c: Column) -> Column:
+    """Words with the number of their occurrence, so that a word that stands twice is two."""
+    return F.transform(c, lambda w, i: F.concat_ws("\u0001", w, F.size(F.filter(F.slice(c, F.lit(1), i + 1), lambda v: v == w)).cast("string")))
+
+
+def _sharing(left: DataFrame, right: DataFrame, words_of: Callable[[Column], Column], least: float) -> DataFrame:
+    """Pairs that can have a share `least` of either side's words in common, each once.
+
+    A text with n words that misses all of its n - ceil(least * n) + 1 rarest has too few left. So texts meet on these
+    alone, in one order of words by how many texts have them, and a word that a third of all texts have brings few together."""
+    def words_in(df: DataFrame, name: str) -> DataFrame:
+        return df.select(name, F.explode(words_of(F.col(name))).alias("_word"))
+
+    l, r = words_in(left, "query"), words_in(right, "ref")
+    known = l.select("_word").union(r.select("_word")).groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+
+    def rarest(df: DataFrame, name: str) -> DataFrame:
+        all_ = df.join(known, "_word").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("_n", "_word"))).alias("_w"))
+        size = F.size("_w")
+        return all_.select(name, F.explode(F.slice("_w", F.lit(1), (size - F.ceil(size * F.lit(least) - 1e-9) + 1).cast("int"))["_word"]).alias("_word"))
+
+    pairs = rarest(l, "query").join(rarest(r, "ref"), "_word").select("query", "ref").distinct()
+    return pairs.join(right, "ref").select("query", "ref", "pos")
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, strategy: Any, threshold: float) -> DataFrame:
-    """Pairs (query, ref, pos) that can reach the threshold: all of them, or those with fitting lengths."""
-    if isinstance(strategy, str) and strategy in LENGTH_BOUNDS and 0 < threshold <= 1:
-        least = LENGTH_BOUNDS[strategy](threshold)
-        wide = math.ceil(-math.log(least) / math.log(_BAND)) + 1
-        l = left.withColumn("_band", _band(F.length("query")))
-        r = right.withColumn("_band", F.explode(F.sequence(_band(F.length("ref")) - wide, _band(F.length("ref")) + wide)))
-        short, long = F.least(F.length("query"), F.length("ref")), F.greatest(F.length("query"), F.length("ref"))
-        return l.join(r, "_band").where(short >= F.lit(least - 1e-9) * long).drop("_band")
+    """Pairs (query, ref, pos) that can reach the threshold: all of them, or those that the measure's bounds leave."""
+    if isinstance(strategy, str) and 0 < threshold <= 1:
+        if strategy in EQUAL:
+            return left.join(right, F.col("query") == F.col("ref"))
+        if strategy in COMMON_WORDS:
+            return _sharing(left, right, COMMON_WORDS[strategy], threshold)
+        if strategy in LENGTH_BOUNDS:
+            return _banded(left, right, LENGTH_BOUNDS[strategy](threshold))
     return theta_join(left, right, F.lit(True))
 
 

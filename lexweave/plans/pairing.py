@@ -1,4 +1,4 @@
-"""How two tables meet when no equality relates them: by broadcast if one side is proven small, else in blocks."""
+"""How two tables meet when no equality relates them: by broadcast if one side is proven small, else in a grid of blocks."""
 
 from __future__ import annotations
 
@@ -9,44 +9,67 @@ from pyspark.sql import functions as F
 
 #: Rows and text bytes up to which a side is broadcast; both are counted first.
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 32 << 20
-#: Rows of a block of the right side when it is not broadcast.
+#: Rows of each side in a block of the grid.
 BLOCK_ROWS = 20_000
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Counts a side's rows and bytes (as text) and compares them with the bounds."""
+def measured(df: DataFrame) -> tuple[int, int]:
+    """A side's rows and bytes (as text)."""
     width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))), F.lit(0))
     n, total = df.agg(F.count(F.lit(1)), F.sum(width)).first()
-    return n <= rows and (total or 0) <= size
+    return n, total or 0
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a side's rows and bytes are within the bounds."""
+    n, total = measured(df)
+    return n <= rows and total <= size
+
+
+def row_hash(df: DataFrame) -> Column:
+    return F.xxhash64(*(F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t))
 
 
 def theta_join(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
-    """Inner join under any condition. A small side is broadcast; otherwise the right side is dealt into blocks,
-    each left row visits every block, and a block of each side is one equi-join key, so no task holds a whole side."""
-    if is_small(right):
+    """Inner join under any condition. A small side is broadcast; otherwise the sides meet in a grid: a left row is in one
+    of its rows and visits each of its columns, a right row is in one column and visits each row, and each cell is an
+    equi-join key. So a task holds BLOCK_ROWS rows or so of either side, whatever their sizes; equal rows share a cell."""
+    n, n_bytes = measured(right)
+    if n <= BROADCAST_ROWS and n_bytes <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), condition)
-    if is_small(left):
+    m, m_bytes = measured(left)
+    if m <= BROADCAST_ROWS and m_bytes <= BROADCAST_BYTES:
         return F.broadcast(left).join(right, condition)
-    blocks = max(1, math.ceil(right.count() / BLOCK_ROWS))
-    l = left.withColumn("_block_l", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    r = right.withColumn("_block_r", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in right.columns)), F.lit(blocks)).cast("int"))
-    return l.join(r, (F.col("_block_l") == F.col("_block_r")) & condition).drop("_block_l", "_block_r")
+    rows, columns = (max(1, math.ceil(x / BLOCK_ROWS)) for x in (m, n))
+    l = left.withColumns({"_row_l": F.pmod(row_hash(left), F.lit(rows)), "_column_l": F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))})
+    r = right.withColumns({"_column_r": F.pmod(row_hash(right), F.lit(columns)), "_row_r": F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))})
+    return l.join(r, (F.col("_row_l") == F.col("_row_r")) & (F.col("_column_l") == F.col("_column_r")) & condition).drop("_row_l", "_column_l", "_row_r", "_column_r")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the folder that executors share; its partitions and their rows stay as they are from here on."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or "/tmp/checkpoints")
+    return df.checkpoint()
 
 
 def with_index(df: DataFrame, name: str = "idx", order: list[str] | None = None) -> DataFrame:
     """Adds a row number from 0: by `order` (a range sort) if given, else by position.
 
-    Only row counts per partition come to the driver; no single task numbers all rows.
+    The rows are written once, so that the counts of its partitions and the numbers come from the same ones. A
+    row's number is its place in its partition plus the rows before that; one small row per partition is
+    broadcast, and no single task numbers all rows.
     """
-    if order:
-        df = df.sort(*order)
-    marked = df.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    counts = {r["_part"]: r["n"] for r in marked.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts, total = [], 0
-    for p in sorted(counts):
-        starts += [F.lit(p), F.lit(total)]
-        total += counts[p]
-    if not starts:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    within = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-    return marked.withColumn(name, (F.element_at(F.create_map(*starts), F.col("_part")) + within).cast("long")).drop("_part", "_row")
+    places = written((df.sort(*order) if order else df).select(F.struct("*").alias("_r"), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
+    total, starts = 0, []
+    for part, n in sorted(tuple(r) for r in places.groupBy("_part").agg(F.count(F.lit(1))).collect()):
+        starts.append((part, total))
+        total += n
+    before = df.sparkSession.createDataFrame(starts, "_part int, _before long")
+    number = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    kept = [F.col(f"_r.`{c}`") for c in df.columns if c != name]
+    return places.join(F.broadcast(before), "_part").select(*kept, number.cast("long").alias(name))

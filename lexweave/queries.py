@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.authority import AuthorityMap, Kind
 from .functions.clean import STOPWORDS, chain, clean, clean_column
-from .functions.similarity import GATES, cosine_score, similarity
+from .functions.similarity import GATES, cosine_score, embedding, similarity
 from .operators import assemble
 from .operators.best_match import best_match, score_band
 from .operators.constraints import ConstraintNode
 from .operators.flows import result_table, run_flow, with_serials
 from .operators.ranker import rank_candidates, rank_typo_candidates
-from .operators.rule_join import attach_originals, constraint_pairs, rule_join, rule_pairs, without_decided
+from .operators.rule_join import attach_originals, constraint_pairs, rule_debug, rule_join, rule_pairs, without_decided
 from .operators.select import Mode, select_candidates
 from .plans.pairing import theta_join, with_index
 
@@ -171,10 +171,10 @@ _JACCARD = f"({_SHARED}::DOUBLE / len(list_distinct(list_concat(x, y))))"
 _KEYS = ("c_custkey", "s_suppkey")
 
 
-def _lcs_sql(xs: str, ys: str, select: str) -> str:
+def _lcs_sql(xs: str, ys: str, select: str, source: str = NAMES) -> str:
     """`select` over t(a, b, xs, ys, lcs): the table method row by row, one row of it per step of the recursion."""
     cell = "greatest(row[j[1] + 1], acc[len(acc)], CASE WHEN xs[i + 1] = ys[j[1]] THEN row[j[1]] + 1 ELSE 0 END)"
-    return f"""WITH RECURSIVE p AS (SELECT a, b, {xs} AS xs, {ys} AS ys FROM {NAMES}),
+    return f"""WITH RECURSIVE p AS (SELECT a, b, {xs} AS xs, {ys} AS ys FROM {source}),
 r AS (SELECT a, b, 0 AS i, list_transform(range(len(ys) + 1), lambda k: 0::BIGINT) AS row FROM p UNION ALL
 SELECT r.a, r.b, i + 1, list_reduce(list_transform(range(1, len(ys) + 1), lambda j: [j]), lambda acc, j: list_append(acc, {cell}), [0::BIGINT]) FROM r JOIN p ON r.a = p.a AND r.b = p.b WHERE i < len(xs)),
 t AS (SELECT r.a, r.b, xs, ys, row[len(row)] AS lcs FROM r JOIN p ON r.a = p.a AND r.b = p.b WHERE i = len(xs)) {select}"""
@@ -203,7 +203,10 @@ add("measure_segment_jaccard", _measured("NewJACCARDStrategy", 0.5, split_segmen
 add("measure_segment_amount", _measured("NewJACCARDStrategy", 1, split_segment=" ", strategy_mode="amount_mode"), _measure_sql(_SHARED, f"{_SHARED} >= 1"))
 add("measure_number_jaccard", _measured("NumberJaccardStrategy", 1), _measure_sql(_JACCARD, f"{_SHARED} >= 1"))
 add("measure_shared_words_ratio", _measured("FourJaccardRapidFuzzyScoreStrategy", 1), _lcs_measure(_words("a"), _words("b"), _RATIO, "len(list_intersect(list_distinct(xs), list_distinct(ys))) >= 1"))
-add("measure_partial_ratio", _measured("PartialRatio", 0.6))
+_SIDES = f"(SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS l FROM {NAMES})"
+_WINDOWS = f"(SELECT s, l, unnest(list_distinct(list_transform(range(1 - length(s), length(l)), lambda i: substr(l, greatest(i, 0) + 1, i + length(s) - greatest(i, 0))))) AS w FROM (SELECT DISTINCT s, l FROM {_SIDES}))"
+add("measure_partial_ratio", _measured("PartialRatio", 0.6), _lcs_sql(*_CHARS, f", d AS (SELECT s, l, max({_RATIO}) AS score FROM {_WINDOWS} JOIN t ON a = s AND b = w GROUP BY 1, 2) SELECT x.a, x.b, score >= 0.6::DOUBLE AS success, score FROM {_SIDES} x JOIN d USING (s, l)", f"(SELECT DISTINCT s AS a, w AS b FROM {_WINDOWS})"))
+add("measure_lcs_similarity", _measured("LcsSimilarity", 0.5), _lcs_measure(*_CHARS, _SHARE, "@ >= 0.5::DOUBLE"))
 _ALNUM = "regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g')"
 add("measure_preprocessed_exact", _measured("PREPROCESSED_EXACT", source=neighbours, keys=_KEYS, processors=["StrFunc_KeepDigits"]), _measure_sql("(regexp_replace(a, '[^0-9]', '', 'g') = regexp_replace(b, '[^0-9]', '', 'g'))::INT", "regexp_replace(a, '[^0-9]', '', 'g') = regexp_replace(b, '[^0-9]', '', 'g')", NEIGHBOURS, "c_custkey, s_suppkey"))
 add("measure_preprocessed_authority", _measured("PREPROCESSED_EXACT", table=AuthorityMap()), _measure_sql(f"({_ALNUM.format('a')} = {_ALNUM.format('b')})::INT", f"{_ALNUM.format('a')} = {_ALNUM.format('b')}"))
@@ -225,6 +228,17 @@ _ABBR = f"(CASE WHEN length(b) % 2 = 0 THEN lower(a) = lower(b) OR lower(b) = {_
 add("measure_abbreviation", _abbreviation, f"SELECT a, b, {_ABBR} AS success, CAST({_ABBR} AS DOUBLE) AS score FROM {NAMES}")
 
 
+def _preprocessed_abbreviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = similarity("PreprocessedAbbrevExactStrategy", "left", "right", 1, table=AUTHORITY)
+    return _abbreviated(spark, sf_dir).select("a", "b", r["success"].alias("success"), r["score"].alias("score"))
+
+
+# part names and their initials have nothing that the authority map or the cleaners change but the dots, which go
+_DOTLESS = r"regexp_replace({0}, '(\w)\w*\s*', '\1', 'g')"
+_PRE = f"(CASE WHEN length(b) % 2 = 0 THEN lower(a) = lower(b) OR lower(b) = lower({_DOTLESS.format('a')}) ELSE lower(a) = lower({_DOTLESS.format('b')}) OR lower({_DOTLESS.format('a')}) = lower({_DOTLESS.format('b')}) END)"
+add("measure_preprocessed_abbreviation", _preprocessed_abbreviation, f"SELECT a, b, {_PRE} AS success, CAST({_PRE} AS DOUBLE) AS score FROM {NAMES}")
+
+
 def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = names(spark, sf_dir)
     parts = [similarity("Levenshtein", "a", "b", 0.5), similarity("JACCARD", "a", "b", 0.3)]
@@ -245,6 +259,18 @@ def _cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(first, "label").select("vec_id", F.round(cosine_score(F.col("embedding"), F.col("centre")), 6).alias("score"))
 
 
+def letter_counts(text: Column) -> Column:
+    """A plain encoder: how often each of a few letters stands in a text."""
+    return F.array(*(F.regexp_count(text, F.lit(x)).cast("float") for x in "aeiolnrstd"))
+
+
+def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = similarity(embedding(letter_counts), "a", "b", 0.8)
+    return names(spark, sf_dir).select("a", "b", F.round(r["score"], 6).alias("score"))
+
+
+_LETTERS = "list_transform(string_split('aeiolnrstd', ''), lambda x: CAST(length({0}) - length(replace({0}, x, '')) AS DOUBLE))"
+add("measure_embedding", _encoded, f"SELECT a, b, round(list_cosine_similarity({_LETTERS.format('a')}, {_LETTERS.format('b')}), 6) AS score FROM {NAMES}")
 add("measure_cosine", _cosine, """WITH f AS (SELECT label, arg_min(embedding, vec_id) AS centre FROM embeddings GROUP BY label)
 SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(centre AS DOUBLE[])), 6) AS score FROM embeddings JOIN f USING (label)""")
 
@@ -276,7 +302,7 @@ add("score_bands", lambda s, d: best_part_names(s, d).select("query", score_band
 EXACT_RULE = {"Rules": ["AND", {"ColsCompare": ["AND", {"df1": "c_nationkey", "df2": "s_nationkey", "method": ["AND", {"algo": "EXACT"}]}]}]}
 MIXED_RULE = {"Rules": ["OR",
     {"ColsCompare": ["AND", {"df1": "c_nationkey", "df2": "s_nationkey", "method": ["AND", {"algo": "EXACT"}]}, {"df1": "c_name", "df2": "s_name", "method": ["OR", {"algo": "Levenshtein", "standard": 0.6}, {"algo": "IN"}]}]},
-    {"ColsCompare": ["AND", {"df1": "c_custkey", "df2": "s_suppkey", "method": ["NotOR", {"algo": "JACCARD", "standard": 0.5}]}, {"df1": "c_custkey", "df2": "s_suppkey", "method": ["AND", {"algo": "EXACT"}]}]}]}
+    {"ColsCompare": ["AND", {"df1": "c_name", "df2": "s_name", "method": ["NotOR", {"algo": "JACCARD", "standard": 0.5}]}, {"df1": "c_custkey", "df2": "s_suppkey", "method": ["AND", {"algo": "EXACT"}]}]}]}
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -289,13 +315,13 @@ def _ruled(rule) -> Query:
 
 add("rule_exact", _ruled(EXACT_RULE), "SELECT CAST(c_custkey AS BIGINT) AS df1_idx, CAST(s_suppkey AS BIGINT) AS df2_idx, true AS final_result FROM customer JOIN supplier ON c_nationkey = s_nationkey")
 _TEXTS = "(SELECT *, c_name AS a, s_name AS b FROM customer, supplier)"
-# JACCARD of two numbers as texts is 1 for equal ones, so the second alternative never holds
-add("rule_mixed", _ruled({"Rules": MIXED_RULE["Rules"][:2]}), f"SELECT CAST(c_custkey AS BIGINT) AS df1_idx, CAST(s_suppkey AS BIGINT) AS df2_idx, true AS final_result FROM {_TEXTS} WHERE c_nationkey = s_nationkey AND ({_LEV} >= 0.6::DOUBLE OR contains(a, b))")
+_ACCEPTED = f"((c_nationkey = s_nationkey AND ({_LEV} >= 0.6::DOUBLE OR contains(a, b))) OR (c_custkey = s_suppkey AND a <> b))"
+add("rule_mixed", _ruled(MIXED_RULE), f"SELECT CAST(c_custkey AS BIGINT) AS df1_idx, CAST(s_suppkey AS BIGINT) AS df2_idx, true AS final_result FROM {_TEXTS} WHERE {_ACCEPTED}")
 UNKEYED_RULE = {"Rules": ["AND", {"ColsCompare": ["NotAND", {"df1": "r_name", "df2": "n_name", "method": ["OR", {"algo": "Levenshtein", "standard": 0.2}, {"algo": "TwoSideInStringStrategy"}]}]}]}
 add("rule_unkeyed", lambda s, d: rule_pairs(table(s, d, "region").withColumn("idx", F.col("r_regionkey")), table(s, d, "nation").withColumn("idx", F.col("n_nationkey")), UNKEYED_RULE).select(F.col("df1_idx").cast("long"), F.col("df2_idx").cast("long"), "final_result"),
     f"SELECT CAST(r_regionkey AS BIGINT) AS df1_idx, CAST(n_nationkey AS BIGINT) AS df2_idx, true AS final_result FROM (SELECT *, r_name AS a, n_name AS b FROM region, nation) WHERE NOT ({_LEV} >= 0.2::DOUBLE OR contains(a, b) OR contains(b, a))")
-add("rule_join_attached", lambda s, d: rule_join(*_sides(s, d), {"Rules": MIXED_RULE["Rules"][:2]}).groupBy("df1_c_mktsegment", "df2_s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.min("df1_c_name").alias("first_name")),
-    f"SELECT c_mktsegment AS df1_c_mktsegment, s_nationkey AS df2_s_nationkey, count(*) AS n, min(c_name) AS first_name FROM {_TEXTS} WHERE c_nationkey = s_nationkey AND ({_LEV} >= 0.6::DOUBLE OR contains(a, b)) GROUP BY ALL")
+add("rule_join_attached", lambda s, d: rule_join(*_sides(s, d), MIXED_RULE).groupBy("df1_c_mktsegment", "df2_s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.min("df1_c_name").alias("first_name")),
+    f"SELECT c_mktsegment AS df1_c_mktsegment, s_nationkey AS df2_s_nationkey, count(*) AS n, min(c_name) AS first_name FROM {_TEXTS} WHERE {_ACCEPTED} GROUP BY ALL")
 add("rule_attach_originals", lambda s, d: attach_originals(rule_pairs(*_sides(s, d), EXACT_RULE), *_sides(s, d)).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.max("s_name").alias("last_name")),
     "SELECT c_mktsegment, count(*) AS n, max(s_name) AS last_name FROM customer JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1")
 add("pairs_without_decided", lambda s, d: without_decided(neighbours(s, d).select(F.col("c_custkey").alias("i"), F.col("s_suppkey").alias("j")), neighbours(s, d).where("s_suppkey > c_custkey").select(F.col("c_custkey").alias("i"), F.col("s_suppkey").alias("j"))),
@@ -312,14 +338,41 @@ _CLOSE = "(1 - levenshtein(upper({0}), upper({1}))::DOUBLE / greatest(length({0}
 add("constraint_similar", lambda s, d: constraint_pairs(table(s, d, "supplier"), {"one": ConstraintNode("FUZZY", "supplier#000000012"), "seg": ConstraintNode("SIMPLE", "SUPPLIER#000000033")}, text_col="s_name", idx1="s_suppkey"),
     f"SELECT s_suppkey AS df1_idx, 'one' AS AcId, true AS final_result FROM supplier WHERE {_CLOSE.format('s_name', "'supplier#000000012'")} UNION ALL SELECT s_suppkey, 'seg', true FROM supplier WHERE {_CLOSE.format('s_name', "'SUPPLIER#000000033'")}")
 
+#: A constraint tree over the left side within a rule.
+PRIS_RULE = {"Rules": ["AND", {"ColsCompare": ["AND", {"df1": "c_nationkey", "df2": "s_nationkey", "method": ["AND", {"algo": "EXACT"}]}]}, {"PRIS_Tree": {"df1_col": "c_mktsegment", "tree": ConstraintNode("OR", left=ConstraintNode("IN", "build"), right=ConstraintNode("NOT", left=ConstraintNode("IN", "a")))}}]}
+_SEGMENT = "(contains(upper(c_mktsegment), 'BUILD') OR NOT contains(upper(c_mktsegment), 'A'))"
+add("rule_constraint_leaf", _ruled(PRIS_RULE), f"SELECT CAST(c_custkey AS BIGINT) AS df1_idx, CAST(s_suppkey AS BIGINT) AS df2_idx, true AS final_result FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE {_SEGMENT}")
+
+
+def _debugged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair of regions and nations with what each node of the rule says."""
+    r, n = table(spark, sf_dir, "region").withColumn("idx", F.col("r_regionkey")), table(spark, sf_dir, "nation").withColumn("idx", F.col("n_nationkey"))
+    info = F.array_join(F.transform(F.array_sort(F.map_entries("debug_info")), lambda e: F.concat(F.element_at(F.split(e["key"], "/"), -1), F.lit("="), e["value"].cast("string"))), ",")
+    return rule_debug(r, n, UNKEYED_RULE).select(F.col("df1_idx").cast("long"), F.col("df2_idx").cast("long"), "final_result", info.alias("info"))
+
+
+_NEAR, _WITHIN = f"({_LEV} >= 0.2::DOUBLE)", "(contains(a, b) OR contains(b, a))"
+add("rule_debug", _debugged, f"""SELECT CAST(r_regionkey AS BIGINT) AS df1_idx, CAST(n_nationkey AS BIGINT) AS df2_idx, NOT ({_NEAR} OR {_WITHIN}) AS final_result,
+'AND=' || (NOT ({_NEAR} OR {_WITHIN})) || ',NotAND=' || (NOT ({_NEAR} OR {_WITHIN})) || ',OR=' || ({_NEAR} OR {_WITHIN}) || ',Levenshtein=' || {_NEAR} || ',TwoSideInStringStrategy=' || {_WITHIN} AS info
+FROM (SELECT *, r_name AS a, n_name AS b FROM region, nation)""")
+for _measure, _score in (("JACCARD", _JACCARD), ("WordLCS", None)):
+    add(f"best_match_{_measure.lower()}", lambda s, d, m=_measure: best_match(part_names(s, d), part_names(s, d), m, 0.4, left_col="name", right_col="name", exclude_same=True),
+        _lcs_sql(*_TOKENS, f"SELECT a AS query, b AS best_match, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM (SELECT a, b, {_SHARE} AS score FROM t WHERE a <> b) WHERE score >= 0.4::DOUBLE) WHERE k = 1", f"(SELECT x.name AS a, y.name AS b FROM {_PARTS} x, {_PARTS} y)")
+        if _score is None else f"""WITH p AS {_PARTS}, s AS (SELECT a, b, {_score} AS score FROM (SELECT x.name AS a, y.name AS b, {_words('x.name')} AS x, {_words('y.name')} AS y FROM p x, p y WHERE x.name <> y.name)),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s WHERE score >= 0.4::DOUBLE) SELECT a AS query, b AS best_match, score FROM r WHERE k = 1""")
+add("best_match_exact", lambda s, d: best_match(table(s, d, "orders"), table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("ref"), F.col("l_linenumber").alias("pos")), "EXACT", 1.0, left_col="o_custkey", right_col="ref", order_col="pos").groupBy("query", "best_match", "score").agg(F.count(F.lit(1)).alias("n")),
+    "SELECT CAST(o_custkey AS VARCHAR) AS query, CAST(o_custkey AS VARCHAR) AS best_match, 1.0::DOUBLE AS score, count(*) AS n FROM orders WHERE o_custkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1, 2")
+
 
 # ---------------------------------------------------------------- flows and selection
+#: Flows 1 and 2 clean the raw side alone, so these steps leave texts that an uncleaned one can equal or resemble.
+_RAW_ONLY = {"raw_steps": ["StrFunc_Lowercase", ("StrFunc_ReplaceInputToNothing", ["a"])], "matchers": [("EXACT", None), ("Levenshtein", 0.5)]}
 _STEPS = {"raw_steps": ["StrFunc_Uppercase", ("StrFunc_ReplaceInputToNothing", ["A"])], "ac_steps": ["StrFunc_Uppercase", "StrFunc_AscendDictionaryOrder"], "matchers": [("EXACT", None), ("Levenshtein", 0.5)]}
 
 
 def _flow(number: int, **more) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        steps = {k: v for k, v in _STEPS.items() if k != "operations"} if number < 5 else {"matchers": _STEPS["matchers"]}
+        steps = _RAW_ONLY if number < 3 else _STEPS if number < 5 else {"matchers": _STEPS["matchers"]}
         out = run_flow(names(spark, sf_dir), number, ac="a", raw="b", **steps, **more)
         return out.withColumn("phases", F.array_join("phases", ">"))
 
@@ -354,8 +407,11 @@ _A = [("ac", "upper({0})", "[acm]StrFunc_Uppercase"), ("ac", f"array_to_string(l
 _M = [("mm", "EXACT", "[mm]EXACT"), ("mm", "Levenshtein", "[mm]Levenshtein")]
 _OPERATIONS = [("acm", "StrFunc_Uppercase"), ("tcm", "StrFunc_Uppercase")]
 _UNIFIED = [("acm", "StrFunc_Uppercase"), ("mm", ("Levenshtein", 0.5)), ("tcm", "StrFunc_Uppercase"), ("mm", ("EXACT", None))]
-add("flow_1", _flow(1), _flow_sql(_E + _M))
-add("flow_2", _flow(2), _flow_sql([_E[0], *_M, _E[1], *_M]))
+_L = [("raw", "lower({0})", "[tcm]StrFunc_Lowercase"), ("raw", "replace({0}, 'a', '')", "[tcm]StrFunc_ReplaceInputToNothing")]
+add("flow_1", _flow(1), _flow_sql(_L + _M))
+add("flow_2", _flow(2), _flow_sql([_L[0], *_M, _L[1], *_M]))
+_FIRST_HIT = "SELECT * FROM ({0}) QUALIFY row_number() OVER (PARTITION BY ac_text, raw_text ORDER BY seq) = 1"
+add("flow_break_first", _flow(2, break_first=True), _FIRST_HIT.format(_flow_sql([_L[0], *_M, _L[1], *_M])))
 add("flow_3", _flow(3), _flow_sql([*_A, _E[0], *_M, _E[1], *_M]))
 add("flow_4", _flow(4), _flow_sql([_A[0], _E[0], *_M, _E[1], *_M, _A[1], _E[0], *_M, _E[1], *_M]))
 add("flow_5", _flow(5, operations=_OPERATIONS), _flow_sql([_A[0], *_M, _E[0], *_M]))
@@ -366,14 +422,13 @@ add("flow_6", lambda s, d: run_flow(names(s, d), 6, ac="a", raw="b", operations=
 def _flow_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = run_flow(names(spark, sf_dir).where("a <> b"), 1, ac="a", raw="b", raw_steps=["StrFunc_Lowercase"], matchers=[("Levenshtein", 0.6)])
     out = result_table(found, table(spark, sf_dir, "part"), raw_col="p_name")
-    serials = table(spark, sf_dir, "part").where("p_partkey % 2 = 0")
-    return with_serials(out, serials, text_col="p_name", serial_col="p_partkey").select("raw_text", F.array_join("ac_texts", "|").alias("ac_texts"), F.array_join("serials", "|").alias("serials"))
+    return with_serials(out, table(spark, sf_dir, "part"), text_col="p_name", serial_col="p_partkey").select("raw_text", F.array_join("ac_texts", "|").alias("ac_texts"), F.array_join("serials", "|").alias("serials"))
 
 
 _LOWER_LEV = _LEV.replace("(a, b)", "(a, lower(b))")
 add("flow_result_table", _flow_table, f"""WITH f AS (SELECT b AS raw_text, a AS t FROM {NAMES} WHERE a <> b AND {_LOWER_LEV} >= 0.6::DOUBLE),
 e AS (SELECT DISTINCT p_name AS raw_text FROM part), j AS (SELECT e.raw_text, coalesce(f.t, '<|NOTHING-MATCHED|>') AS t FROM e LEFT JOIN f USING (raw_text)),
-s AS (SELECT p_name AS t, min(CAST(p_partkey AS VARCHAR)) AS s FROM part WHERE p_partkey % 2 = 0 GROUP BY 1)
+s AS (SELECT p_name AS t, min(CAST(p_partkey AS VARCHAR)) AS s FROM part GROUP BY 1)
 SELECT raw_text, string_agg(t, '|' ORDER BY t) AS ac_texts, string_agg(coalesce(s, 'Unknown'), '|' ORDER BY t) AS serials FROM j LEFT JOIN s USING (t) GROUP BY 1""")
 
 
@@ -422,16 +477,39 @@ for _mode in Mode:
 # ---------------------------------------------------------------- ranking and assembly
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = names(spark, sf_dir).select(F.col("a").alias("query"), F.col("b").alias("candidate"), F.lit(0).alias("seq")).where("query <> candidate")
-    return rank_candidates(pairs, negatives=["-red"], seq="candidate").select("query", "candidate", "score", "coverage", "place")
+    return rank_candidates(pairs, negatives=["-red"], seq="candidate").select("query", "candidate", F.round("score", 9).alias("score"), "coverage", "place")
 
 
 def _typos(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = names(spark, sf_dir).select(F.col("a").alias("query"), F.replace("b", F.lit(" "), F.lit("")).alias("candidate"))
-    return rank_typo_candidates(pairs, seq="candidate").select("query", "candidate", "combined", "place")
-
-
-add("rank_tokens", _ranked)
-add("rank_typos", _typos)
+    return rank_typo_candidates(pairs, seq="candidate").select("query", "candidate", F.round("combined", 9).alias("combined"), "place")
+
+
+def _assigned_sql(pairs: str) -> str:
+    """g: each (query, candidate) with its tokens q and c and the best assignment's path: the candidate token of each query token, 0 for none."""
+    short, long = "CASE WHEN length(x) <= length(y) THEN x ELSE y END", "CASE WHEN length(x) <= length(y) THEN y ELSE x END"
+    return f"""WITH RECURSIVE pairs AS (SELECT *, regexp_extract_all(lower(query), '[a-z0-9]+') AS q, regexp_extract_all(lower(candidate), '[a-z0-9]+') AS c FROM {pairs}),
+u AS (SELECT DISTINCT unnest(q) AS x FROM pairs), v AS (SELECT DISTINCT unnest(c) AS y FROM pairs),
+e AS (SELECT x, y, greatest(1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)), CASE WHEN regexp_matches({long}, array_to_string(string_split({short}, ''), '.*')) THEN 0.85::DOUBLE ELSE 0 END) AS sim FROM u, v),
+w AS (SELECT query, candidate, 0 AS i, []::BIGINT[] AS path, []::DOUBLE[] AS sims, 0::HUGEINT AS total FROM pairs UNION ALL
+SELECT w.query, w.candidate, w.i + 1, list_append(w.path, j.j), list_append(w.sims, coalesce(e.sim, 0)), w.total + CAST(round(coalesce(e.sim, 0) * 1e9) AS HUGEINT) FROM w JOIN pairs p ON w.query = p.query AND w.candidate = p.candidate
+JOIN (SELECT unnest(range(0, 40)) AS j) j ON j.j <= len(p.c) LEFT JOIN e ON j.j > 0 AND e.x = p.q[w.i + 1] AND e.y = p.c[j.j] WHERE w.i < len(p.q) AND (j.j = 0 OR (NOT list_contains(w.path, j.j) AND e.sim > 0))),
+g AS (SELECT p.*, w.path, list_filter(w.sims, lambda s: s >= 0.6::DOUBLE) AS hits FROM w JOIN pairs p ON w.query = p.query AND w.candidate = p.candidate WHERE w.i = len(p.q)
+QUALIFY row_number() OVER (PARTITION BY w.query, w.candidate ORDER BY total DESC, w.path) = 1),
+f AS (SELECT *, coalesce(list_sum(hits), 0) / len(q) AS average, len(hits)::DOUBLE / len(q) AS cov, (len(c) - len(hits))::DOUBLE / len(c) AS extra FROM g),
+h AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.75::DOUBLE * average + 0.2::DOUBLE * cov - 0.15::DOUBLE * extra)) AS token_score FROM f)"""
+
+
+_RANK_PAIRS = f"(SELECT a AS query, b AS candidate FROM {NAMES} WHERE a <> b)"
+_TYPO_PAIRS = f"(SELECT a AS query, replace(b, ' ', '') AS candidate FROM {NAMES})"
+_KEPT = "CASE WHEN list_contains(c, 'red') THEN 0 ELSE {0} END"
+_PLAIN = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
+_SPELLED = f"(SELECT *, {_PLAIN.format('query')} AS x, {_PLAIN.format('candidate')} AS y FROM h)"
+_STRING_SIM = "greatest(1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)), CASE WHEN regexp_matches(CASE WHEN length(x) <= length(y) THEN y ELSE x END, array_to_string(string_split(CASE WHEN length(x) <= length(y) THEN x ELSE y END, ''), '.*')) THEN 0.8::DOUBLE ELSE 0 END)"
+add("rank_tokens", _ranked, f"""{_assigned_sql(_RANK_PAIRS)}, k AS (SELECT query, candidate, {_KEPT.format('token_score')} AS score, {_KEPT.format('cov')} AS coverage, {_KEPT.format('extra')} AS extra, {_KEPT.format('average')} AS average, len(c) AS size FROM h)
+SELECT query, candidate, round(CAST(score AS DOUBLE), 9) AS score, CAST(coverage AS DOUBLE) AS coverage, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, coverage DESC, extra, average DESC, size, candidate) AS INTEGER) AS place FROM k""")
+add("rank_typos", _typos, f"""{_assigned_sql(_TYPO_PAIRS)}, k AS (SELECT query, candidate, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (1 - 0.3::DOUBLE) * token_score + 0.3::DOUBLE * {_STRING_SIM})) AS combined FROM {_SPELLED})
+SELECT query, candidate, round(combined, 9) AS combined, CAST(row_number() OVER (PARTITION BY query ORDER BY combined DESC, candidate) AS INTEGER) AS place FROM k""")
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import strip
 from ..operators.assemble import normalize_headings
 from ..plans.pairing import with_index
 
@@ -52,15 +53,15 @@ def column_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def text_lines(spark: SparkSession, source: str | Iterable[str], name: str = "value") -> DataFrame:
-    """Stripped non-blank lines of a text file, or of lines given."""
+    """Stripped non-blank lines of a text file, or of lines given; any white space counts."""
     df = spark.read.text(source) if isinstance(source, str) else spark.createDataFrame([(x,) for x in source], "value string")
-    return df.select(F.trim("value").alias(name)).where(F.col(name) != "")
+    return df.select(strip(F.col("value")).alias(name)).where(F.col(name) != "")
 
 
 def test_cases(spark: SparkSession, path: str) -> DataFrame:
     """left, right, expected (boolean; true where it isn't given)."""
     df = read_csv(spark, path)
-    given = F.lower(F.trim(F.coalesce(F.col("expected"), F.lit("true")))) if "expected" in df.columns else F.lit("true")
+    given = F.lower(strip(F.coalesce(F.col("expected"), F.lit("true")))) if "expected" in df.columns else F.lit("true")
     return df.select("left", "right", given.isin(*TRUE_WORDS).alias("expected"))
 
 

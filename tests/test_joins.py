@@ -4,7 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lexweave.functions.similarity import MEASURES
 from lexweave.operators import assemble as A
+from lexweave.operators import best_match as best_match_module
 from lexweave.operators.best_match import best_match
 from lexweave.operators.constraints import ConstraintNode, from_rows
 from lexweave.operators.rule_join import attach_originals, constraint_pairs, rule_debug, rule_join, rule_pairs
@@ -34,6 +36,19 @@ def test_best_match_ties_and_bands(spark):
         assert sorted(banded.collect()) == sorted(plain.collect())
 
 
+@pytest.mark.parametrize("name", ["JACCARD", "WordLCS", "EXACT", "Levenshtein"])
+def test_best_match_by_keys_equals_all_pairs(spark, monkeypatch, name):
+    """Pairs that meet on rare words, equal texts or blocks of a band are all that reach the threshold; hot words and repeated words included."""
+    monkeypatch.setattr(best_match_module, "BLOCK", 7)
+    rng = random.Random(5)
+    texts = [" ".join(["the"] * rng.randrange(3) + rng.choices(["a", "b", "cc", "dd", "e", "ff"], k=rng.randrange(0, 5))) for _ in range(70)] + ["", " ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "w string")
+    for threshold in (0.34, 0.5, 1.0):
+        keyed = best_match(df, df, name, threshold, left_col="w", right_col="w", exclude_same=name != "EXACT")
+        plain = best_match(df, df, MEASURES[name].apply, threshold, left_col="w", right_col="w", exclude_same=name != "EXACT")
+        assert sorted(keyed.collect()) == sorted(plain.collect())
+
+
 RULE = {"Rules": ["OR",
     {"C": ["AND", {"df1": "A", "df2": "A", "method": ["AND", {"algo": "EXACT"}]}, {"df1": "C", "df2": "C", "method": ["OR", {"algo": "Levenshtein", "standard": 0.5}, {"algo": "IN"}]}]},
     {"C": ["NotOR", {"df1": "C", "df2": "C", "method": ["NotAND", {"algo": "EXACT"}]}]}]}
@@ -120,4 +135,14 @@ def test_index_is_gapless(spark):
     assert sorted(r["idx"] for r in pairing.with_index(df).collect()) == list(range(100))
     assert all(r["id"] == r["idx"] for r in pairing.with_index(df, order=["id"]).collect())
     assert pairing.with_index(df.limit(0)).count() == 0
-    assert F is not None
+    again = pairing.with_index(pairing.with_index(df, order=["id"]).groupBy("id").agg(F.max("idx").alias("idx")), order=["idx"])
+    assert again.columns == ["id", "idx"] and sorted(r["idx"] for r in again.collect()) == list(range(100))
+
+
+def test_grid_of_two_large_sides(spark, monkeypatch):
+    monkeypatch.setattr(pairing, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(pairing, "BLOCK_ROWS", 4)
+    one, two = spark.range(23).withColumnRenamed("id", "a"), spark.range(17).withColumnRenamed("id", "b")
+    got = pairing.theta_join(one.union(one.limit(3)), two, F.col("a") > F.col("b"))
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted((a, b) for a in [*range(23), 0, 1, 2] for b in range(17) if a > b)
+    assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().toString()

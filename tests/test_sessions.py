@@ -1,8 +1,11 @@
+import itertools
 import random
+import time
 
 import pytest
 
 from lexweave.operators.flows import NOTHING, match_all, result_table, run_flow, with_serials
+from lexweave.operators import ranker
 from lexweave.operators.ranker import assign, rank_candidates, rank_typo_candidates, score_pairs
 from lexweave.operators.select import Mode, category, modes_of, select_candidates
 
@@ -101,14 +104,44 @@ def test_ranker(spark):
 
 
 def test_assignment_is_best():
-    import itertools
-
-    from lexweave.operators.ranker import _hungarian, token_similarity
-
     rng = random.Random(3)
     for _ in range(60):
         q, c = (["".join(rng.choices("abc", k=rng.randrange(1, 4))) for _ in range(rng.randrange(1, 5))] for _ in "qc")
-        sims = [[token_similarity(x, y) for y in c] for x in q]
+        sims = [[ranker.token_similarity(x, y) for y in c] for x in q]
         best = max(sum(sims[i][j] for i, j in zip(rows, cols, strict=True)) for k in range(min(len(q), len(c)) + 1) for rows in itertools.combinations(range(len(q)), k) for cols in itertools.permutations(range(len(c)), k))
         assert sum(s for *_, s in assign(q, c)) == pytest.approx(best)
-        assert sum(s for *_, s in _hungarian(sims)) == pytest.approx(best)
+
+
+def test_assignment_equals_brute_force():
+    """Greatest total, then the earliest token that can stay unassigned or take the earliest candidate token; ties are frequent here."""
+    rng = random.Random(9)
+
+    def brute(sims):
+        best = (0, ())
+        rows, columns = len(sims), len(sims[0])
+        for path in itertools.product(range(columns + 1), repeat=rows):
+            used = [j for j in path if j]
+            if len(set(used)) == len(used) and all(sims[i][j - 1] > 0 for i, j in enumerate(path) if j):
+                total = sum(round(sims[i][j - 1] * 1e9) for i, j in enumerate(path) if j)
+                best = min(best, (-total, path)) if best[1] else (-total, path)
+        return [(i, j - 1, sims[i][j - 1]) for i, j in enumerate(best[1]) if j]
+
+    for _ in range(400):
+        q, c = (["".join(rng.choices("ab", k=rng.randrange(1, 4))) for _ in range(rng.randrange(1, 5))] for _ in range(2))
+        assert ranker.assign(q, c) == brute([[ranker.token_similarity(x, y) for y in c] for x in q]), (q, c)
+    for _ in range(100):
+        prices = [[-rng.randrange(4) for _ in range(rng_columns)] for rng_columns in [rng.randrange(1, 5)] for _ in range(rng.randrange(1, 6))]
+        got = ranker.cheapest(prices)
+        taken = [j for j in got if j is not None]
+        assert len(set(taken)) == len(taken)
+        every = min(sum(prices[i][j] for i, j in enumerate(path) if j < len(prices[0])) for path in itertools.product(range(len(prices[0]) + 1), repeat=len(prices)) if all(path.count(j) < 2 for j in range(len(prices[0]))))
+        assert sum(prices[i][j] for i, j in enumerate(got) if j is not None) == every
+
+
+def test_assignment_of_many_tokens_is_quick():
+    rng = random.Random(10)
+    q, c = (["".join(rng.choices("abcdef", k=6)) for _ in range(30)] for _ in range(2))
+    sims = [[ranker.token_similarity(x, y) for y in c] for x in q]
+    start = time.perf_counter()
+    found = ranker.assign(q, c)
+    assert time.perf_counter() - start < 0.5 and len(found) == 30 and all(sims[i][j] == s for i, j, s in found)

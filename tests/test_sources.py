@@ -18,10 +18,10 @@ def test_csv_round_trip(spark, tmp_path):
 
 
 def test_small_sources(spark, tmp_path):
-    assert [r[0] for r in tables.text_lines(spark, [" a ", "", "b"]).collect()] == ["a", "b"]
+    assert [r[0] for r in tables.text_lines(spark, [" a ", "", "\ta\t", "\t", "\u3000b\x1f"]).collect()] == ["a", "a", "b"]
     assert [tuple(r) for r in tables.items(spark, {"x": 1, "y": 2}).collect()] == [(0, "x"), (1, "y")]
     cases = tmp_path / "t.csv"
-    cases.write_text("left,right,expected\na,a,Yes\na,b,no\n")
+    cases.write_text("left,right,expected\na,a,\tYes\na,b,no\n")
     rows = assemble.evaluated(tables.test_cases(spark, str(cases)), similarity("EXACT", "left", "right")["success"])
     assert assemble.evaluation_totals(rows).first().asDict() == {"total": 2, "passed": 2, "failed": 0}
     report = tmp_path / "r.csv"
