@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 #: Rows and text bytes up to which a side is broadcast; both are counted first.
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 32 << 20
 #: Rows of each side in a block of the grid.
@@ -46,17 +48,6 @@ def theta_join(left: DataFrame, right: DataFrame, condition: Column) -> DataFram
     return l.join(r, (F.col("_row_l") == F.col("_row_r")) & (F.col("_column_l") == F.col("_column_r")) & condition).drop("_row_l", "_column_l", "_row_r", "_column_r")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that executors share; its partitions and their rows stay as they are from here on."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or "/tmp/checkpoints")
-    return df.checkpoint()
-
-
 def with_index(df: DataFrame, name: str = "idx", order: list[str] | None = None) -> DataFrame:
     """Adds a row number from 0: by `order` (a range sort) if given, else by position.
 

@@ -13,11 +13,13 @@ from .functions.similarity import GATES, cosine_score, embedding, similarity
 from .operators import assemble
 from .operators.best_match import best_match, score_band
 from .operators.constraints import ConstraintNode
-from .operators.flows import result_table, run_flow, with_serials
+from .operators.flows import match_all, padded, result_table, run_flow, with_serials
 from .operators.ranker import rank_candidates, rank_typo_candidates
 from .operators.rule_join import attach_originals, constraint_pairs, rule_debug, rule_join, rule_pairs, without_decided
 from .operators.select import Mode, select_candidates
 from .plans.pairing import theta_join, with_index
+from .plans.scratch import scratch_path
+from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -355,11 +357,11 @@ _NEAR, _WITHIN = f"({_LEV} >= 0.2::DOUBLE)", "(contains(a, b) OR contains(b, a))
 add("rule_debug", _debugged, f"""SELECT CAST(r_regionkey AS BIGINT) AS df1_idx, CAST(n_nationkey AS BIGINT) AS df2_idx, NOT ({_NEAR} OR {_WITHIN}) AS final_result,
 'AND=' || (NOT ({_NEAR} OR {_WITHIN})) || ',NotAND=' || (NOT ({_NEAR} OR {_WITHIN})) || ',OR=' || ({_NEAR} OR {_WITHIN}) || ',Levenshtein=' || {_NEAR} || ',TwoSideInStringStrategy=' || {_WITHIN} AS info
 FROM (SELECT *, r_name AS a, n_name AS b FROM region, nation)""")
-for _measure, _score in (("JACCARD", _JACCARD), ("WordLCS", None)):
-    add(f"best_match_{_measure.lower()}", lambda s, d, m=_measure: best_match(part_names(s, d), part_names(s, d), m, 0.4, left_col="name", right_col="name", exclude_same=True),
+for _measure, _score, _least in (("JACCARD", _JACCARD, 0.3), ("WordLCS", None, 0.4)):
+    add(f"best_match_{_measure.lower()}", lambda s, d, m=_measure, t=_least: best_match(part_names(s, d), part_names(s, d), m, t, left_col="name", right_col="name", exclude_same=True),
         _lcs_sql(*_TOKENS, f"SELECT a AS query, b AS best_match, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM (SELECT a, b, {_SHARE} AS score FROM t WHERE a <> b) WHERE score >= 0.4::DOUBLE) WHERE k = 1", f"(SELECT x.name AS a, y.name AS b FROM {_PARTS} x, {_PARTS} y)")
         if _score is None else f"""WITH p AS {_PARTS}, s AS (SELECT a, b, {_score} AS score FROM (SELECT x.name AS a, y.name AS b, {_words('x.name')} AS x, {_words('y.name')} AS y FROM p x, p y WHERE x.name <> y.name)),
-r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s WHERE score >= 0.4::DOUBLE) SELECT a AS query, b AS best_match, score FROM r WHERE k = 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s WHERE score >= {_least}::DOUBLE) SELECT a AS query, b AS best_match, score FROM r WHERE k = 1""")
 add("best_match_exact", lambda s, d: best_match(table(s, d, "orders"), table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("ref"), F.col("l_linenumber").alias("pos")), "EXACT", 1.0, left_col="o_custkey", right_col="ref", order_col="pos").groupBy("query", "best_match", "score").agg(F.count(F.lit(1)).alias("n")),
     "SELECT CAST(o_custkey AS VARCHAR) AS query, CAST(o_custkey AS VARCHAR) AS best_match, 1.0::DOUBLE AS score, count(*) AS n FROM orders WHERE o_custkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1, 2")
 
@@ -543,6 +545,85 @@ add("evaluation_totals", _evaluation, f"SELECT count(*) AS total, CAST(sum((ok =
 add("row_index", lambda s, d: with_index(table(s, d, "nation"), "idx", ["n_nationkey"]).select("n_name", "idx"), "SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS idx FROM nation")
 
 
+# ---------------------------------------------------------------- sources and sinks: tables go out as files and come back
+def _out(df: DataFrame, tag: str, **options) -> str:
+    path = scratch_path(df.sparkSession, tag)
+    tables.write_csv(df, path, **options)
+    return path
+
+
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read_csv(spark, _out(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.when(F.col("c_nationkey") > 5, F.concat(F.lit('a "quoted", '), "c_name")).alias("remark")), "csv"))
+
+
+add("source_csv", _csv, """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment, CASE WHEN c_nationkey > 5 THEN 'a "quoted", ' || c_name ELSE '' END AS remark FROM customer""")
+add("source_csv_single_file", lambda s, d: tables.read_csv(s, _out(table(s, d, "nation").select("n_nationkey", "n_name"), "single", single_file=True)), "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "lines")
+    table(spark, sf_dir, "documents").select(F.col("text").alias("value")).where("NOT contains(value, '\\r')").write.text(path)
+    return tables.text_lines(spark, path, "line").groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+add("source_text_lines", _lines, f"SELECT line, count(*) AS n FROM (SELECT {_strip('line')} AS line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE NOT contains(text, chr(13)))) WHERE line <> '' GROUP BY 1")
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.element_at(F.array(*map(F.lit, ("Yes", " TRUE\t", "1", "no", "0", "false"))), (F.length("a") + F.length("b")) % 6 + 1)
+    cases = tables.test_cases(spark, _out(names(spark, sf_dir).select(F.col("a").alias("left"), F.col("b").alias("right"), said.alias("expected")), "cases"))
+    return assemble.evaluated(cases, similarity("Levenshtein", "left", "right", 0.5)["success"]).select(F.col("left").alias("a"), F.col("right").alias("b"), "expected", "correct")
+
+
+add("source_test_cases", _cases, f"SELECT a, b, (length(a) + length(b)) % 6 < 3 AS expected, ({_LEV} >= 0.5::DOUBLE) = ((length(a) + length(b)) % 6 < 3) AS correct FROM {NAMES}")
+
+
+def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = best_part_names(spark, sf_dir).select(F.col("query").alias("str1"), F.col("best_match").alias("Best Match"), F.round("score", 4).alias("ratio"))
+    return tables.match_results(_out(found, "matches"), spark).select("query", "best_match", F.col("score").cast("double").alias("score"))
+
+
+add("source_match_results", _imported, f"SELECT query, best_match, round(score, 4) AS score FROM ({_BEST})")
+add("source_report_pairs", lambda s, d: tables.report_pairs(s, _out(rule_pairs(*_sides(s, d), EXACT_RULE).withColumn("debug", F.lit("x")), "pairs")), "SELECT CAST(c_custkey AS BIGINT) AS df1_idx, CAST(s_suppkey AS BIGINT) AS df2_idx, true AS final_result FROM customer JOIN supplier ON c_nationkey = s_nationkey")
+add("source_column_values", lambda s, d: tables.column_values(table(s, d, "nation").select(F.when(F.col("n_regionkey") > 0, F.col("n_name")).alias("name")), "name"), "SELECT n_name AS name FROM nation WHERE n_regionkey > 0")
+add("source_items", lambda s, d: tables.items(s, table(s, d, "nation").select("n_name").sort("n_name")), "SELECT CAST(row_number() OVER (ORDER BY n_name) - 1 AS BIGINT) AS index, n_name AS data FROM nation")
+add("source_nested_loop", lambda s, d: tables.nested_loop(table(s, d, "region").select("r_name"), table(s, d, "nation").select("n_name"), table(s, d, "customer").select("c_mktsegment").distinct()).groupBy("r_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n")),
+    "SELECT r_name, c_mktsegment, count(*) AS n FROM region, nation, (SELECT DISTINCT c_mktsegment FROM customer) GROUP BY 1, 2")
+
+
+def _provided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two CSV files and a rule, as one data set; all columns are texts there."""
+    one, two = (_out(df, "provided") for df in _sides(spark, sf_dir))
+    df1, df2, rule = tables.dataset(spark, one, two, EXACT_RULE, (["c_nationkey", "idx"], ["s_nationkey", "idx"]))
+    return rule_pairs(df1, df2, rule)
+
+
+add("source_dataset", _provided, "SELECT CAST(c_custkey AS VARCHAR) AS df1_idx, CAST(s_suppkey AS VARCHAR) AS df2_idx, true AS final_result FROM customer JOIN supplier ON c_nationkey = s_nationkey")
+
+
+def _by_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "scenarios")
+    tables.write_by_scenario(assemble.report(*_scenarios(spark, sf_dir)), path)
+    return tables.read_csv(spark, path).groupBy("_scenario", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.max("query").alias("last"))
+
+
+add("sink_by_scenario", _by_scenario, f"SELECT _scenario, o_orderpriority, count(*) AS n, max(query) AS last FROM ({_REPORT}) GROUP BY 1, 2")
+
+
+def _all_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every nation and region with the best that cleaning and matching finds; unmatched ones are listed, too."""
+    n, p = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("raw")), part_names(spark, sf_dir).withColumnRenamed("name", "ac")
+    found = match_all(p.union(table(spark, sf_dir, "region").select("r_name")), n.union(p), raw_steps=["StrFunc_Uppercase"], ac_steps=["StrFunc_Uppercase"], matchers=[("Levenshtein", 0.6)])
+    return found.select("raw_text", F.array_join("ac_texts", "|").alias("ac_texts"))
+
+
+add("match_all", _all_matched, f"""WITH p AS {_PARTS}, ac AS (SELECT name AS t FROM p UNION ALL SELECT r_name FROM region), raw AS (SELECT lower(n_name) AS r FROM nation UNION ALL SELECT name FROM p),
+s AS (SELECT r, t, {_LEV.replace("(a, b)", "(upper(t), upper(r))").replace("length(a)", "length(t)").replace("length(b)", "length(r)")} AS score FROM raw, ac),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, t) AS k FROM s WHERE score >= 0.6::DOUBLE)
+SELECT DISTINCT raw.r AS raw_text, coalesce(k.t, '<|NOTHING-MATCHED|>') AS ac_texts FROM raw LEFT JOIN k ON raw.r = k.r AND k = 1""")
+add("display_padding", lambda s, d: table(s, d, "nation").select("n_nationkey", padded(F.col("n_name")).alias("shown")), "SELECT n_nationkey, '|<START>|' || n_name || '|<END>|' AS shown FROM nation")
+
+
 def _first_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     w = Window.partitionBy("label").orderBy("vec_id")
