@@ -2,15 +2,19 @@
 
 import math
 import random
+import unicodedata
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from odd_rows import WORD, words
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lexweave.llm import ngram_join, ngram_lm, quality_classifier, quality_rules, substring_dedup
+from lexweave.llm.queries import word_vocabulary
 from lexweave.llm.shared import components
 
 
@@ -161,6 +165,47 @@ def test_substring_dedup(wide, nothing, rows):
     assert substring_dedup.dedup_report(nothing).count() == 0
 
 
+def plain_dedup(texts, size=25, line_size=5):
+    """Words that are left of each text: repeated passages and lines go, the first occurrence by id and place stays."""
+    passages, lines = {}, {}
+    cut = {i: [x.lower().split() for x in t.split("\n")] for i, t in texts.items()}
+    for i in sorted(cut):
+        w, at = sum(cut[i], []), 0
+        for k in range(len(w) - size + 1):
+            passages.setdefault(tuple(w[k : k + size]), (i, k))
+        for x in cut[i]:
+            lines.setdefault(tuple(x), (i, at))
+            at += len(x)
+    out = {}
+    for i, t in texts.items():
+        w, gone, at = sum(cut[i], []), set(), 0
+        for k in range(len(w) - size + 1):
+            j, first = passages[tuple(w[k : k + size])]
+            if (j, first) != (i, k):
+                gone.update(range(max(k, first + size) if j == i else k, k + size))
+        for x in cut[i]:
+            if len(x) >= line_size and lines[tuple(x)] != (i, at):
+                gone.update(range(at, at + len(x)))
+            at += len(x)
+        out[i] = [x for k, x in enumerate(t.split()) if k not in gone]
+    return out
+
+
+def test_substring_dedup_equals_a_plain_version(spark):
+    """Random texts of few words with shared passages, lines and repeats inside."""
+    rng = random.Random(21)
+    made = lambda n: " ".join(rng.choices(["Ab", "ab", "c", "dd", "E."], k=n))
+    passages, lines = [made(rng.randrange(20, 60)) for _ in range(6)], [made(rng.randrange(1, 9)) for _ in range(8)]
+    texts = {}
+    for i in range(120):
+        parts = [rng.choice([rng.choice(passages), rng.choice(lines), made(rng.randrange(1, 30))]) for _ in range(rng.randrange(0, 7))]
+        texts[i * 3] = "".join(p + rng.choice([" ", "\n", "\n\n", "  "]) for p in parts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.text.split() for r in substring_dedup.dedup_report(df).collect()}
+    expected = plain_dedup(texts)
+    assert got == expected and sum(map(len, expected.values())) < 0.8 * sum(len(t.split()) for t in texts.values())
+
+
 def test_substring_dedup_short_lines(spark):
     """A short line that repeats goes wherever it stands alone; a trivially short one stays."""
     texts = {1: "own words of one\nRead more on our other pages\nends here", 2: "quite different\nread  more on our other pages\nand its end\nends here"}
@@ -291,6 +336,40 @@ def test_classifier(spark, wide, nothing):
     assert ((fitted.score(np.hstack([x] * 11), quality_classifier.SHAPE) > 0.5) == (x[:, 0] > 40)).mean() >= 0.97  # cuts are quantiles
 
 
+def plain_features(text):
+    """The classifier's statistics, one text at a time."""
+    text = text or ""
+    w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    n, chars = len(w), sum(map(len, w))
+    share = lambda a, b: a / b if b else 0.0
+    values = {
+        "size_log": math.log(n + 1), "symbol_ratio": share(sum(c in "#*$%&|<>" for c in text), n), "bang_ratio": share(text.count("!"), n), "bar_ratio": share(text.count("|"), n),
+        "upper_ratio": share(sum(unicodedata.category(c) == "Lu" for c in text), chars), "digit_ratio": share(sum(c in "0123456789" for c in text), chars), "mean_word": share(chars, n),
+        "distinct_ratio": share(len(set(w)), n), "same_ratio": share(sum(a == b for a, b in zip(w, w[1:], strict=False)), n), "dup_line_ratio": share(len(lines) - len(set(lines)), len(lines)), "line_words": share(n, len(lines)),
+    }
+    return [values[x] for x in quality_classifier.SHAPE]
+
+
+def test_classifier_equals_a_plain_version(spark, wide, rows):
+    """Statistics and compiled rules of odd and random texts against Python."""
+    rng = random.Random(31)
+    texts = {i: t for i, t, *_ in rows if i is not None}
+    for k in range(300):
+        texts[1000 + k] = "".join(rng.choices(["a", "B", "é", "É", "word", "word ", " ", "\n", "\t", "#", "!", "|", "7", "漢", "same same "], k=rng.randrange(0, 60)))
+    names = quality_classifier.SHAPE
+    x = np.array([plain_features(t) for t in texts.values()])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r[0]: list(r[1:]) for r in quality_classifier.with_features(df, "text").select("doc_id", *names).collect()}
+    for i, row in zip(texts, x, strict=True):
+        assert got[i] == pytest.approx(row), (i, texts[i])
+    y = (x[:, names.index("symbol_ratio")] + 0.3 * x[:, names.index("upper_ratio")] > 0.2).astype(float)
+    model = quality_classifier.fit_rules(x, y, names)
+    assert len(model.rules) > 1
+    scored = {r.doc_id: r.score for r in quality_classifier.score_documents(df, model).collect()}
+    exact = np.array([got[i] for i in texts])  # cuts lie between values that occur
+    assert [scored[i] for i in texts] == pytest.approx(model.score(exact, names).tolist())
+
+
 def binomial_cdf(k, n, p):
     return sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
 
@@ -392,9 +471,31 @@ def test_pipeline_stages(spark, docs, tmp_path):
         kept[name] = {r.doc_id: r.text for r in current.collect()}
     assert not bad & set(kept["quality_classifier"])
     assert set(kept["quality_classifier"]) - set(kept["near_duplicates"]) >= {300, 301} and 9 in kept["near_duplicates"]
+    # each stage against a plain version of it
+    model = quality_classifier.fit_classifier(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    scores = model.score(np.array([plain_features(t) for t in texts.values()]), quality_classifier.SHAPE)
+    assert set(kept["quality_classifier"]) == {i for i, x in zip(texts, scores, strict=True) if x >= 0.3}
+    base = {i: brute_base(t) for i, t in kept["quality_classifier"].items()}
+    assert set(kept["quality_rules"]) <= {i for i, b in base.items() if b[0] >= 20 and 100 * b[4] <= 30 * b[0]}
+    assert set(kept["quality_rules"]) >= {i for i, b in base.items() if b[0] >= 20 and b[2] == b[4] == 0}
+    groups = brute_components(kept["quality_rules"], 5, 80)
+    assert kept["near_duplicates"] == {i: kept["quality_rules"][i] for i, (_, root) in groups.items() if i == root}
+    left = plain_dedup(kept["near_duplicates"])
+    assert {i: t.split() for i, t in kept["substring_dedup"].items()} == {i: w for i, w in left.items() if w}
     assert "p30" in kept["substring_dedup"][302] and "p30" not in kept["substring_dedup"][303] and "q30" in kept["substring_dedup"][303]
     pieces = corpus_pipeline.STAGES[-1][1](spark, current, folder)
-    assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == set(kept["substring_dedup"])
+    library = Tokenizer.from_file(word_vocabulary())
+    found = defaultdict(list)
+    for r in pieces.collect():
+        found[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    assert set(found) == set(kept["substring_dedup"])
+    for i, t in kept["substring_dedup"].items():
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for start, length, crc, total in sorted(found[i]):
+            assert (start, crc, total) == (at, zlib.crc32(ids[at : at + length].tobytes()), len(ids))
+            at += length
+        assert at == len(ids)
     assert sorted(map(repr, corpus_pipeline.run(spark, folder).select("doc_id", "start", "length").collect()))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0
