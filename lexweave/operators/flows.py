@@ -8,13 +8,26 @@ materialised one projection after another, so an expression never holds a chain
 from __future__ import annotations
 
 from collections.abc import Iterable
+from enum import Enum
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import Step, chain
-from ..functions.similarity import similarity
+from ..functions.similarity import MEASURES, similarity
+
+
+class Controller(Enum):
+    """When a pair's flow stops. Names and numbers."""
+
+    AllMatch = 1  # never
+    MatchBreak = 2  # after the first candidate
+    ExactMatchBreak = 3  # after the first candidate of an exact measure
+    FuzzyMatchBreak = 4  # after the first candidate of any other measure
+    ExactMetBreak = 5  # after the first exact measure, whatever it finds
+    FuzzyMetBreak = 6  # after the first other measure, whatever it finds
+
 
 Matcher = tuple[str, float] | tuple[str, float, dict[str, Any]]
 
@@ -32,6 +45,7 @@ class _Unrolled:
         self.ac, self.raw, self.n = "_ac0", "_raw0", 0
         self.phases: list[str] = []
         self.tests: list = []
+        self.exact: list[bool] = []  # whether each test is by an exact measure
 
     def clean(self, side: str, step: Step, prefix: bool = True) -> None:
         self.n += 1
@@ -43,23 +57,31 @@ class _Unrolled:
     def match(self, matcher: Matcher, *, prefix: bool = True, keep_score: bool = True) -> None:
         name, standard, *more = matcher
         self.phases.append(_label("mm" if prefix else "", name))
+        self.exact.append(name in MEASURES and MEASURES[name].exact)
         r = similarity(name, self.ac, self.raw, standard, **(more[0] if more else {}))
         self.tests.append(F.struct(F.lit(len(self.tests)).alias("seq"), r["success"].alias("success"), (r["score"] if keep_score else F.lit(0.0)).alias("matching_score"), F.col(self.ac).alias("pac"), F.col(self.raw).alias("praw"), F.array(*map(F.lit, self.phases)).alias("phases")))
 
-    def candidates(self, ac: str, raw: str, break_first: bool) -> DataFrame:
+    def candidates(self, ac: str, raw: str, controller: Controller) -> DataFrame:
         if not self.tests:
             return self.df.where(F.lit(False)).select(F.col(ac).alias("ac_text"), F.col(raw).alias("raw_text"), F.lit(0).alias("seq"), F.lit(0.0).alias("matching_score"), F.lit("").alias("pac"), F.lit("").alias("praw"), F.array(F.lit("")).alias("phases"))
-        passed = F.filter(F.array(*self.tests), lambda t: t["success"])
-        passed = F.slice(passed, 1, 1) if break_first else passed
+        tests, wanted = self.tests, "Exact" in controller.name
+        if controller in (Controller.ExactMetBreak, Controller.FuzzyMetBreak) and wanted in self.exact:
+            tests = tests[: self.exact.index(wanted) + 1]
+        passed = F.filter(F.array(*tests), lambda t: t["success"])
+        if controller in (Controller.MatchBreak, Controller.ExactMatchBreak, Controller.FuzzyMatchBreak):
+            ends = [k for k, x in enumerate(self.exact) if controller == Controller.MatchBreak or x == wanted]
+            last = F.array_min(F.transform(F.filter(passed, lambda t: t["seq"].isin(ends)), lambda t: t["seq"]))
+            passed = F.filter(passed, lambda t: last.isNull() | (t["seq"] <= last))
         return self.df.select(F.col(ac).alias("ac_text"), F.col(raw).alias("raw_text"), F.explode(passed).alias("_c")).select("ac_text", "raw_text", "_c.seq", "_c.matching_score", "_c.pac", "_c.praw", "_c.phases")
 
 
-def run_flow(df: DataFrame, flow: int, *, ac: str = "ac", raw: str = "raw", raw_steps: Iterable[Step] = (), ac_steps: Iterable[Step] = (), matchers: Iterable[Matcher] = (), operations: Iterable[tuple[str, Any]] = (), break_first: bool = False, keep_score: bool = True) -> DataFrame:
+def run_flow(df: DataFrame, flow: int, *, ac: str = "ac", raw: str = "raw", raw_steps: Iterable[Step] = (), ac_steps: Iterable[Step] = (), matchers: Iterable[Matcher] = (), operations: Iterable[tuple[str, Any]] = (), controller: Controller = Controller.AllMatch, break_first: bool = False, keep_score: bool = True) -> DataFrame:
     """ac_text, raw_text, seq, matching_score, pac, praw, phases.
 
     1 cleans all, then matches; 2 matches after each raw step; 3 cleans ac first, then as 2; 4 runs all raw
     steps for each ac step (the raw text carries over); 5 takes operations (acm|tcm, step) and matches after each;
-    6 takes operations (acm|tcm|mm, step or matcher), with plain phase names. break_first keeps a pair's first candidate.
+    6 takes operations (acm|tcm|mm, step or matcher), with plain phase names. The controller says when a pair's flow stops;
+    break_first is short for MatchBreak.
     """
     u, raw_steps, ac_steps, matchers = _Unrolled(df, ac, raw), list(raw_steps), list(ac_steps), list(matchers)
 
@@ -95,7 +117,7 @@ def run_flow(df: DataFrame, flow: int, *, ac: str = "ac", raw: str = "raw", raw_
                 u.clean({"acm": "ac", "tcm": "raw"}[kind], s, prefix=False)
     else:
         raise ValueError("flows are 1 to 6")
-    return u.candidates(ac, raw, break_first)
+    return u.candidates(ac, raw, Controller.MatchBreak if break_first else controller)
 
 
 NOTHING = "<|NOTHING-MATCHED|>"

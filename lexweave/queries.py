@@ -13,7 +13,7 @@ from .functions.similarity import GATES, cosine_score, embedding, similarity
 from .operators import assemble
 from .operators.best_match import best_match, score_band
 from .operators.constraints import ConstraintNode
-from .operators.flows import match_all, padded, result_table, run_flow, with_serials
+from .operators.flows import Controller, match_all, padded, result_table, run_flow, with_serials
 from .operators.ranker import rank_candidates, rank_typo_candidates
 from .operators.rule_join import attach_originals, constraint_pairs, rule_debug, rule_join, rule_pairs, without_decided
 from .operators.select import Mode, select_candidates
@@ -413,7 +413,11 @@ _L = [("raw", "lower({0})", "[tcm]StrFunc_Lowercase"), ("raw", "replace({0}, 'a'
 add("flow_1", _flow(1), _flow_sql(_L + _M))
 add("flow_2", _flow(2), _flow_sql([_L[0], *_M, _L[1], *_M]))
 _FIRST_HIT = "SELECT * FROM ({0}) QUALIFY row_number() OVER (PARTITION BY ac_text, raw_text ORDER BY seq) = 1"
-add("flow_break_first", _flow(2, break_first=True), _FIRST_HIT.format(_flow_sql([_L[0], *_M, _L[1], *_M])))
+add("flow_break_first", _flow(2, controller=Controller.MatchBreak), _FIRST_HIT.format(_flow_sql([_L[0], *_M, _L[1], *_M])))
+_TWO = _flow_sql([_L[0], *_M, _L[1], *_M])  # tests 0 and 2 are exact
+for _kind, _tests in (("exact", "(0, 2)"), ("fuzzy", "(1, 3)")):
+    add(f"flow_{_kind}_match_break", _flow(2, controller=Controller[f"{_kind.title()}MatchBreak"]), f"SELECT * FROM ({_TWO}) QUALIFY seq <= coalesce(min(CASE WHEN seq IN {_tests} THEN seq END) OVER (PARTITION BY ac_text, raw_text), 9)")
+    add(f"flow_{_kind}_met_break", _flow(2, controller=Controller[f"{_kind.title()}MetBreak"]), f"SELECT * FROM ({_TWO}) WHERE seq <= {_tests[1]}")
 add("flow_3", _flow(3), _flow_sql([*_A, _E[0], *_M, _E[1], *_M]))
 add("flow_4", _flow(4), _flow_sql([_A[0], _E[0], *_M, _E[1], *_M, _A[1], _E[0], *_M, _E[1], *_M]))
 add("flow_5", _flow(5, operations=_OPERATIONS), _flow_sql([_A[0], *_M, _E[0], *_M]))
