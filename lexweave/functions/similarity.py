@@ -370,6 +370,7 @@ def _choice(options: list[str], default: str, label: str, level: str = "necessar
     return {"mode": "select", "level": level, "options": options, "default": default, "label": label}
 
 
+# Names of the measures, and names, options, defaults and labels of their parameters.
 MEASURES: dict[str, Measure] = {m.name: m for m in (
     Measure("EXACT", exact, exact=True),
     Measure("FUZZY", fuzzy, native=False),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Names and numbers of the modes.
 class Mode(IntEnum):
     """Selection modes; the upper byte is the category."""
 
