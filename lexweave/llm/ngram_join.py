@@ -358,10 +358,10 @@ def _homes(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     rows = pairs.union(pairs.select(F.col("centre").alias("id"), "centre").distinct()).join(sizes, "id").select("id", "centre", "n", F.floor(F.log("n") * BANDS_PER_E).cast("int").alias("band"))
     rows = materialize(rows, "ngram-rows")
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / TILE_DOCS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("parts")
-    large = rows.groupBy("centre").agg(parts).where("parts > 1").select("centre")
+    large = materialize(rows.groupBy("centre").agg(parts).where("parts > 1").select("centre"), "ngram-large")  # read again, so that a hot centre's join can be split
     bands = materialize(rows.join(large, "centre", "left_semi").groupBy("centre", "band").agg(parts), "ngram-bands")
     none = F.lit(-1)
-    whole = rows.join(bands.select("centre").distinct(), "centre", "left_anti").select("id", F.struct("centre", none.alias("band_a"), none.alias("part_a"), none.alias("band_b"), none.alias("part_b"), F.lit(False).alias("second")).alias("tile"))
+    whole = rows.join(large, "centre", "left_anti").select("id", F.struct("centre", none.alias("band_a"), none.alias("part_a"), none.alias("band_b"), none.alias("part_b"), F.lit(False).alias("second")).alias("tile"))
     reach = math.ceil(BANDS_PER_E * math.log(100 / percent) + 1e-6)
     a, b = (bands.select("centre", F.col("band").alias(f"band_{s}"), F.explode(F.expr("sequence(0, parts - 1)")).alias(f"part_{s}")) for s in "ab")
     meet = a.join(b, "centre").where(f"band_b BETWEEN band_a AND band_a + {reach} AND (band_a < band_b OR part_a <= part_b)")
@@ -379,19 +379,19 @@ def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     spark = docs.sparkSession
     limit_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    size = texts.select(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    total, size = texts.select(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) // BUCKET_BYTES)
     raw = texts.mapInArrow(_emit(percent, n, buckets), _DDL)
     gathered = materialize(raw.groupBy("bucket").applyInPandas(lambda pdf: _gather(pdf), _GATHERED), "ngram-gathered")
     release_shuffles(spark)
 
     # equal sets: of the ids of one set the smallest stands for all, unless an id has several sets; that one is linked
-    rows = gathered.where(F.col("kind") == DOCS).select("id", "n", F.col("key").alias("one"), F.col("other").alias("two"))
+    rows = materialize(gathered.where(F.col("kind") == DOCS).select("id", "n", F.col("key").alias("one"), F.col("other").alias("two")), "ngram-docs", total)
     known = rows.where("id IS NOT NULL AND n > 0")
-    copied = materialize(known.groupBy("one", "two").agg(F.min("id").alias("of"), F.max("id").alias("last")).where("of < last"), "ngram-copied")  # read again, so that a hot name's join can be split
+    copied = materialize(known.groupBy("one", "two").agg(F.min("id").alias("of"), F.max("id").alias("last")).where("of < last"), "ngram-copied", total)  # read again, so that a hot name's join can be split
     alias = known.join(copied, ["one", "two"]).where("id > of").select("id", "of").distinct()
     several = known.groupBy("id").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("one", "two"))).where("min_one < max_one OR min_two < max_two").select("id")
-    alias = materialize(alias.join(several.withColumn("mixed", F.lit(True)), "id", "left").select("id", "of", F.coalesce("mixed", F.lit(False)).alias("mixed")), "ngram-copies")
+    alias = materialize(alias.join(several.withColumn("mixed", F.lit(True)), "id", "left").select("id", "of", F.coalesce("mixed", F.lit(False)).alias("mixed")), "ngram-copies", total)
     stands = alias.where("NOT mixed").select("id", "of")
 
     # the centre of a digest that a task has several times: the bucket's, if the task's own has another there
@@ -400,15 +400,16 @@ def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     pairs = stars.select("id", F.col("other").alias("centre")).union(own.join(stars.select("key", "id", "other"), ["key", "id"], "left").select("from", F.coalesce("other", "id"))).distinct()
     pairs = pairs.join(stands, "id", "left").select(F.coalesce("of", "id").alias("id"), "centre")
     pairs = pairs.join(stands.withColumnsRenamed({"id": "centre", "of": "to"}), "centre", "left").select("id", F.coalesce("to", "centre").alias("centre"))
-    pairs = materialize(pairs.where("id <> centre").distinct(), "ngram-pairs")
-    homes = materialize(_homes(pairs, known.groupBy("id").agg(F.sum("n").alias("n")), percent), "ngram-homes")
+    pairs = materialize(pairs.where("id <> centre").distinct(), "ngram-pairs", gathered.where(F.col("kind") != DOCS).count())
+    discard(gathered)
+    homes = materialize(_homes(pairs, known.groupBy("id").agg(F.sum("n").alias("n")), percent), "ngram-homes", 2 * pairs.count())
     discard(pairs)
     release_shuffles(spark)
 
     members = texts.where("id IS NOT NULL").join(homes.hint("merge"), "id").select("id", "text", "tiles").mapInArrow(_members(n), f"tile struct<{_TILE_DDL.replace(' ', ':').replace(',:', ',')},second:boolean>, id bigint, shingles binary")
     found = members.groupBy(*(F.col(f"tile.{c}").alias(c) for c in _TILE)).applyInArrow(_tile(percent), "a bigint, b bigint")
     links = materialize(found.union(alias.where("mixed").select("id", "of")), "ngram-links")
-    discard(homes)
+    discard(homes, copied)
     release_shuffles(spark)
     roots = components(links, "ngram-roots")
     discard(links)

@@ -54,9 +54,18 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it again: lineage ends there, and a lost executor costs no recomputation."""
+#: Rows of a file of a table of short rows, if it is known how many it has at most.
+FILE_ROWS = 100_000
+
+
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Writes df once to the shared folder and reads it again: lineage ends there, and a lost executor costs no recomputation.
+
+    rows: how many short rows df has at most. They are written to as few files as hold them, however many partitions the
+    session's shuffles have, by as many tasks."""
     path = scratch_path(df.sparkSession, tag)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
@@ -222,8 +231,9 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
     links is no hot task. An empty input gives an empty result.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
-    edges = materialize(both.distinct(), f"{tag}-edges")
-    state = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), f"{tag}-0")
+    edges = materialize(both.distinct(), f"{tag}-edges", 2 * links.count())
+    rows = edges.count()
+    state = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), f"{tag}-0", rows)
     step = 0
     while True:
         step += 1
@@ -233,7 +243,7 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
         told = low.groupBy(F.col("root").alias("node")).agg(F.min("near").alias("told"))
         hooked = low.join(told, "node", "left").select("node", F.col("root").alias("was"), F.least("near", F.coalesce("told", "near")).alias("mid"))
         jump = hooked.select(F.col("node").alias("mid"), F.col("mid").alias("far"))
-        new = materialize(hooked.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("root"), F.col("was")), f"{tag}-{step}")
+        new = materialize(hooked.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("root"), F.col("was")), f"{tag}-{step}", rows)
         changed = new.where("root <> was").limit(1).count()
         discard(state)
         scratch, state = new._scratch, new.select("node", "root")
