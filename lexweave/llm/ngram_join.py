@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import CHUNK_BYTES, U64, chunks, components, discard, hash_words, limit_batches, materialize, mix, release_shuffles, utf8_parts
+from .shared import CHUNK_BYTES, U64, chunks, components, discard, hash_words, limit_batches, materialize, mix, release_memory, release_shuffles, utf8_parts
 
 #: Each band is this much wider than the one below it; shingles below which a slice is thin.
 BAND_RATIO, THICK = 1.3, 2
@@ -210,6 +210,7 @@ def _emit(percent: int, n: int, buckets: int):
                 yield batch_of(rows)
         if held:
             yield batch_of(flush())
+        release_memory()
 
     return run
 
@@ -272,6 +273,7 @@ def _members(n: int):
                             at, own, sets, held = [], [], [], 0
                 if at:
                     yield rows()
+        release_memory()
 
     return run
 

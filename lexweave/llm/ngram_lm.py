@@ -18,7 +18,7 @@ stay rare: a chance of n / 2^40 per unknown context of a bucket with n contexts,
 after a context with m followers.
 
 Scoring: workers map the segments and look batches of n-grams up, bucket after bucket. What is counted grows with
-the corpus; what a worker holds is a batch, MOST_OPEN mapped segments and pages of these. A segment's place follows from its
+the corpus; what a worker holds is a batch, some hundred mapped segments and pages of these. A segment's place follows from its
 bucket, so the model that is sent to workers is a folder and a few numbers. Segments lie in the folder that executors
 share; under a file system that can't be mapped a worker reads those that it needs into memory.
 
@@ -29,99 +29,29 @@ rows every token has probability 1.
 
 from __future__ import annotations
 
-import mmap
-import uuid
-from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .segments import Segments, coded, narrow, write_segment
 from .shared import U64, chunks, delete_path, hash_words, limit_batches, mix, release_memory, release_shuffles, scratch_path, utf8_parts
 
 _CUT = U64(16)
 START, END = (mix(np.array([x], U64))[0] >> _CUT for x in (11, 13))
 #: N-grams that a task gathers before it sends them, text bytes of a scoring batch, and text bytes per bucket.
 FLUSH, BATCH_BYTES, BUCKET_BYTES = 1_000_000, 6 << 20, 8 << 20
-#: Turns in which an order's n-grams are added up, and segments that a worker keeps open.
-PASSES, MOST_OPEN = 3, 512
+#: Turns in which an order's n-grams are added up.
+PASSES = 3
 #: Contexts of a block, whose first n-gram's place is kept.
 _BLOCK = 4
 
 
-# ---------------------------------------------------------------- files
-def write_arrays(folder: str, name: str, arrays: list[np.ndarray]) -> str:
-    fs, path = pa.fs.FileSystem.from_uri(folder)
-    fs.create_dir(path, recursive=True)
-    with fs.open_output_stream(f"{path}/{name}") as out:
-        for x in arrays:
-            out.write(x.tobytes())
-    return f"{folder}/{name}"
-
-
-def mapped(path: str):
-    """A written file, mapped, or read into memory under a file system that can't be mapped."""
-    fs, local = pa.fs.FileSystem.from_uri(path)
-    if not isinstance(fs, pa.fs.LocalFileSystem):
-        with fs.open_input_file(local) as f:
-            return f.read()
-    with open(local, "rb") as f:
-        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-
-
-def write_segment(folder: str, bucket: int, arrays: list[np.ndarray]) -> None:
-    """Writes the arrays with their types and lengths, each at a multiple of 8 bytes, under a name that follows from the bucket.
-
-    A file appears whole; attempts that are repeated write the same."""
-    fs, path = pa.fs.FileSystem.from_uri(folder)
-    fs.create_dir(path, recursive=True)
-    own, name = f"{path}/attempt-{uuid.uuid4().hex}", f"{path}/{bucket:x}"
-    with fs.open_output_stream(own) as out:
-        out.write(np.array([len(arrays), *(v for x in arrays for v in (x.itemsize, len(x)))], np.int64).tobytes())
-        for x in arrays:
-            out.write(x.tobytes() + bytes(-x.nbytes % 8))
-    try:
-        fs.move(own, name)
-    except OSError:  # some file systems don't replace what another attempt has written
-        if fs.get_file_info(name).type != pa.fs.FileType.File:
-            raise
-        fs.delete_file(own)
-
-
-def read_segment(folder: str, bucket: int) -> list[np.ndarray] | None:
-    try:
-        data = mapped(f"{folder}/{bucket:x}")
-    except FileNotFoundError:  # a bucket without n-grams
-        return None
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    shape, at, out = np.frombuffer(data, np.int64, 2 * n, 8).reshape(-1, 2), 8 + 16 * n, []
-    for size, length in shape.tolist():
-        out.append(np.frombuffer(data, f"<u{size}", length, at))
-        at += size * length + -size * length % 8
-    return out
-
-
-def narrow(x: np.ndarray) -> np.ndarray:
-    """The same numbers in the smallest unsigned type that holds them."""
-    most = int(x.max(initial=0))
-    return x.astype(next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (U64, 64)) if most < 1 << bits))
-
-
-def coded(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the rows that the columns make, and the distinct rows one after another; rows are told apart by 64 bits of hash."""
-    name = columns[0].astype(U64)
-    with np.errstate(over="ignore"):
-        for c in columns[1:]:
-            name = mix(name * U64(0x9FB21C651E98DF25) + c.astype(U64))
-    _, first, code = np.unique(name, return_index=True, return_inverse=True)
-    return narrow(code), np.stack([c[first] for c in columns], axis=1).astype(U64).ravel()
-
-
+# ---------------------------------------------------------------- packing
 def _pack(x: np.ndarray) -> bytes:
     x = narrow(x)
     return bytes([x.itemsize]) + x.tobytes()
@@ -356,19 +286,14 @@ def train(texts: DataFrame, *, order: int = 2) -> KneserNey:
 
 
 class _Maps:
-    """Mapped segments of a model in this worker, the latest used."""
+    """Mapped segments of a model in this worker."""
 
     def __init__(self, model: KneserNey):
-        self.model, self.open = model, OrderedDict()
+        self.model = model
+        self.open = {kind: Segments(f"{model.folder}/{kind}") for kind in range(model.order + 1)}
 
     def segment(self, kind: int, bucket: int) -> list[np.ndarray] | None:
-        key = kind, bucket
-        if key not in self.open:
-            self.open[key] = read_segment(f"{self.model.folder}/{kind}", bucket)
-            if len(self.open) > MOST_OPEN:
-                self.open.popitem(last=False)
-        self.open.move_to_end(key)
-        return self.open[key]
+        return self.open[kind][bucket]
 
     def _runs(self, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Buckets, ascending, and where their entries are."""

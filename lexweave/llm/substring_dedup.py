@@ -22,7 +22,6 @@ kept occurrence loses only what lies beyond it.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ngram_lm import BUCKET_BYTES, mapped, write_arrays
-from .shared import U64, chunks, delete_path, discard, hash_words, limit_batches, materialize, mix, power_tables, release_shuffles, scratch_path, utf8_parts
+from .segments import Segments, write_segment
+from .shared import U64, chunks, delete_path, discard, hash_words, limit_batches, materialize, mix, power_tables, release_memory, release_shuffles, scratch_path, utf8_parts
 
 MIN_WORDS = 25
 #: Words of a whole line that is removed where it occurs again; shorter ones are too common by chance.
 MIN_LINE_WORDS = 5
 #: Units that a task gathers before it sends them, rows and text bytes of one round: two workers share an executor's memory.
 FLUSH, ROUND_ROWS, ROUND_BYTES = 500_000, 250, 1 << 18
+#: Text bytes per bucket.
+BUCKET_BYTES = 8 << 20
 #: Scripts without blanks between words: Thai, Lao, Tibetan, Burmese, Khmer, kana, Bopomofo, ideographs.
 UNSPACED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3100-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff"
 WORD = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
@@ -181,6 +182,7 @@ def _send_keys(bits: int, min_words: int):
                     parts, held = [], 0
         if held:
             yield pack(parts)
+        release_memory()
 
     return run
 
@@ -190,61 +192,31 @@ def _write_repeated(folder: str):
         keys = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["keys"]]))
         twice = np.unique(keys[1:][keys[1:] == keys[:-1]])
         bucket = int(pdf["bucket"].iloc[0])
-        path = write_arrays(folder, f"{bucket:06d}-{uuid.uuid4().hex}", [twice]) if len(twice) else None
-        return pd.DataFrame([(bucket, path, len(twice))], columns=["bucket", "path", "n"])
+        if len(twice):
+            write_segment(folder, bucket, [twice])
+        return pd.DataFrame([(bucket, len(twice))], columns=["bucket", "n"])
 
     return run
 
 
-class Segments:
-    """Mapped files of the buckets in this worker: sorted keys and what belongs to them."""
-
-    def __init__(self, bits: int, paths: list[tuple[str, int] | None], kinds: list):
-        self.bits, self.paths, self.kinds, self.open = bits, paths, kinds, {}
-
-    def __getstate__(self):
-        return (self.bits, self.paths, self.kinds)
-
-    def __setstate__(self, state):
-        self.__init__(*state)
-
-    def arrays(self, b: int) -> list[np.ndarray] | None:
-        if self.paths[b] is None:
-            return None
-        if b not in self.open:
-            path, n = self.paths[b]
-            data, arrays, start = mapped(path), [], 0
-            for kind in self.kinds:
-                arrays.append(np.frombuffer(data, kind, n, start))
-                start += arrays[-1].nbytes
-            self.open[b] = arrays
-        return self.open[b]
-
-    def find(self, buckets: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Which of the keys, ascending by bucket, are there, and what belongs to them."""
-        hits, out = np.zeros(len(keys), bool), [np.zeros(len(keys), kind) for kind in self.kinds[1:]]
-        cut = np.searchsorted(buckets, np.arange((1 << self.bits) + 1))
-        for b in np.flatnonzero(np.diff(cut)).tolist():
-            arrays = self.arrays(b)
-            if arrays is None:
-                continue
-            own = keys[cut[b] : cut[b + 1]]
-            at = np.searchsorted(arrays[0], own)
-            at[at == len(arrays[0])] = 0
-            hits[cut[b] : cut[b + 1]] = arrays[0][at] == own
-            for x, values in zip(out, arrays[1:], strict=True):
-                x[cut[b] : cut[b + 1]] = values[at]
-        return hits, out
-
-
-def _segments(done: DataFrame, bits: int, kinds: list) -> Segments:
-    paths: list = [None] * (1 << bits)
-    for r in done.collect():  # one row per bucket
-        paths[r.bucket] = (r.path, r.n) if r.path else None
-    return Segments(bits, paths, kinds)
-
-
-def _send_firsts(repeated, bits: int, min_words: int):
+def find(segments: Segments, bits: int, buckets: np.ndarray, keys: np.ndarray, kinds: list) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which of the keys, ascending by bucket, are there, and what belongs to them (of these kinds)."""
+    hits, out = np.zeros(len(keys), bool), [np.zeros(len(keys), kind) for kind in kinds]
+    cut = np.searchsorted(buckets, np.arange((1 << bits) + 1))
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        arrays = segments[b]
+        if arrays is None:
+            continue
+        own = keys[cut[b] : cut[b + 1]]
+        at = np.searchsorted(arrays[0], own)
+        at[at == len(arrays[0])] = 0
+        hits[cut[b] : cut[b + 1]] = arrays[0][at] == own
+        for x, kind, values in zip(out, kinds, arrays[1:], strict=True):
+            x[cut[b] : cut[b + 1]] = values[at].view(kind)
+    return hits, out
+
+
+def _send_firsts(repeated: Segments, bits: int, min_words: int):
     """Of each unit whose short hash occurs twice: the whole hash, its earliest occurrence in the task and whether there are several."""
 
     def pack(parts: list[tuple]) -> pa.RecordBatch:
@@ -259,13 +231,13 @@ def _send_firsts(repeated, bits: int, min_words: int):
         return _record(_by_bucket(bits, (key >> U64(64 - bits)).astype(np.int64), key, distinct[when >> 32], (when & 0xFFFFFFFF).astype(np.int32), many), _FIRSTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held, seen = [], 0, repeated.value
+        parts, held = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, _, u in _runs(batch.column(1), min_words):
                 at = np.flatnonzero(u.counts)
                 at = at[np.argsort(u.key[at])]
-                hit, _ = seen.find(*_short(u.key[at], bits))
+                hit, _ = find(repeated, bits, *_short(u.key[at], bits), [])
                 at = at[hit]
                 parts.append((u.key[at], ids[i + u.doc[at]], u.place[at]))
                 held += len(at)
@@ -274,6 +246,7 @@ def _send_firsts(repeated, bits: int, min_words: int):
                     parts, held = [], 0
         if held:
             yield pack(parts)
+        release_memory()
 
     return run
 
@@ -287,41 +260,38 @@ def _write_firsts(folder: str):
         several = (np.diff(np.append(starts, len(key))) > 1) | np.logical_or.reduceat(many, starts)
         starts = starts[several]
         bucket = int(pdf["bucket"].iloc[0])
-        path = write_arrays(folder, f"{bucket:06d}-{uuid.uuid4().hex}", [key[starts], ids[starts], place[starts]]) if len(starts) else None
-        return pd.DataFrame([(bucket, path, len(starts))], columns=["bucket", "path", "n"])
+        if len(starts):
+            write_segment(folder, bucket, [key[starts], ids[starts], place[starts]])
+        return pd.DataFrame([(bucket, len(starts))], columns=["bucket", "n"])
 
     return run
 
 
-def first_occurrences(docs: DataFrame, *, min_words: int, id_col: str, text_col: str) -> Segments:
-    """Units that occur several times, with id and place of the earliest occurrence."""
+def first_occurrences(docs: DataFrame, *, min_words: int, id_col: str, text_col: str) -> tuple[Segments, int]:
+    """Units that occur several times, with id and place of the earliest occurrence, and the number of bits that tell their bucket."""
     spark = docs.sparkSession
     limit_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     size = rows.select(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     bits = max(3, (size // BUCKET_BYTES).bit_length())
-    folder, written = scratch_path(spark, "dedup"), "bucket int, path string, n long"
+    folder, written = scratch_path(spark, "dedup"), "bucket int, n long"
     keys = rows.mapInArrow(_send_keys(bits, min_words), "bucket int, keys binary")
-    done = materialize(keys.groupBy("bucket").applyInPandas(_write_repeated(f"{folder}/repeated"), written), "dedup-repeated")
-    repeated = spark.sparkContext.broadcast(_segments(done, bits, [np.uint32]))  # paths, not the keys
-    discard(done)
-    del done, keys
+    discard(materialize(keys.groupBy("bucket").applyInPandas(_write_repeated(f"{folder}/repeated"), written), "dedup-repeated"))
+    del keys
     release_shuffles(spark)
-    firsts = rows.mapInArrow(_send_firsts(repeated, bits, min_words), "bucket int, keys binary, ids binary, places binary, many binary")
-    done = materialize(firsts.groupBy("bucket").applyInPandas(_write_firsts(f"{folder}/first"), written), "dedup-first")
-    out = _segments(done, bits, [U64, np.int64, np.int32])
-    discard(done)
+    firsts = rows.mapInArrow(_send_firsts(Segments(f"{folder}/repeated"), bits, min_words), "bucket int, keys binary, ids binary, places binary, many binary")
+    discard(materialize(firsts.groupBy("bucket").applyInPandas(_write_firsts(f"{folder}/first"), written), "dedup-first"))
     delete_path(spark, f"{folder}/repeated")
-    del done, firsts
+    del firsts
     release_shuffles(spark)
-    return out
+    return Segments(f"{folder}/first"), bits
 
 
-def _cut(min_words: int, first):
+def _cut(min_words: int, first: Segments, bits: int):
     schema = pa.schema([("clean", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("n_units", pa.int64())])
 
     def cut(ids: pa.Array, texts: pa.Array) -> list[pa.Array]:
-        clean, spans, counts, seen = texts.to_pylist(), [[] for _ in range(len(texts))], [], first.value
+        clean, spans, counts = texts.to_pylist(), [[] for _ in range(len(texts))], []
         known = ids.is_valid().to_numpy(zero_copy_only=False)
         ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
         for i, _, u in _runs(texts, min_words):
@@ -329,7 +299,7 @@ def _cut(min_words: int, first):
             at = np.flatnonzero(u.counts & known[i + u.doc]) if len(u.doc) else np.zeros(0, np.int64)
             at = at[np.argsort(u.key[at])]
             key = u.key[at]
-            hit, (first_id, first_place) = seen.find((key >> U64(64 - seen.bits)).astype(np.int64), key)
+            hit, (first_id, first_place) = find(first, bits, (key >> U64(64 - bits)).astype(np.int64), key, [np.int64, np.int32])
             own = ids[i + u.doc[at]] == first_id
             hit &= ~(own & (u.place[at] == first_place))
             at, own, first_place = at[hit], own[hit], first_place[hit]
@@ -357,13 +327,14 @@ def _cut(min_words: int, first):
 
 def dedup_units(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row as _row (a struct of its columns) with clean (the text that is left), spans and n_units."""
-    first = docs.sparkSession.sparkContext.broadcast(first_occurrences(docs, min_words=min_words, id_col=id_col, text_col=text_col))
+    first, bits = first_occurrences(docs, min_words=min_words, id_col=id_col, text_col=text_col)
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_key"), F.col(text_col).cast("string").alias("_text"))
-    schema, cut = _cut(min_words, first)
+    schema, cut = _cut(min_words, first, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *cut(batch.column(1), batch.column(2))], names=["_row", *schema.names])
+        release_memory()
 
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     out = T.StructType([rows.select("_row").schema[0], T.StructField("clean", T.StringType()), T.StructField("spans", T.ArrayType(span)), T.StructField("n_units", T.LongType())])
