@@ -7,8 +7,8 @@ one rule, and the walk stops at the first that isn't safe (fixed sequence), so n
 correction. A set counts as safe if the exact binomial (Clopper-Pearson) upper bound of its joint false rejection
 rate, at level `delta` over the number of strata (Bonferroni), is within the limit; without any false rejection
 and with four strata that takes 217 good labels. The sequence comes from the documents labelled bad alone, so the
-good ones that test it have no part in it: it takes the steps first by which most bad documents are caught, then the
-other steps from mild to strict in turn. With probability 1 - delta, no stratum loses more than `risk` of its good
+good ones that test it have no part in it: it takes the steps first by which most bad documents are caught, and ends
+with the last that catches any. With probability 1 - delta, no stratum loses more than `risk` of its good
 documents to the rules.
 
 Cases: strata with too few good labels to certify anything are one stratum with a bound of its own; if they have too few
@@ -99,6 +99,16 @@ def steps(bad: dict[tuple[int, ...], int]) -> list[str]:
     return out + [names[r] for _, r in rest]
 
 
+def useful(order: list[str], bad: dict[tuple[int, ...], int]) -> list[str]:
+    """The sequence up to the last step that catches a document labelled bad; what lies beyond would cost good ones for nothing."""
+    at, left, last = dict.fromkeys(RULES, 0), set(bad), 0
+    for k, rule in enumerate(order, 1):
+        at[rule] += 1
+        kept = {f for f in left if all(x >= a for x, a in zip(f, at.values(), strict=True))}
+        last, left = (k, kept) if len(kept) < len(left) else (last, left)
+    return order[:last]
+
+
 def pooled(sizes: dict[str | None, int], risk: float, delta: float) -> list[list[str | None]]:
     """The strata, of which those whose good labels can't certify anything on their own are one.
 
@@ -118,7 +128,7 @@ def safe_cutoffs(stats: DataFrame, labels: DataFrame, *, id_col: str, stratum: s
     for row in counts:
         of = good.setdefault(row["stratum"], {}) if row["_good"] else bad
         of[tuple(row["first"])] = of.get(tuple(row["first"]), 0) + row["n"]
-    order, out = steps(bad), {}
+    order, out = useful(steps(bad), bad), {}
     pools = pooled({name: sum(seen.values()) for name, seen in good.items()}, risk, delta)
     level = delta / max(1, len(pools))
     for pool in pools:

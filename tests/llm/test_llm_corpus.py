@@ -445,6 +445,14 @@ def test_quality_rules_sequence():
     order = quality_rules.steps({(full[0], 1, *full[2:]): 30, (2, *full[1:]): 6, tuple(full): 5})
     assert order[:5] == ["bang_ratio"] * 2 + ["symbol_ratio"] * 3
     assert Counter(order) == dict(zip(quality_rules.RULES, full, strict=True))
+    assert quality_rules.useful(order, {(full[0], 1, *full[2:]): 30, (2, *full[1:]): 6, tuple(full): 5}) == order[:5]
+    assert quality_rules.useful(order, {}) == quality_rules.useful(order, {tuple(full): 1}) == []
+
+
+def test_quality_rules_pool_small_strata():
+    assert quality_rules.pooled({"a": 900, "b": 100, "c": 30, None: 5}, 0.02, 0.05) == [["a"], [None, "b", "c"]]
+    assert quality_rules.pooled({"a": 900}, 0.02, 0.05) == [["a"]] and quality_rules.pooled({}, 0.02, 0.05) == []
+    assert quality_rules.binomial_upper(300, 1000, 0.05, 0.02) == 0.3
 
 
 def test_pipeline_stages(spark, docs, tmp_path):
