@@ -84,6 +84,13 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def release_heap(spark: SparkSession) -> None:
+    """Lets executors collect garbage before a step that needs their memory for Python: a heap that a step has grown to its limit
+    by short-lived rows goes back to the system, which JVM and workers share. One small task per core; it changes no result."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, 2 * cores, 1, 2 * cores).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def release_memory() -> None:
     """Gives what a Python worker has freed back to the system; an idle worker's memory counts against its executor."""
     gc.collect()
