@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages, each on the documents that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents. run() writes each stage's result as Parquet in the folder that executors share and reads it again.
+documents. run() writes each stage's result as Parquet in the folder that executors share and reads it again. Before a stage, executors
+give back the heap that the one before has grown.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from lexweave.llm.packing import pack_documents
 from lexweave.llm.quality_classifier import fit_classifier, keep_quality
 from lexweave.llm.quality_rules import keep_good
 from lexweave.llm.queries import word_vocabulary
-from lexweave.llm.shared import materialize, read_table
+from lexweave.llm.shared import materialize, read_table, release_heap
 from lexweave.llm.substring_dedup import without_repeats
 
 
@@ -24,6 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Null and empty texts get the score of a text without words. Rows that repeat are judged alike; ids and other
     columns have no part in it. Without labelled rows every document gets 0.5 and stays.
     """
+    release_heap(spark)
     return keep_quality(docs, fit_classifier(docs, read_table(spark, sf_dir, "labels")))
 
 
@@ -33,6 +35,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts have no words and go. Rows that repeat are judged alike. A null language is one of its own. Without
     labels the base test alone decides.
     """
+    release_heap(spark)
     return keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
@@ -42,6 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows that repeat an id, which are one document, the one with the smallest text stays, by the other columns where texts
     are equal. Rows with a null id all stay, and so do null and empty texts, which resemble nothing.
     """
+    release_heap(spark)
     groups = ngram_components(docs, n=5, percent=80)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     rest = ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
@@ -54,6 +58,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null and empty texts stay as they are, and so do rows with a null id. A document of which nothing is left goes.
     """
+    release_heap(spark)
     return without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -62,6 +67,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are the end token alone. Rows that repeat are packed each on its own; a null id stays null.
     """
+    release_heap(spark)
     return pack_documents(docs, word_vocabulary())
 
 
