@@ -38,7 +38,6 @@ def scratch_root(spark: SparkSession) -> str:
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
     key = root, context.applicationId
     if key not in _roots:
         path = context._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/lexweave-{context.applicationId}")

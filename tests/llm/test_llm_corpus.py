@@ -13,7 +13,7 @@ from odd_rows import WORD, words
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lexweave.llm import ngram_join, ngram_lm, quality_classifier, quality_rules, substring_dedup
+from lexweave.llm import ngram_join, ngram_lm, quality_classifier, quality_rules, shared, substring_dedup
 from lexweave.llm.queries import word_vocabulary
 from lexweave.llm.shared import components
 
@@ -38,6 +38,34 @@ def brute_components(table, n, percent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def test_scratch_folder_forms(spark, tmp_path, monkeypatch):
+    """The shared folder may be given as a path, with one slash or with three."""
+    for form in (f"file:{tmp_path}/a", f"file://{tmp_path}/b", f"{tmp_path}/c/"):
+        monkeypatch.setattr(type(spark.sparkContext), "getConf", lambda _, form=form: {"spark.checkpoint.dir": form})
+        name = form.rstrip("/")[-1]
+        assert shared.scratch_path(spark, "x").startswith(f"file://{tmp_path}/{name}/lexweave-")
+        written = shared.materialize(spark.range(5), "five", 5)
+        assert written.count() == 5 and len(list((tmp_path / name).rglob("*.parquet"))) == 1
+        shared.discard(written)
+        assert not [x for x in tmp_path.rglob("*.parquet") if x.exists()]
+    shared.release_heap(spark)
+
+
+def test_words_of_long_texts_are_hashed_alike(monkeypatch):
+    rng = random.Random(17)
+    texts = ["".join(rng.choices("ab \n", k=rng.randrange(0, 3000))) for _ in range(60)] + ["x" * 70_000, " " * 9000, "", "a b"]
+    raw, offsets = shared.utf8_parts(pa.array(texts))
+    words, at = shared.hash_words(raw, offsets)
+    assert np.diff(at).tolist() == [len(t.split()) for t in texts]
+    monkeypatch.setattr(shared, "CHUNK_BYTES", 512)
+    again, places = shared.hash_words(raw, offsets)
+    assert again.tolist() == words.tolist() and places.tolist() == at.tolist()
+    known = {}
+    for w, h in zip([w for t in texts for w in t.split()], words.tolist(), strict=True):
+        assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(140)] + [(k, k + 1) for k in range(300, 360)]
@@ -507,3 +535,30 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert sorted(map(repr, corpus_pipeline.run(spark, folder).select("doc_id", "start", "length").collect()))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, wide, rows, tmp_path):
+    """Null ids, texts and keys, repeats and columns with clashing names go through every stage; columns stay."""
+    spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    got = {name: stages[name](spark, wide, str(tmp_path)) for name in stages}
+    for name, df in got.items():
+        assert name == "packing" or df.columns == wide.columns
+    ids = lambda name: Counter(r.doc_id for r in got[name].select("doc_id").collect())
+    every = Counter(i for i, *_ in rows)
+    assert ids("quality_classifier") == every
+    texts = {i: t for i, t, *_ in rows}
+    passed = {i for i, t in texts.items() if (b := brute_base(t))[0] >= 20 and 100 * b[4] <= 30 * b[0]}
+    assert ids("quality_rules") == Counter({i: n for i, n in every.items() if i in passed})
+    roots = brute_components({i: t for i, t in texts.items() if i}, 5, 80)
+    assert ids("near_duplicates") == Counter({None: every[None]} | {i: 1 for i, (_, root) in roots.items() if i == root})
+    assert set(ids("substring_dedup")) == set(texts) - {6}  # 6 is 1 in other cases, so nothing is left of it
+    assert set(r.doc_id for r in got["packing"].collect()) == set(texts)
+
+
+def test_near_duplicates_keep_one_row_of_an_id(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "en", "b", 3), (1, text, "en", "a", 9), (1, text + " z", "de", "a", 1), (2, text, "fr", "c", 2), (3, None, "en", "x", 0), (3, "", "en", "y", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = sorted(tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == [rows[1], rows[4]]

@@ -143,6 +143,8 @@ def test_html(spark):
     for r, (_, expected) in zip(got, PAGES, strict=True):
         assert (r.text, r.n_chars) == (expected, len(expected)), r.page_id
     assert html_extract.extract_pages(df.limit(0)).count() == 0
+    twice = html_extract.extract_pages(df.union(df)).collect()
+    assert len(twice) == 2 * len(PAGES) and len({tuple(r) for r in twice}) == len(PAGES)
 
 
 def slow_text(tree):
