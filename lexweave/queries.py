@@ -8,16 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.authority import AuthorityMap, Kind
-from .functions.clean import STOPWORDS, chain, clean, clean_column
-from .functions.similarity import GATES, cosine_score, embedding, similarity
+from .functions.clean import STOPWORDS, chain, clean, clean_column, parse_list, parse_pairs, search
+from .functions.clean import register as register_cleaner
+from .functions.similarity import GATES, cast_parameter, cosine_score, embedding, parameter_metadata, similarity
+from .functions.similarity import register as register_measure
 from .operators import assemble
 from .operators.best_match import best_match, score_band
 from .operators.constraints import ConstraintNode
 from .operators.flows import Controller, match_all, padded, result_table, run_flow, with_serials
 from .operators.ranker import rank_candidates, rank_typo_candidates
 from .operators.rule_join import attach_originals, constraint_pairs, rule_debug, rule_join, rule_pairs, without_decided
-from .operators.select import Mode, select_candidates
+from .operators.select import CATEGORIES, Mode, modes_of, select_candidates
 from .plans.pairing import theta_join, with_index
+from .plans.rule_tree import ALLOWED, build_rule
+from .plans.rule_tree import depth as rule_depth
+from .plans.rule_tree import width as rule_width
 from .plans.scratch import scratch_path
 from .sources import tables
 
@@ -549,6 +554,69 @@ add("evaluation_totals", _evaluation, f"SELECT count(*) AS total, CAST(sum((ok =
 add("row_index", lambda s, d: with_index(table(s, d, "nation"), "idx", ["n_nationkey"]).select("n_name", "idx"), "SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS idx FROM nation")
 
 
+# ---------------------------------------------------------------- registries, loaded maps, parsed parameters, own functions
+def _listed(columns: str, rows: Callable[[], list[tuple]]) -> Query:
+    return lambda s, d: s.createDataFrame(rows(), columns)
+
+
+def _values(names_: str, rows: str) -> str:
+    return f"SELECT * FROM (VALUES {rows}) t({names_})"
+
+
+add("registry_modes", _listed("mode string, number int, category string", lambda: [(m.name, int(m), c) for c in CATEGORIES.values() for m in modes_of(c)]), _values("mode, number, category", """
+('ORIGINAL_RESULT', 0, 'original'), ('BestScoreMatcher', 257, 'score'), ('AllBestScoreMatchers', 258, 'score'), ('All97ScoreMatchers', 259, 'score'), ('AllAboveZScoreMatchers', 260, 'score'), ('Top3ScoreMatchers', 261, 'score'),
+('GreatestAmountMatcher', 513, 'frequency'), ('AllGreatestAmountMatchers', 514, 'frequency'), ('AllMoreThanTwoMatchers', 515, 'frequency'), ('AllMoreThanNMatchers', 516, 'frequency'), ('DeduplicateByBestScore', 769, 'deduplication'),
+('DeduplicateByFirstMatch', 770, 'deduplication'), ('DeduplicateByLastMatch', 771, 'deduplication'), ('DeduplicateByMostPhases', 772, 'deduplication'), ('MostFrequentInOverZScore', 1025, 'combination'), ('BestScoreInFrequentGroup', 1026, 'combination')"""))
+add("registry_search", _listed("asked string, name string", lambda: [(x, n) for x in ("ENGLISH", "spacing", "none such") for n in search(x)]), _values("asked, name", """
+('ENGLISH', 'StrFunc_KeepEnglishLetter'), ('ENGLISH', 'StrFunc_KeepEnglishLetterAndDigits'), ('ENGLISH', 'StrFunc_KeepEnglishWordsAndSpaces'), ('ENGLISH', 'StrFunc_KeepEnglishParenthesesAndSpaces'),
+('spacing', 'StrFunc_NormalizeSpacingBetweenWords'), ('spacing', 'StrFunc_NormalizeUnicodeSpacing')"""))
+add("registry_parameters", _listed("measure string, parameter string, mode string, preset string", lambda: [(n, k, v["mode"], v["default"]) for n in ("TwoSideInStringStrategy", "NewJACCARDStrategy", "EXACT") for k, v in parameter_metadata(n).items()]), _values("measure, parameter, mode, preset", """
+('TwoSideInStringStrategy', 'strategy_mode', 'select', 'any'), ('NewJACCARDStrategy', 'split_segment', 'input', ' ; '), ('NewJACCARDStrategy', 'strategy_mode', 'select', 'score_mode'), ('NewJACCARDStrategy', 'scoring_method', 'select', 'union_base'),
+('NewJACCARDStrategy', 'extra_debug_print', 'select', 'False')"""))
+
+
+def _refused(rule) -> bool:
+    try:
+        build_rule(rule)
+    except ValueError:
+        return True
+    return False
+
+
+_BAD_RULES = {"no gate": {"Rules": ["XOR", {"algo": "EXACT", "df1": "a", "df2": "b"}]}, "no rules": {"X": []}, "empty gate": {"Rules": ["AND"]}, "unknown measure": {"Rules": ["AND", {"algo": "Cosine", "df1": "a", "df2": "b"}]}}
+add("registry_rule_measures", _listed("measure string", lambda: [(x,) for x in ALLOWED]), _values("measure", "('EXACT'), ('FUZZY'), ('Levenshtein'), ('JaroWinkler'), ('IN'), ('TwoSideInStringStrategy'), ('TwoSideInWith3WordsStringStrategy'), ('LetterLCS'), ('WordLCS'), ('JACCARD'), ('NewJACCARDStrategy'), ('PREPROCESSED_EXACT')"))
+add("rule_validation", _listed("rule string, refused boolean", lambda: [(n, _refused(r)) for n, r in (_BAD_RULES | {"exact": EXACT_RULE, "mixed": MIXED_RULE}).items()]), _values("rule, refused", "('no gate', true), ('no rules', true), ('empty gate', true), ('unknown measure', true), ('exact', false), ('mixed', false)"))
+add("rule_shapes", _listed("rule string, depth int, width int", lambda: [(n, rule_depth(build_rule(r)), rule_width(build_rule(r))) for n, r in (("exact", EXACT_RULE), ("mixed", MIXED_RULE), ("unkeyed", UNKEYED_RULE), ("constraint", PRIS_RULE))]), _values("rule, depth, width", "('exact', 4, 1), ('mixed', 4, 5), ('unkeyed', 4, 2), ('constraint', 4, 2)"))
+add("constraint_shapes", _listed("name string, shown string, depth int, width int, pre_order string, in_order string, post_order string", lambda: [(n, t.render(), t.depth(), t.width(), *(",".join(x.value or x.kind for x in t.walk(o)) for o in ("pre", "in", "post"))) for n, t in TREES.items()]), _values("name, shown, depth, width, pre_order, in_order, post_order", """
+('secure-en', 'https AND /en/', 2, 2, 'AND,https,/en/', 'https,AND,/en/', 'https,/en/,AND'), ('plain', 'NOT (https OR blog)', 3, 2, 'NOT,OR,https,blog', 'https,OR,blog,NOT', 'https,blog,OR,NOT')"""))
+
+
+def _loaded_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop words from a table of entries, of which every other one is in use and later ones win, applied to pairs of names."""
+    n = table(spark, sf_dir, "nation")
+    entries = n.select(F.lit("基本權控【停止詞】").alias("種類"), F.col("n_name").alias("權控前"), F.concat(F.lit("N"), "n_nationkey").alias("權控後"), (F.col("n_nationkey") % 2).alias("啟用狀態"), "n_nationkey")
+    entries = entries.union(n.where("n_nationkey = 3").select(F.lit("基本權控【停止詞】"), "n_name", F.lit("later"), F.lit(1), F.lit(1000)))
+    known = AuthorityMap.from_table(entries, order="n_nationkey")
+    return n.select("n_nationkey", clean("StrFunc_ExcelACTable_STOPWORD", F.concat_ws("  ", "n_name", F.lit("and"), "n_name"), known).alias("result"))
+
+
+add("authority_loaded", _loaded_map, "SELECT n_nationkey, x || ' and ' || x AS result FROM (SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'later' WHEN n_nationkey % 2 = 1 THEN 'N' || n_nationkey ELSE n_name END AS x FROM nation)")
+add("clean_with_parsed_pairs", lambda s, d: table(s, d, "documents").select("doc_id", clean("StrFunc_ReplaceInputToSomething", "text", parse_pairs("and=&\nno pair\n\n&=und=")).alias("result")), f"SELECT doc_id, {_nested('text', [('and', '&'), ('&', 'und=')])} AS result FROM documents")
+add("clean_with_parsed_list", lambda s, d: table(s, d, "documents").select("doc_id", clean("StrFunc_ReplaceInputToNothing", "text", parse_list("the \n \nde ")).alias("result")), f"SELECT doc_id, {_nested('text', [('the ', ''), ('de ', '')])} AS result FROM documents")
+
+
+def _own_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cleaner and a measure of one's own, used by name like the others, with a threshold that came as text."""
+    register_cleaner("OwnInitials", lambda c: F.regexp_replace(c, r"(\w)\w*\s*", "$1"))
+    register_measure("OwnSameSize", lambda a, b, standard: F.struct((F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b)) >= standard).alias("success"), (F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))).alias("score")))
+    r = similarity("OwnSameSize", "a", "b", cast_parameter("0.8", "float"))
+    return names(spark, sf_dir).select("a", "b", clean("OwnInitials", "a").alias("initials"), r["success"].alias("success"), r["score"].alias("score"))
+
+
+_SIZE_SHARE = "(least(length(a), length(b)) / greatest(length(a), length(b))::DOUBLE)"
+add("own_functions", _own_functions, f"SELECT a, b, regexp_replace(a, '(\\w)\\w*\\s*', '\\1', 'g') AS initials, {_SIZE_SHARE} >= 0.8::DOUBLE AS success, {_SIZE_SHARE} AS score FROM {NAMES}")
+
+
 # ---------------------------------------------------------------- sources and sinks: tables go out as files and come back
 def _out(df: DataFrame, tag: str, **options) -> str:
     path = scratch_path(df.sparkSession, tag)
