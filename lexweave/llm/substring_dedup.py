@@ -38,9 +38,9 @@ MIN_WORDS = 25
 #: Words of a whole line that is removed where it occurs again; shorter ones are too common by chance.
 MIN_LINE_WORDS = 5
 #: Units that a task gathers before it sends them, rows and text bytes of one round: two workers share an executor's memory.
-FLUSH, ROUND_ROWS, ROUND_BYTES = 500_000, 250, 1 << 18
+FLUSH, ROUND_ROWS, ROUND_BYTES = 500_000, 500, 1 << 19
 #: Text bytes per bucket.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 #: Scripts without blanks between words: Thai, Lao, Tibetan, Burmese, Khmer, kana, Bopomofo, ideographs.
 UNSPACED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3100-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff"
 WORD = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
@@ -221,13 +221,14 @@ def _send_firsts(repeated: Segments, bits: int, min_words: int):
 
     def pack(parts: list[tuple]) -> pa.RecordBatch:
         key, ids, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(key)
+        order = order[find(repeated, bits, *_short(key[order], bits), [])[0]]
+        key, ids, place = key[order], ids[order], place[order]
         distinct, rank = np.unique(ids, return_inverse=True)
         when = rank.astype(np.int64) << 32 | place
-        order = np.argsort(key)
-        key = key[order]
         starts = _heads(key)
         many = np.diff(np.append(starts, len(key))) > 1
-        key, when = key[starts], np.minimum.reduceat(when[order], starts)
+        key, when = key[starts], np.minimum.reduceat(when, starts) if len(starts) else when
         return _record(_by_bucket(bits, (key >> U64(64 - bits)).astype(np.int64), key, distinct[when >> 32], (when & 0xFFFFFFFF).astype(np.int32), many), _FIRSTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,12 +236,9 @@ def _send_firsts(repeated: Segments, bits: int, min_words: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, _, u in _runs(batch.column(1), min_words):
-                at = np.flatnonzero(u.counts)
-                at = at[np.argsort(u.key[at])]
-                hit, _ = find(repeated, bits, *_short(u.key[at], bits), [])
-                at = at[hit]
+                at = u.counts
                 parts.append((u.key[at], ids[i + u.doc[at]], u.place[at]))
-                held += len(at)
+                held += len(parts[-1][0])
                 if held >= FLUSH:
                     yield pack(parts)
                     parts, held = [], 0
