@@ -44,7 +44,7 @@ from .shared import U64, chunks, delete_path, hash_words, limit_batches, mix, re
 _CUT = U64(16)
 START, END = (mix(np.array([x], U64))[0] >> _CUT for x in (11, 13))
 #: N-grams that a task gathers before it sends them, text bytes of a scoring batch, and text bytes per bucket.
-FLUSH, BATCH_BYTES, BUCKET_BYTES = 1_000_000, 6 << 20, 8 << 20
+FLUSH, BATCH_BYTES, BUCKET_BYTES = 1_000_000, 6 << 20, 16 << 20
 #: Turns in which an order's n-grams are added up.
 PASSES = 3
 #: Contexts of a block, whose first n-gram's place is kept.
