@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import CHUNK_BYTES, U64, chunks, components, discard, hash_words, limit_batches, materialize, mix, release_memory, release_shuffles, utf8_parts
+from .shared import CHUNK_BYTES, U64, chunks, components, discard, hash_words, limited_batches, materialize, mix, release_memory, release_shuffles, utf8_parts
 
 #: Each band is this much wider than the one below it; shingles below which a slice is thin.
 BAND_RATIO, THICK = 1.3, 2
@@ -378,9 +378,14 @@ def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     """Component of every row under word n-gram Jaccard >= percent / 100; see the module's text."""
     if not 1 <= percent <= 100 or n < 1:
         raise ValueError("percent must lie in 1..100 and n be positive")
-    spark = docs.sparkSession
-    limit_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    with limited_batches(docs.sparkSession):  # what needs it has run when the result is returned
+        return _joined(texts, n, percent).withColumnRenamed("id", id_col)
+
+
+def _joined(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """id, n_shingles and component_id of texts(id, text)."""
+    spark = texts.sparkSession
     total, size = texts.select(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) // BUCKET_BYTES)
     raw = texts.mapInArrow(_emit(percent, n, buckets), _DDL)
@@ -417,4 +422,4 @@ def ngram_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col:
     discard(links)
     release_shuffles(spark)
     named = rows.select("id", "n").join(stands, "id", "left").select("id", "n", F.coalesce("of", "id").alias("node"))
-    return named.join(roots, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("component_id"))
+    return named.join(roots, "node", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("component_id"))

@@ -108,23 +108,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def limit_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bounds the rows of an Arrow batch, as documents can be long; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    """Bounds the rows of an Arrow batch, as documents can be long; a smaller setting stays.
+
+    For results that run after their function has returned: Spark reads the setting when they run, so it stays with the session."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= rows:
+        spark.conf.set(_BATCH, str(rows))
 
 
 @contextmanager
-def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Smaller Arrow batches for what runs inside, where a row is itself many rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def limited_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """The same bound for what runs inside; the session's setting comes back."""
+    before = spark.conf.get(_BATCH)
+    limit_batches(spark, rows)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(_BATCH, before)
 
 
 # ---------------------------------------------------------------- words as arrays

@@ -87,7 +87,9 @@ def test_components(spark):
 @pytest.mark.parametrize("n,percent", [(3, 90), (5, 80), (2, 50)])
 def test_ngram_join_odd_rows(wide, nothing, rows, n, percent):
     expected = brute_components({i: t for i, t, *_ in rows if i}, n, percent)
+    setting = wide.sparkSession.conf.get(shared._BATCH)
     got = ngram_join.ngram_components(wide, n=n, percent=percent).collect()
+    assert wide.sparkSession.conf.get(shared._BATCH) == setting
     assert len(got) == len(rows)
     for r in got:
         assert (r.component_id is None) if r.doc_id is None else ((r.n_shingles, r.component_id) == expected[r.doc_id])
