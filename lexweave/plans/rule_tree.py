@@ -19,7 +19,6 @@ from ..functions.similarity import MEASURES
 
 # Measures that a rule may name.
 ALLOWED = ("EXACT", "FUZZY", "Levenshtein", "JaroWinkler", "IN", "TwoSideInStringStrategy", "TwoSideInWith3WordsStringStrategy", "LetterLCS", "WordLCS", "JACCARD", "NewJACCARDStrategy", "PREPROCESSED_EXACT")
-_INHERITED = ("algo", "df1", "df2", "standard")
 #: Conjunctions beyond which a rule isn't split into equi-joins.
 MOST_TERMS = 64
 

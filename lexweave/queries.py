@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.authority import AuthorityMap, Kind
 from .functions.clean import STOPWORDS, chain, clean, clean_column, parse_list, parse_pairs, search
 from .functions.clean import register as register_cleaner
-from .functions.similarity import GATES, cast_parameter, cosine_score, embedding, parameter_metadata, similarity
+from .functions.similarity import GATES, cast_parameter, cosine_score, embedding, parameter_metadata, shared_segments, similarity
 from .functions.similarity import register as register_measure
 from .operators import assemble
 from .operators.best_match import best_match, score_band
@@ -208,6 +208,7 @@ add("measure_word_lcs", _measured("WordLCS", 0.5), _lcs_measure(*_TOKENS, _SHARE
 add("measure_jaccard", _measured("JACCARD", 0.3), _measure_sql(_JACCARD, f"{_JACCARD} >= 0.3::DOUBLE"))
 add("measure_segment_jaccard", _measured("NewJACCARDStrategy", 0.5, split_segment=" ", strategy_mode="score_mode", scoring_method="set1_base"), _measure_sql(f"{_SHARED}::DOUBLE / len(list_distinct(x))", f"{_SHARED}::DOUBLE / len(list_distinct(x)) >= 0.5::DOUBLE"))
 add("measure_segment_amount", _measured("NewJACCARDStrategy", 1, split_segment=" ", strategy_mode="amount_mode"), _measure_sql(_SHARED, f"{_SHARED} >= 1"))
+add("measure_shared_segments", lambda s, d: names(s, d).select("a", "b", F.array_join(shared_segments(F.col("a"), F.col("b"), " "), "|").alias("shared")), f"SELECT a, b, coalesce(array_to_string(list_sort(list_distinct(list_intersect(string_split(a, ' '), string_split(b, ' ')))), '|'), '') AS shared FROM {NAMES}")
 add("measure_number_jaccard", _measured("NumberJaccardStrategy", 1), _measure_sql(_JACCARD, f"{_SHARED} >= 1"))
 add("measure_shared_words_ratio", _measured("FourJaccardRapidFuzzyScoreStrategy", 1), _lcs_measure(_words("a"), _words("b"), _RATIO, "len(list_intersect(list_distinct(xs), list_distinct(ys))) >= 1"))
 _SIDES = f"(SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS l FROM {NAMES})"
@@ -659,6 +660,7 @@ add("source_match_results", _imported, f"SELECT query, best_match, round(score,
 add("source_report_pairs", lambda s, d: tables.report_pairs(s, _out(rule_pairs(*_sides(s, d), EXACT_RULE).withColumn("debug", F.lit("x")), "pairs")), "SELECT CAST(c_custkey AS BIGINT) AS df1_idx, CAST(s_suppkey AS BIGINT) AS df2_idx, true AS final_result FROM customer JOIN supplier ON c_nationkey = s_nationkey")
 add("source_column_values", lambda s, d: tables.column_values(table(s, d, "nation").select(F.when(F.col("n_regionkey") > 0, F.col("n_name")).alias("name")), "name"), "SELECT n_name AS name FROM nation WHERE n_regionkey > 0")
 add("source_items", lambda s, d: tables.items(s, table(s, d, "nation").select("n_name").sort("n_name")), "SELECT CAST(row_number() OVER (ORDER BY n_name) - 1 AS BIGINT) AS index, n_name AS data FROM nation")
+add("source_preview", lambda s, d: tables.preview(table(s, d, "nation").select("n_nationkey", "n_name").sort("n_name"), 7), "SELECT n_nationkey, n_name FROM nation ORDER BY n_name LIMIT 7")
 add("source_nested_loop", lambda s, d: tables.nested_loop(table(s, d, "region").select("r_name"), table(s, d, "nation").select("n_name"), table(s, d, "customer").select("c_mktsegment").distinct()).groupBy("r_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n")),
     "SELECT r_name, c_mktsegment, count(*) AS n FROM region, nation, (SELECT DISTINCT c_mktsegment FROM customer) GROUP BY 1, 2")
 
