@@ -37,7 +37,7 @@ EQUAL = ("EXACT",)
 #: Measures whose score t needs a share t of either side's words in common, with the words that they compare.
 COMMON_WORDS = {"JACCARD": lambda c: F.array_distinct(words(c)), "WordLCS": lambda c: numbered(tokens(c))}
 #: Queries and candidates of a block of a length band.
-BLOCK = 1024
+BLOCK = 512
 
 
 def _banded(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
@@ -52,7 +52,9 @@ def _banded(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     l = l.join(grid, "_band").withColumn("_row", F.pmod(F.xxhash64("query"), F.col("_rows")).cast("int")).withColumn("_column", F.explode(number("_columns"))).drop("_rows", "_columns")
     r = r.join(grid, "_band").withColumn("_column", F.pmod(F.xxhash64("ref"), F.col("_columns")).cast("int")).withColumn("_row", F.explode(number("_rows"))).drop("_rows", "_columns")
     short, long = F.least(F.length("query"), F.length("ref")), F.greatest(F.length("query"), F.length("ref"))
-    return l.join(r.hint("shuffle_hash"), ["_band", "_row", "_column"]).where(short >= F.lit(least - 1e-9) * long).drop("_band", "_row", "_column")
+    # few bytes, much work: the number of tasks is set, as small partitions would be joined into one
+    cell, tasks = ["_band", "_row", "_column"], 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return l.repartition(tasks, *cell).join(r.repartition(tasks, *cell).hint("shuffle_hash"), cell).where(short >= F.lit(least - 1e-9) * long).drop("_band", "_row", "_column")
 
 
 def numbered(c: Column) -> Column:

@@ -45,6 +45,9 @@ def theta_join(left: DataFrame, right: DataFrame, condition: Column) -> DataFram
     rows, columns = (max(1, math.ceil(x / BLOCK_ROWS)) for x in (m, n))
     l = left.withColumns({"_row_l": F.pmod(row_hash(left), F.lit(rows)), "_column_l": F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))})
     r = right.withColumns({"_column_r": F.pmod(row_hash(right), F.lit(columns)), "_row_r": F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))})
+    # few bytes, much work: the number of tasks is set, as small partitions would be joined into one
+    tasks = min(rows * columns, 16 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    l, r = l.repartition(tasks, "_row_l", "_column_l"), r.repartition(tasks, "_row_r", "_column_r")
     return l.join(r, (F.col("_row_l") == F.col("_row_r")) & (F.col("_column_l") == F.col("_column_r")) & condition).drop("_row_l", "_column_l", "_row_r", "_column_r")
 
 
