@@ -9,7 +9,7 @@ from lexweave.operators import assemble as A
 from lexweave.operators import best_match as best_match_module
 from lexweave.operators.best_match import best_match
 from lexweave.operators.constraints import ConstraintNode, from_rows
-from lexweave.operators.rule_join import attach_originals, constraint_pairs, rule_debug, rule_join, rule_pairs
+from lexweave.operators.rule_join import attach_originals, constraint_pairs, rule_attached, rule_debug, rule_join, rule_pairs, without_decided
 from lexweave.plans import pairing
 from lexweave.plans.rule_tree import build_rule, conjunctions, depth, width
 
@@ -146,3 +146,39 @@ def test_grid_of_two_large_sides(spark, monkeypatch):
     got = pairing.theta_join(one.union(one.limit(3)), two, F.col("a") > F.col("b"))
     assert sorted((r.a, r.b) for r in got.collect()) == sorted((a, b) for a in [*range(23), 0, 1, 2] for b in range(17) if a > b)
     assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().toString()
+
+
+@pytest.fixture
+def tiny_cells(monkeypatch):
+    monkeypatch.setattr(pairing, "HOT_PAIRS", 3)
+    monkeypatch.setattr(pairing, "CELL_ROWS", 2)
+    monkeypatch.setattr(pairing, "TASK_PAIRS", 4)
+
+
+def test_frequent_keys_are_cut_into_cells(spark, sides, tiny_cells):
+    """Frequent, rare and null keys; the pairs of a frequent key are those of more than one task, each pair once."""
+    one = spark.createDataFrame([*sides[0], (20, 7, "r"), (20, 7, "r")], "idx long, A int, C string")
+    two = spark.createDataFrame([*sides[1], (30, 7, "s")], "idx long, A int, C string")
+    got = rule_pairs(one, two, {"Rules": ["AND", {"df1": "A", "df2": "A", "algo": "EXACT"}]})
+    expected = sorted((l.idx, r.idx) for l in one.collect() for r in two.collect() if l.A == r.A)
+    assert sorted((r.df1_idx, r.df2_idx) for r in got.collect()) == expected
+    tasks = got.select("df1_idx", F.spark_partition_id().alias("p"), F.lit(0).alias("k")).join(one.where("A = 1").withColumnRenamed("idx", "df1_idx"), "df1_idx").select("p").distinct().count()
+    assert tasks > 1
+
+
+def test_attached_originals_come_along(spark, sides, tiny_cells):
+    """Repeated ids and nulls give the same rows as joins after pairing do."""
+    one = spark.createDataFrame([*sides[0], (3, 1, "again"), (None, 2, "no id")], "idx long, A int, C string")
+    two = spark.createDataFrame([*sides[1], (5, 2, "again")], "idx long, A int, D string")
+    rule = {"Rules": ["AND", {"df1": "A", "df2": "A", "algo": "EXACT"}]}
+    got, plain = rule_attached(one, two, rule), attach_originals(rule_pairs(one, two, rule), one, two)
+    assert got.columns == plain.columns and sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_decided_pairs_are_not_shuffled(spark, tiny_cells):
+    one = spark.createDataFrame([(i, i % 2) for i in range(12)], "i long, a int")
+    two = spark.createDataFrame([(j, j % 3) for j in range(12)], "j long, b int")
+    pairs = pairing.keyed_join(one, two, [("a", "b")], cell="cell").select("cell", "i", "j")
+    got = without_decided(pairs, pairs.where("j > i"), ("cell", "i", "j"))
+    assert sorted((r.i, r.j) for r in got.collect()) == sorted((i, j) for i in range(12) for j in range(12) if i % 2 == j % 3 and j <= i)
+    assert "ENSURE_REQUIREMENTS" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x)
