@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lexweave import queries as own
 from lexweave.functions.similarity import MEASURES
 from lexweave.operators import assemble as A
 from lexweave.operators import best_match as best_match_module
@@ -182,3 +183,9 @@ def test_decided_pairs_are_not_shuffled(spark, tiny_cells):
     got = without_decided(pairs, pairs.where("j > i"), ("cell", "i", "j"))
     assert sorted((r.i, r.j) for r in got.collect()) == sorted((i, j) for i in range(12) for j in range(12) if i % 2 == j % 3 and j <= i)
     assert "ENSURE_REQUIREMENTS" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x)
+
+
+def test_neighbours_are_cleaned_before_they_pair(spark, small):
+    """The cleaner's pattern is a step of each side's rows, below the join, not of each pair."""
+    plan = own.QUERIES["measure_preprocessed_exact"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan and plan.index("Join") < plan.index("regexp_replace")
