@@ -10,6 +10,7 @@ from lexweave.operators import assemble as A
 from lexweave.operators import best_match as best_match_module
 from lexweave.operators.best_match import best_match
 from lexweave.operators.constraints import ConstraintNode, from_rows
+from lexweave.operators.edit_join import keyed_scores
 from lexweave.operators.rule_join import attach_originals, constraint_pairs, rule_attached, rule_debug, rule_join, rule_pairs, without_decided
 from lexweave.plans import pairing
 from lexweave.plans.rule_tree import build_rule, conjunctions, depth, width
@@ -189,3 +190,30 @@ def test_neighbours_are_cleaned_before_they_pair(spark, small):
     """The cleaner's pattern is a step of each side's rows, below the join, not of each pair."""
     plan = own.QUERIES["measure_preprocessed_exact"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" in plan and plan.index("Join") < plan.index("regexp_replace")
+
+
+NAMES = ["", "a", "ab", "ba", "abc", "abd", "üx", "a" * 9, "ab" * 8, "b" * 40, "𝒳y", None]
+
+
+@pytest.mark.parametrize("least", [None, 0.4, 1.0])
+def test_scores_of_cells_equal_the_builtin(spark, tiny_cells, least):
+    """Frequent, rare and null keys, null and empty names, repeated rows: the same pairs and scores as of a plain join."""
+    rng = random.Random(8)
+    make = lambda: [(i, rng.choice([1, 1, 2, 3, None]), rng.choice(NAMES)) for i in range(30)]
+    one = spark.createDataFrame([*make(), (90, 7, "ab"), (3, 1, "ab"), (3, 1, "ab")], "i long, k int, a string")
+    two = spark.createDataFrame([*make(), (91, 7, "abd"), (92, 8, "q")], "j long, l int, b string")
+    got = keyed_scores(one, two, [("k", "l")], "a", "b", least=least)
+    assert "FlatMapCoGroups" in got._jdf.queryExecution().toString()
+    score = MEASURES["Levenshtein"].apply(F.col("a"), F.col("b"), 0.5)["score"]
+    plain = one.join(two, one.k.eqNullSafe(two.l)).withColumn("score", score).where(F.lit(True) if least is None else F.col("score") >= least)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_near_neighbours_are_scored_in_cells(spark, small, monkeypatch):
+    """The built-in distance takes some microseconds a pair, so it isn't taken of a frequent nation's pairs."""
+    plain = sorted(own.QUERIES["measure_levenshtein_neighbours"](spark, small).collect())
+    monkeypatch.setattr(pairing, "HOT_PAIRS", 0)
+    monkeypatch.setattr(pairing, "CELL_ROWS", 5)
+    got = own.QUERIES["measure_levenshtein_neighbours"](spark, small)
+    assert sorted(got.collect()) == plain and plain
+    assert "FlatMapCoGroups" in got._jdf.queryExecution().toString()
