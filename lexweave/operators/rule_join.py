@@ -2,7 +2,8 @@
 
 A rule is brought into disjunctive form; each alternative with an EXACT leaf is an equi-join with the rest as
 its condition, alternatives with the same EXACT leaves share one, the results are united and made distinct. Pairs of
-frequent keys are cut into cells. Without such a leaf the pairs meet by broadcast or in blocks.
+frequent keys are cut into cells; an alternative with a Levenshtein leaf scores them there, and tests the rest on those that reach
+it. Without an EXACT leaf the pairs meet by broadcast or in blocks.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.similarity import MEASURES, levenshtein
 from ..plans.pairing import keyed_join, theta_join
-from ..plans.rule_tree import Leaf, build_rule, conjunctions, holds, leaf_results
+from ..plans.rule_tree import Constraint, Leaf, build_rule, conjunctions, holds, leaf_results
+from .edit_join import keyed_scores
 
 
 def _prefixed(df: DataFrame, side: str) -> DataFrame:
@@ -42,6 +45,30 @@ def _by_keys(terms: list[tuple]) -> list[tuple[list[tuple[str, str]], Any]]:
     return [(list(keys), None if any(c is None for c in found) else reduce(lambda a, b: a | b, found)) for keys, found in out.items()]
 
 
+def _near(terms: tuple) -> Leaf | None:
+    """The Levenshtein leaf that drives an alternative's join."""
+    fits = (n for n, neg in terms if not neg and isinstance(n, Leaf) and MEASURES[n.algo].apply is levenshtein and not n.parameters)
+    return next((n for n in fits if 0 < float(n.standard) <= 1), None)
+
+
+def _alternatives(l: DataFrame, r: DataFrame, terms: list[tuple], idx1: str, idx2: str) -> list[DataFrame]:
+    """The pairs of the alternatives with keys, with columns _l_ and _r_ of the row ids at least."""
+    types = dict(l.dtypes) | dict(r.dtypes)
+    near = lambda t: (n := _near(t)) and types[f"_l_{n.df1}"] == types[f"_r_{n.df2}"] == "string"
+    parts = [keyed_join(l, r, keys, condition) for keys, condition in _by_keys([t for t in terms if not near(t)])]
+    for t in filter(near, terms):
+        leaf = _near(t)
+        rest = tuple(x for x in t if x[0] is not leaf and not _is_key(*x))
+        own = {f"_l_{idx1}", *(f"_l_{n.df1}" for n, _ in rest)}
+        other = {f"_r_{idx2}", *(f"_r_{n.df2}" for n, _ in rest if not isinstance(n, Constraint))}
+        keys = sorted({(f"_l_{n.df1}", f"_r_{n.df2}") for n, neg in t if _is_key(n, neg)})
+        one, two = {a for a, _ in keys} | {f"_l_{leaf.df1}"} | own, {b for _, b in keys} | {f"_r_{leaf.df2}"} | other
+        sides = (df.select(*(F.col(f"`{c}`") for c in df.columns if c in names)) for df, names in ((l, one), (r, two)))
+        found = keyed_scores(*sides, keys, f"_l_{leaf.df1}", f"_r_{leaf.df2}", least=float(leaf.standard), kept=(*own, *other))
+        parts.append(found.where(holds(rest, _pick("_l_"), _pick("_r_"))) if rest else found)
+    return parts
+
+
 def rule_pairs(df1: DataFrame, df2: DataFrame, rule: Any, *, idx1: str = "idx", idx2: str = "idx") -> DataFrame:
     """df1_idx, df2_idx, final_result (true) of the pairs that a rule accepts."""
     tree = build_rule(rule)
@@ -52,8 +79,7 @@ def rule_pairs(df1: DataFrame, df2: DataFrame, rule: Any, *, idx1: str = "idx",
     if not _is_keyed(terms):
         found = theta_join(l, r, tree.column(left, right)).select(*ids)
     else:
-        parts = [keyed_join(l, r, keys, condition).select(*ids) for keys, condition in _by_keys(terms)]
-        found = reduce(DataFrame.union, parts)
+        found = reduce(DataFrame.union, (p.select(*ids) for p in _alternatives(l, r, terms, idx1, idx2)))
         found = found.distinct() if len(terms) > 1 else found
     return found.withColumn("final_result", F.lit(True))
 
@@ -88,7 +114,7 @@ def rule_attached(df1: DataFrame, df2: DataFrame, rule: Any, *, idx1: str = "idx
     """attach_originals of the rule's pairs. With a single alternative that has a key, each side's rows get the originals of
     their id before they pair, so that no pair is shuffled; the rows are the same, repeated and null ids included."""
     terms = conjunctions(build_rule(rule))
-    if not _is_keyed(terms) or len(terms) > 1:
+    if not _is_keyed(terms) or len(terms) > 1 or _near(terms[0]):
         return attach_originals(rule_pairs(df1, df2, rule, idx1=idx1, idx2=idx2), df1, df2, idx1=idx1, idx2=idx2)
     taken = set(df1.columns) & set(df2.columns) | {"df1_idx", "df2_idx", "final_result"}
 

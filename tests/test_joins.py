@@ -217,3 +217,18 @@ def test_near_neighbours_are_scored_in_cells(spark, small, monkeypatch):
     got = own.QUERIES["measure_levenshtein_neighbours"](spark, small)
     assert sorted(got.collect()) == plain and plain
     assert "FlatMapCoGroups" in got._jdf.queryExecution().toString()
+
+
+def test_levenshtein_alternatives_are_scored_in_cells(spark, sides, tiny_cells):
+    """The built-in distance isn't taken of a frequent key's pairs; the pairs are those of the tree over all pairs."""
+    one, two = (spark.createDataFrame([*x, (50, 1, None), (51, 1, "xy")], "idx long, A int, C string") for x in sides)
+    near = ["AND", {"df1": "A", "df2": "A", "algo": "EXACT"}, {"df1": "C", "df2": "C", "algo": "Levenshtein", "standard": 0.5}]
+    other = {"df1": "C", "df2": "C", "algo": "IN"}
+    jaccard = {"df1": "C", "df2": "C", "algo": "JACCARD", "standard": 0.5}
+    for rule in (near, ["OR", near, ["AND", near[1], other]], [*near, ["NotOR", jaccard]]):
+        got = rule_pairs(one, two, {"Rules": rule})
+        expected = rule_debug(one, two, {"Rules": rule}).where("final_result").select("df1_idx", "df2_idx", "final_result")
+        assert sorted(got.collect()) == sorted(expected.collect())
+        assert sum("FlatMapCoGroups" in x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines()) == 1
+    attached = rule_attached(one, two, {"Rules": rule})
+    assert sorted(map(repr, attached.collect())) == sorted(map(repr, attach_originals(expected, one, two).collect()))
