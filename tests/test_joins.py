@@ -232,3 +232,12 @@ def test_levenshtein_alternatives_are_scored_in_cells(spark, sides, tiny_cells):
         assert sum("FlatMapCoGroups" in x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines()) == 1
     attached = rule_attached(one, two, {"Rules": rule})
     assert sorted(map(repr, attached.collect())) == sorted(map(repr, attach_originals(expected, one, two).collect()))
+
+
+def test_joined_rules_are_scored_in_cells(spark, small, monkeypatch):
+    plain = sorted(map(repr, own.QUERIES["rule_join_attached"](spark, small).collect()))
+    monkeypatch.setattr(pairing, "HOT_PAIRS", 4)
+    monkeypatch.setattr(pairing, "CELL_ROWS", 5)
+    got = own.QUERIES["rule_join_attached"](spark, small)
+    assert sorted(map(repr, got.collect())) == plain and plain
+    assert "FlatMapCoGroups" in got._jdf.queryExecution().toString()
