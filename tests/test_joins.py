@@ -12,6 +12,7 @@ from lexweave.operators.best_match import best_match
 from lexweave.operators.constraints import ConstraintNode, from_rows
 from lexweave.operators.edit_join import keyed_scores
 from lexweave.operators.rule_join import attach_originals, constraint_pairs, rule_attached, rule_debug, rule_join, rule_pairs, without_decided
+from lexweave.operators.select import Mode, select_candidates
 from lexweave.plans import pairing
 from lexweave.plans.rule_tree import build_rule, conjunctions, depth, width
 
@@ -241,3 +242,26 @@ def test_joined_rules_are_scored_in_cells(spark, small, monkeypatch):
     got = own.QUERIES["rule_join_attached"](spark, small)
     assert sorted(map(repr, got.collect())) == plain and plain
     assert "FlatMapCoGroups" in got._jdf.queryExecution().toString()
+
+
+def test_greatest_amount_sorts_once(spark):
+    """The most frequent ac of a session, the least of equally frequent ones, null first; from one sort of the session's rows."""
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice(["a", "b", "c", None]), k) for k in range(40)] + [(9, "y", 41), (9, "x", 42), (8, None, 43), (8, "a", 44)]
+    df = spark.createDataFrame(rows, "session int, ac_text string, seq int")
+    got = select_candidates(df, Mode.GreatestAmountMatcher, session=["session"])
+    expected = []
+    for own in {r[0] for r in rows}:
+        n = {ac: sum(r[:2] == (own, ac) for r in rows) for ac in {r[1] for r in rows if r[0] == own}}
+        top = min(n, key=lambda ac: (-n[ac], ac or ""))
+        expected += [r for r in rows if r[:2] == (own, top)]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected))
+    spread = select_candidates(pairing.spread(df, ["session"], 44), Mode.GreatestAmountMatcher, session=["session"])
+    plan = spread._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count(" Sort ") == 1 and plan.count("Exchange ") == 1
+
+
+def test_tasks_of_candidates_follow_the_rows(spark, small, monkeypatch):
+    monkeypatch.setattr(pairing, "SORT_ROWS", 100)
+    rows = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    assert own.QUERIES["select_greatest_amount_matcher"](spark, small).rdd.getNumPartitions() == -(-rows // 100)
