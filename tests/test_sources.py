@@ -59,3 +59,11 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["query"] for r in found) == ["Hello", "Helo"]
+
+
+def test_compressed_csv_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2, True, 'a "q", b\nc'), (3, 4, True, "")], "df1_idx long, df2_idx long, final_result boolean, debug string")
+    tables.write_csv(df, str(tmp_path / "out"), compression="lz4")
+    assert all(p.name.endswith(".csv.lz4") for p in (tmp_path / "out").glob("part-*"))
+    assert sorted(tuple(r) for r in tables.report_pairs(spark, str(tmp_path / "out")).collect()) == [(1, 2, True), (3, 4, True)]
+    assert sorted(r["debug"] for r in tables.read_csv(spark, str(tmp_path / "out")).collect()) == ["", 'a "q", b\nc']
