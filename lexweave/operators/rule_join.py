@@ -3,7 +3,8 @@
 A rule is brought into disjunctive form; each alternative with an EXACT leaf is an equi-join with the rest as
 its condition, alternatives with the same EXACT leaves share one, the results are united and made distinct. Pairs of
 frequent keys are cut into cells; an alternative with a Levenshtein leaf scores them there, and tests the rest on those that reach
-it. Without an EXACT leaf the pairs meet by broadcast or in blocks.
+it. Where row ids are unique, each alternative leaves out what those before accept and rows bring their columns to their pairs,
+so that no pair is shuffled. Without an EXACT leaf the pairs meet by broadcast or in blocks.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import MEASURES, levenshtein
@@ -19,6 +20,9 @@ from ..plans.pairing import keyed_join, theta_join
 from ..plans.rule_tree import Constraint, Leaf, build_rule, conjunctions, holds, leaf_results
 from .edit_join import keyed_scores
 
+#: Alternatives up to which each leaves out the pairs of those before; bytes of a pair's columns that may go through Python.
+APART_TERMS, PAIR_BYTES = 8, 256
+
 
 def _prefixed(df: DataFrame, side: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").alias(f"{side}{c}") for c in df.columns))
@@ -36,13 +40,32 @@ def _is_keyed(terms: list[tuple] | None) -> bool:
     return terms is not None and all(any(_is_key(*x) for x in t) for t in terms)
 
 
-def _by_keys(terms: list[tuple]) -> list[tuple[list[tuple[str, str]], Any]]:
-    """Key columns and the rest as one condition (None: no more), of the alternatives with the same EXACT leaves."""
+def _by_keys(terms: list[tuple]) -> list[tuple[list[tuple[str, str]], list[tuple]]]:
+    """Key columns and the alternatives that have these EXACT leaves."""
     out: dict[tuple, list] = {}
     for t in terms:
-        rest = tuple(x for x in t if not _is_key(*x))
-        out.setdefault(tuple(sorted({(f"_l_{n.df1}", f"_r_{n.df2}") for n, neg in t if _is_key(n, neg)})), []).append(holds(rest, _pick("_l_"), _pick("_r_")) if rest else None)
-    return [(list(keys), None if any(c is None for c in found) else reduce(lambda a, b: a | b, found)) for keys, found in out.items()]
+        out.setdefault(tuple(sorted({(f"_l_{n.df1}", f"_r_{n.df2}") for n, neg in t if _is_key(n, neg)})), []).append(t)
+    return [(list(keys), found) for keys, found in out.items()]
+
+
+def _rest(terms: list[tuple]) -> Column | None:
+    """Alternatives without their EXACT leaves as one condition (None: no more)."""
+    rests = [tuple(x for x in t if not _is_key(*x)) for t in terms]
+    return _accepts(rests) if all(rests) else None
+
+
+def _accepts(terms: list[tuple]) -> Column:
+    return reduce(lambda a, b: a | b, (holds(t, _pick("_l_"), _pick("_r_")) for t in terms))
+
+
+def _both(*conditions: Column | None) -> Column | None:
+    return reduce(lambda a, b: b if a is None else a if b is None else a & b, conditions)
+
+
+def _columns(terms: list[tuple]) -> tuple[set[str], set[str]]:
+    """Left and right columns that alternatives read."""
+    nodes = [n for t in terms for n, _ in t]
+    return {f"_l_{n.df1}" for n in nodes}, {f"_r_{n.df2}" for n in nodes if not isinstance(n, Constraint)}
 
 
 def _near(terms: tuple) -> Leaf | None:
@@ -51,24 +74,56 @@ def _near(terms: tuple) -> Leaf | None:
     return next((n for n in fits if 0 < float(n.standard) <= 1), None)
 
 
-def _alternatives(l: DataFrame, r: DataFrame, terms: list[tuple], idx1: str, idx2: str) -> list[DataFrame]:
-    """The pairs of the alternatives with keys, with columns _l_ and _r_ of the row ids at least."""
-    types = dict(l.dtypes) | dict(r.dtypes)
-    near = lambda t: (n := _near(t)) and types[f"_l_{n.df1}"] == types[f"_r_{n.df2}"] == "string"
-    parts = [keyed_join(l, r, keys, condition) for keys, condition in _by_keys([t for t in terms if not near(t)])]
-    for t in filter(near, terms):
+def _is_near(l: DataFrame, r: DataFrame, terms: tuple) -> bool:
+    n = _near(terms)
+    return n is not None and dict(l.dtypes)[f"_l_{n.df1}"] == dict(r.dtypes)[f"_r_{n.df2}"] == "string"
+
+
+def _alternatives(l: DataFrame, r: DataFrame, terms: list[tuple], carried: set[str], *, apart: bool = False) -> list[DataFrame]:
+    """The pairs of the alternatives with keys, with the columns `carried` at least; `apart`: two rows are a pair of their first
+    alternative only."""
+    near = [t for t in terms if _is_near(l, r, t)]
+    before: list[tuple] = []
+    parts = []
+
+    def new() -> Column | None:
+        return ~F.coalesce(_accepts(before), F.lit(False)) if apart and before else None
+
+    for t in near:
         leaf = _near(t)
         rest = tuple(x for x in t if x[0] is not leaf and not _is_key(*x))
-        own = {f"_l_{idx1}", *(f"_l_{n.df1}" for n, _ in rest)}
-        other = {f"_r_{idx2}", *(f"_r_{n.df2}" for n, _ in rest if not isinstance(n, Constraint))}
+        kept = carried.union(*_columns([rest, *(before if apart else ())]))
         keys = sorted({(f"_l_{n.df1}", f"_r_{n.df2}") for n, neg in t if _is_key(n, neg)})
-        one, two = {a for a, _ in keys} | {f"_l_{leaf.df1}"} | own, {b for _, b in keys} | {f"_r_{leaf.df2}"} | other
+        one, two = ({k[side] for k in keys} | {(f"_l_{leaf.df1}", f"_r_{leaf.df2}")[side]} | kept for side in (0, 1))
         sides = (df.select(*(F.col(f"`{c}`") for c in df.columns if c in names)) for df, names in ((l, one), (r, two)))
-        found = keyed_scores(*sides, keys, f"_l_{leaf.df1}", f"_r_{leaf.df2}", least=float(leaf.standard), kept=(*own, *other))
-        parts.append(found.where(holds(rest, _pick("_l_"), _pick("_r_"))) if rest else found)
+        found = keyed_scores(*sides, keys, f"_l_{leaf.df1}", f"_r_{leaf.df2}", least=float(leaf.standard), kept=tuple(kept))
+        condition = _both(_accepts([rest]) if rest else None, new())
+        parts.append(found if condition is None else found.where(condition))
+        before.append(t)
+    for keys, found in _by_keys([t for t in terms if t not in near]):
+        # within the join, and in this order: of most pairs only the alternative's own condition is tested
+        parts.append(keyed_join(l, r, keys, _both(_rest(found), new())))
+        before += found
     return parts
 
 
+def _is_native(terms: list[tuple]) -> bool:
+    return all(not isinstance(n, Leaf) or MEASURES[n.algo].native for t in terms for n, _ in t)
+
+
+def _unique(df: DataFrame, idx: str) -> bool:
+    """Whether no row id is null or repeated."""
+    if dict(df.dtypes)[idx].startswith(("array", "map", "struct", "variant")):
+        return False
+    n, ids = df.agg(F.count(F.lit(1)), F.count_distinct(F.col(f"`{idx}`"))).first()
+    return n == ids
+
+
+def _settled(df1: DataFrame, df2: DataFrame, terms: list[tuple], idx1: str, idx2: str) -> bool:
+    """Whether the alternatives can be kept apart, so that their union has each pair of ids once."""
+    return (len(terms) == 1 or len(terms) <= APART_TERMS and _is_native(terms)) and _unique(df1, idx1) and _unique(df2, idx2)
+
+
 def rule_pairs(df1: DataFrame, df2: DataFrame, rule: Any, *, idx1: str = "idx", idx2: str = "idx") -> DataFrame:
     """df1_idx, df2_idx, final_result (true) of the pairs that a rule accepts."""
     tree = build_rule(rule)
@@ -79,8 +134,9 @@ def rule_pairs(df1: DataFrame, df2: DataFrame, rule: Any, *, idx1: str = "idx",
     if not _is_keyed(terms):
         found = theta_join(l, r, tree.column(left, right)).select(*ids)
     else:
-        found = reduce(DataFrame.union, (p.select(*ids) for p in _alternatives(l, r, terms, idx1, idx2)))
-        found = found.distinct() if len(terms) > 1 else found
+        apart = len(terms) > 1 and _settled(df1, df2, terms, idx1, idx2)
+        found = reduce(DataFrame.union, (p.select(*ids) for p in _alternatives(l, r, terms, {f"_l_{idx1}", f"_r_{idx2}"}, apart=apart)))
+        found = found.distinct() if len(terms) > 1 and not apart else found
     return found.withColumn("final_result", F.lit(True))
 
 
@@ -124,8 +180,8 @@ def rule_attached(df1: DataFrame, df2: DataFrame, rule: Any, *, idx1: str = "idx
         rows = _prefixed(df, mark)
         return rows.join(originals, F.col(f"`{mark}{idx}`") == F.col(f"_key{n}"), "left").drop(f"_key{n}"), [F.col(f"`_o{n}_{c}`").alias(new) for c, new in named.items()]
 
-    (l, own), (r, other), ((keys, condition),) = side(df1, idx1, 1, "_l_"), side(df2, idx2, 2, "_r_"), _by_keys(terms)
-    return keyed_join(l, r, keys, condition).select(F.col(f"`_l_{idx1}`").alias("df1_idx"), F.col(f"`_r_{idx2}`").alias("df2_idx"), F.lit(True).alias("final_result"), *own, *other)
+    (l, own), (r, other), ((keys, _),) = side(df1, idx1, 1, "_l_"), side(df2, idx2, 2, "_r_"), _by_keys(terms)
+    return keyed_join(l, r, keys, _rest(terms)).select(F.col(f"`_l_{idx1}`").alias("df1_idx"), F.col(f"`_r_{idx2}`").alias("df2_idx"), F.lit(True).alias("final_result"), *own, *other)
 
 
 def merge_accepted(pairs: DataFrame, df1: DataFrame, df2: DataFrame, *, idx1: str = "idx", idx2: str = "idx") -> DataFrame:
@@ -136,9 +192,35 @@ def merge_accepted(pairs: DataFrame, df1: DataFrame, df2: DataFrame, *, idx1: st
     return kept.join(one, F.col("df1_idx") == F.col("_key1"), "left").join(two, F.col("df2_idx") == F.col("_key2"), "left").drop("_key1", "_key2")
 
 
-def rule_join(df1: DataFrame, df2: DataFrame, rule: Any, *, idx1: str = "idx", idx2: str = "idx") -> DataFrame:
-    """The accepted pairs with both rows' columns."""
-    return merge_accepted(rule_pairs(df1, df2, rule, idx1=idx1, idx2=idx2), df1, df2, idx1=idx1, idx2=idx2)
+def _is_narrow(sides: tuple[tuple[DataFrame, set[str]], ...]) -> bool:
+    """Whether the columns of a pair are plain and few bytes, as a cell's pairs are one table in Python."""
+    total = 0
+    for df, names in sides:
+        plain = {c: t for c, t in df.dtypes if c in names}
+        if not all(t in ("string", "tinyint", "smallint", "int", "bigint", "boolean", "float", "double", "date", "timestamp") or t.startswith("decimal") for t in plain.values()):
+            return False
+        texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in plain.items() if t == "string"]
+        total += 16 * (len(plain) - len(texts)) + (df.agg(F.max(reduce(lambda a, b: a + b, texts))).first()[0] or 0 if texts else 0)
+    return total <= PAIR_BYTES
+
+
+def rule_join(df1: DataFrame, df2: DataFrame, rule: Any, *, idx1: str = "idx", idx2: str = "idx", columns: tuple[str, ...] | None = None) -> DataFrame:
+    """The accepted pairs with both rows' columns, or with those named of them: what goes through Python isn't pruned by Spark.
+    Where ids are unique, rows bring their columns to their pairs; otherwise those are joined to the distinct pairs of ids."""
+    terms = conjunctions(build_rule(rule))
+    out = {"df1_idx": F.col(f"`_l_{idx1}`"), "df2_idx": F.col(f"`_r_{idx2}`"), "final_result": F.lit(True)}
+    out |= {f"{new}{c}": F.col(f"`{mark}{c}`") for df, idx, mark, new in ((df1, idx1, "_l_", "df1_"), (df2, idx2, "_r_", "df2_")) for c in df.columns if c != idx}
+    names = list(out) if columns is None else list(columns)
+    l, r = _prefixed(df1, "_l_"), _prefixed(df2, "_r_")
+    carried = {c for n in names for c in ([f"_l_{idx1}"] if n == "df1_idx" else [f"_r_{idx2}"] if n == "df2_idx" else [] if n == "final_result" else [f"_l_{n[4:]}" if n.startswith("df1_") else f"_r_{n[4:]}"])}
+
+    def narrow() -> bool:
+        read = carried.union(*_columns(terms))
+        return not any(_is_near(l, r, t) for t in terms) or _is_narrow(((l, read), (r, read)))
+
+    if not _is_keyed(terms) or not narrow() or not _settled(df1, df2, terms, idx1, idx2):
+        return merge_accepted(rule_pairs(df1, df2, rule, idx1=idx1, idx2=idx2), df1, df2, idx1=idx1, idx2=idx2).select(*(F.col(f"`{n}`") for n in names))
+    return reduce(DataFrame.union, (p.select(*(out[n].alias(n) for n in names)) for p in _alternatives(l, r, terms, carried, apart=len(terms) > 1)))
 
 
 def without_decided(pairs: DataFrame, decided: DataFrame, keys: tuple[str, ...] = ("i", "j")) -> DataFrame:

@@ -11,7 +11,7 @@ from lexweave.operators import best_match as best_match_module
 from lexweave.operators.best_match import best_match
 from lexweave.operators.constraints import ConstraintNode, from_rows
 from lexweave.operators.edit_join import keyed_scores
-from lexweave.operators.rule_join import attach_originals, constraint_pairs, rule_attached, rule_debug, rule_join, rule_pairs, without_decided
+from lexweave.operators.rule_join import attach_originals, constraint_pairs, merge_accepted, rule_attached, rule_debug, rule_join, rule_pairs, without_decided
 from lexweave.operators.select import Mode, select_candidates
 from lexweave.plans import pairing
 from lexweave.plans.rule_tree import build_rule, conjunctions, depth, width
@@ -265,3 +265,47 @@ def test_tasks_of_candidates_follow_the_rows(spark, small, monkeypatch):
     monkeypatch.setattr(pairing, "SORT_ROWS", 100)
     rows = spark.read.parquet(f"{small}/lineitem.parquet").count()
     assert own.QUERIES["select_greatest_amount_matcher"](spark, small).rdd.getNumPartitions() == -(-rows // 100)
+
+
+MIXED = {"Rules": ["OR",
+    ["AND", {"df1": "A", "df2": "A", "algo": "EXACT"}, {"df1": "C", "df2": "C", "method": ["OR", {"algo": "Levenshtein", "standard": 0.5}, {"algo": "IN"}]}],
+    ["AND", {"df1": "C", "df2": "C", "method": ["NotOR", {"algo": "JACCARD", "standard": 0.5}]}, {"df1": "idx", "df2": "idx", "algo": "EXACT"}]]}
+
+
+def _shuffles(df) -> str:
+    """What the physical plan shuffles by its own requirement."""
+    return "".join(x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "ENSURE_REQUIREMENTS" in x)
+
+
+def test_pairs_of_unique_ids_are_not_shuffled(spark, sides, tiny_cells):
+    """Alternatives that overlap give a pair once and rows bring their columns, so pairs need no distinct and no join by id."""
+    one = spark.createDataFrame([*sides[0], (50, 1, None), (51, None, "xy")], "idx long, A int, C string")
+    two = spark.createDataFrame([*sides[1], (52, 1, None), (51, None, "x")], "idx long, A int, C string")
+    decided = rule_debug(one, two, MIXED).where("final_result").select("df1_idx", "df2_idx", "final_result")
+    pairs, got = rule_pairs(one, two, MIXED), rule_join(one, two, MIXED)
+    assert sorted(pairs.collect()) == sorted(decided.collect())
+    plain = merge_accepted(decided, one, two)
+    assert got.columns == plain.columns and got.dtypes == plain.dtypes and sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+    for df in (pairs, got):
+        assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
+        assert "df1_idx" not in _shuffles(df)
+    some = rule_join(one, two, MIXED, columns=("df2_C", "df1_idx"))
+    assert sorted(map(repr, some.collect())) == sorted(map(repr, plain.select("df2_C", "df1_idx").collect()))
+
+
+@pytest.mark.parametrize("rows", [[(3, 1, "again")], [(None, 1, "xy"), (None, 2, "x")], [(60, 1, "x" * 400)]])
+def test_joined_pairs_of_other_ids(spark, sides, tiny_cells, rows):
+    """Repeated ids, null ids and wide rows: the distinct pairs of ids with the columns joined to them."""
+    one = spark.createDataFrame([*sides[0], *rows], "idx long, A int, C string")
+    two = spark.createDataFrame([*sides[1], *rows], "idx long, A int, C string")
+    decided = rule_debug(one, two, MIXED).where("final_result").select("df1_idx", "df2_idx", "final_result").distinct()
+    assert sorted(map(repr, rule_pairs(one, two, MIXED).collect())) == sorted(map(repr, decided.collect()))
+    got, plain = rule_join(one, two, MIXED), merge_accepted(decided, one, two)
+    assert got.columns == plain.columns and sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_joined_rules_sort_few_rows(spark, small):
+    """The least name of a group needs no sort of all pairs."""
+    plan = own.QUERIES["rule_join_attached"](spark, small)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    names = [x for x in plan.splitlines() if "HashAggregate" in x or "SortAggregate" in x]
+    assert "HashAggregate" in names[-1] and "df1_c_name" in names[-1]
