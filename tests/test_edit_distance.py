@@ -4,6 +4,7 @@ import numpy as np
 
 from lexweave.functions.edit_distance import distances
 from lexweave.operators import best_match as module
+from lexweave.operators.edit_join import near_pairs
 
 
 def plain(a, b):
@@ -42,3 +43,14 @@ def test_search_in_blocks_equals_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(module, "SEARCH_PAIRS", 0)
         monkeypatch.setattr(module, "SEARCH_BLOCK", 9)
         assert run() == expected
+
+
+def test_near_pairs_are_those_of_the_scores():
+    """Scores at, just above and below a standard; texts of several lengths, with and without a common prefix."""
+    rng = random.Random(7)
+    for start in ("", "Customer#00"):
+        a, b = (sorted({start + "".join(rng.choices("012", k=rng.randrange(9))) for _ in range(40)}) for _ in range(2))
+        for least in (0.1, 0.4, 0.6, 2 / 3, 0.7, 0.9, 1.0):
+            every = [(i, j, 1 - plain(x, y) / max(len(x), len(y), 1)) for i, x in enumerate(a) for j, y in enumerate(b)]
+            got = zip(*(x.tolist() for x in near_pairs(a, b, least)), strict=True)
+            assert sorted(got) == [t for t in every if t[2] >= least]
